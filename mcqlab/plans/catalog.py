@@ -402,7 +402,8 @@ def generation_flow(spark, sf_dir):
     """Sheets of the held-out folders, three temperatures, the stub generator's JSON, validated, patched, flattened."""
     folders = spark.createDataFrame([(f,) for f in HELD_FOLDERS], "folder string")
     raw = relational.in_folders(fx.mcq_json(spark, sf_dir), folders)
-    long = raw.select("id", F.explode(F.array(*map(F.lit, (0.1, 0.5, 0.7)))).alias("temperature"), jsonmcq.validated_mcq(F.col("raw")).alias("mcq"))
+    long = raw.select("id", "raw", F.explode(F.array(*map(F.lit, (0.1, 0.5, 0.7)))).alias("temperature"))
+    long = long.select("id", "temperature", jsonmcq.validated_mcq(F.col("raw")).alias("mcq"))
     return relational.patched(long, "mcq", jsonmcq.empty_mcq()).select("id", "temperature", "mcq.*")
 
 
