@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mcqlab.llm import media, packing, url_filter
+from mcqlab.llm import language_id, media, packing, quality, url_filter
 from mcqlab.llm.common import table
 
 
@@ -15,6 +16,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.graded(docs, model).drop("text")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
+    model = language_id.fitted(docs.where(~F.col("held_out")))
+    return language_id.predicted(docs.drop("lang"), model).drop("text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -23,5 +37,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op8_packing, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op4_language_id, op8_packing, op10_media)}
 SQL: dict[str, str] = {}
