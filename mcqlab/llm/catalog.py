@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mcqlab.llm import language_id, media, packing, quality, url_filter
+from mcqlab.llm import language_id, media, packing, quality, sentence_pieces, token_counts, url_filter
 from mcqlab.llm.common import table
 
 
@@ -29,6 +29,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(docs.drop("lang"), model).drop("text")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", token_counts.found_edits(F.col("text")))
+    return token_counts.counted(docs)
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encoded(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -37,5 +46,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op4_language_id, op8_packing, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op4_language_id, op5_token_counts, op7_sentence_pieces, op8_packing, op10_media)}
 SQL: dict[str, str] = {}
