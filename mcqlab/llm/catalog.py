@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mcqlab.llm import language_id, media, packing, quality, sentence_pieces, token_counts, url_filter
+from mcqlab.llm import language_id, media, packing, quality, sentence_pieces, token_counts, url_filter, vector_links
 from mcqlab.llm.common import table
 
 
@@ -42,9 +42,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op4_language_id, op5_token_counts, op7_sentence_pieces, op8_packing, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op4_language_id, op5_token_counts, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
 SQL: dict[str, str] = {}
