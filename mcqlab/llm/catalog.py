@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mcqlab.llm import language_id, media, packing, quality, sentence_pieces, token_counts, url_filter, vector_links
+from mcqlab.llm import language_id, media, order_minhash, packing, quality, sentence_pieces, token_counts, url_filter, vector_links
 from mcqlab.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.graded(docs, model).drop("text")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
@@ -50,5 +54,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op4_language_id, op5_token_counts, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
 SQL: dict[str, str] = {}
