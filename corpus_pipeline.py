@@ -1,13 +1,66 @@
-"""The corpus pipeline: STAGES over documents, each written and read again."""
+"""The corpus pipeline: STAGES over documents, each written to the shared folder and read again.
+
+Each stage works on all rows that the one before it kept, and all but the last return
+the columns of documents. Document ids are taken as unique.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mcqlab.llm import language_id, order_minhash, packing, quality, suffix_dedup
+from mcqlab.llm.common import stored, table
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fitted on the rated ones, selects."""
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.graded(docs, model).where("selected").select(*docs.columns)
+
+
+def select_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with calibrated confidence."""
+    model = language_id.fitted(docs)
+    return language_id.predicted(docs, model).where("NOT rejected").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each class of near-duplicates."""
+    others = order_minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the text that repeated strings of 200 bytes cover."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = suffix_dedup.deduplicated(docs, keep=rest, with_text=True)
+    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of tokens."""
+    return packing.packed(docs)
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", select_quality),
+    ("language_id", select_language),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("packing", pack),
+]
+#: Trained models and packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mcqlab.llm import language_id, media, order_minhash, packing, quality, sentence_pieces, token_counts, url_filter, vector_links
+from mcqlab.llm import language_id, media, order_minhash, packing, quality, sentence_pieces, suffix_dedup, token_counts, url_filter, vector_links
 from mcqlab.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(docs)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoded(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op6_suffix_dedup, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
 SQL: dict[str, str] = {}
