@@ -68,6 +68,8 @@ def bags(rows: DataFrame, text: str, label: str) -> list[tuple[str, np.ndarray,
 def trained(examples: list, epochs: int = 12, rate: float = 4.0, seed: int = 3) -> Model:
     """Stochastic gradient descent on the log loss, classes weighted alike; a fifth of the rows calibrates."""
     languages = sorted({x[0] for x in examples})
+    if not languages:
+        return Model([], np.zeros((0, 1 << BITS)), np.zeros(0))
     rng = np.random.default_rng(seed)
     x = np.zeros((len(examples), 1 << BITS), np.float32)
     for i, (_, k, n) in enumerate(examples):

@@ -82,7 +82,7 @@ def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: f
     def flat(rows):
         k = [np.frombuffer(examples[i][1], "<u4").astype(np.int64) for i in rows]
         v = [np.frombuffer(examples[i][2], "<f4").astype(np.float64) for i in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in k])
+        owner = np.repeat(np.arange(len(rows)), np.array([len(x) for x in k], np.int64))
         return (np.concatenate(k) if k else np.zeros(0, np.int64)), (np.concatenate(v) if v else np.zeros(0)), owner, grades[rows]
 
     k, v, owner, y = flat(own)
