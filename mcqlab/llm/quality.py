@@ -74,7 +74,7 @@ def bags(rows: DataFrame, text: str, grade: str) -> list[tuple[int, bytes, bytes
 
 def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: float = 3.0, decay: float = 1e-7, seed: int = 5) -> Model:
     """Adam on the weighted ordinal log loss; a fifth of the rows sets the selection threshold."""
-    grades = np.array([e[0] for e in examples])
+    grades = np.array([e[0] for e in examples], np.int64)
     top = int(grades.max()) if len(grades) else 1
     order = np.random.default_rng(seed).permutation(len(examples))
     held, own = np.sort(order[: len(order) // 5]), np.sort(order[len(order) // 5 :])
