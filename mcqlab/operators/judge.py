@@ -50,7 +50,7 @@ def answered(rows: DataFrame, prompt: str, system: str, make_client: Callable[[]
         for b in batches:
             yield pd.DataFrame({"_prompt": b["_prompt"], out: [one(p) for p in b["_prompt"]]})
 
-    asked = rows.select(F.col(prompt).alias("_prompt")).where(F.col(prompt).isNotNull()).distinct()
+    asked = rows.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("_prompt")).distinct()
     answers = asked.mapInPandas(call, f"_prompt string, `{out}` string")
     return rows.join(answers, rows[prompt] == answers["_prompt"], "left").drop("_prompt")
 
@@ -85,5 +85,5 @@ def embedded(rows: DataFrame, text: str, make_model: Callable[[], Callable[[list
         for b in batches:
             yield pd.DataFrame({"_text": b["_text"], out: list(model(list(b["_text"])))})
 
-    vectors = rows.select(F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct().mapInPandas(run, f"_text string, `{out}` array<float>")
+    vectors = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct().mapInPandas(run, f"_text string, `{out}` array<float>")
     return rows.join(vectors, rows[text] == vectors["_text"], "left").drop("_text")

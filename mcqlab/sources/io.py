@@ -18,8 +18,8 @@ SCORED = T.StructType([*MCQS.fields, T.StructField("distractor_quality", T.Integ
 PAIRS = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "chosen", "rejected", "chosen_source", "rejected_source")])
 KTO = T.StructType([T.StructField("id", T.StringType()), T.StructField("completion", T.StringType()), T.StructField("label", T.BooleanType()), T.StructField("source", T.StringType())])
 
-#: Quotes are doubled, values keep their spaces and line breaks, null and empty differ.
-CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Quotes are doubled, values keep their spaces and line breaks; an empty value is read as null.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
