@@ -19,7 +19,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    return quality.graded(docs, model).drop("text")
+    return quality.graded(docs, model, with_text=False)
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
     model = language_id.fitted(docs.where(~F.col("held_out")))
-    return language_id.predicted(docs.drop("lang"), model).drop("text")
+    return language_id.predicted(docs.drop("lang"), model, with_text=False)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
+    """Written to the shared folder and read again: lineage ends here, and a lost executor costs nothing.
+
+    The files stay until ``discard``, or until the folder of the session is removed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing reads it any more."""
+    if path := getattr(df, "_stored_at", None):
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +90,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
         up = step.select(F.col("node").alias("k"), F.col("component").alias("up"))
         new = stored(step.join(up, step["component"] == up["k"]).select("node", "was", F.least("component", "up").alias("component")))
-        labels = new.select("node", "component")
+        discard(labels)
+        labels = new
         if new.where("was <> component").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "component")
     raise RuntimeError("components did not settle")

@@ -115,11 +115,15 @@ def fitted(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     return trained(bags(rows.where(sampled(rows, lang, key, per_language)), text, lang))
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected (columns of those names are replaced)."""
+def predicted(docs: DataFrame, model: Model, text: str = "text", with_text: bool = True) -> DataFrame:
+    """docs with lang_pred, score and rejected (columns of those names are replaced).
+
+    with_text: the text too; without it, it need not come back from the workers.
+    """
     names = ("lang_pred", "score", "rejected")
     kept = docs.drop(*names)
     at = kept.columns.index(text)
+    back = [i for i in range(len(kept.columns)) if with_text or i != at]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**BITS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +148,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             known = letters & bool(m.languages)
             name = [m.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
             score = np.where(known, top, 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name, pa.string()), pa.array(score), pa.array(~known | (score < m.least))], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*map(b.column, back), pa.array(name, pa.string()), pa.array(score), pa.array(~known | (score < m.least))], [*(b.schema.names[i] for i in back), *names])
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in kept.dtypes)
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    schema = "".join(f"`{kept.columns[i]}` {kept.dtypes[i][1]}, " for i in back)
+    return kept.mapInArrow(run, f"{schema}lang_pred string, score double, rejected boolean")

@@ -131,10 +131,14 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     return trained(bags(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key), text, "grade"))
 
 
-def graded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with expected_grade, tail_probability and selected (columns of those names are replaced)."""
+def graded(docs: DataFrame, model: Model, text: str = "text", with_text: bool = True) -> DataFrame:
+    """docs with expected_grade, tail_probability and selected (columns of those names are replaced).
+
+    with_text: the text too; without it, it need not come back from the workers.
+    """
     kept = docs.drop(*NAMES)
     at = kept.columns.index(text)
+    back = [i for i in range(len(kept.columns)) if with_text or i != at]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**BITS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +155,7 @@ def graded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 score[i:j] += ft.text_sums(of_grams[ft.gram_buckets(own, GRAM, BITS)], at0[:-1], last) / np.maximum(last - at0[:-1], 1)
             above = m.chances(score)
             tail = above[:, m.tail]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(above.sum(1)), pa.array(tail), pa.array(tail >= m.least)], [*b.schema.names, *NAMES])
+            yield pa.RecordBatch.from_arrays([*map(b.column, back), pa.array(above.sum(1)), pa.array(tail), pa.array(tail >= m.least)], [*(b.schema.names[i] for i in back), *NAMES])
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in kept.dtypes)
-    return kept.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double, selected boolean")
+    schema = "".join(f"`{kept.columns[i]}` {kept.dtypes[i][1]}, " for i in back)
+    return kept.mapInArrow(run, f"{schema}expected_grade double, tail_probability double, selected boolean")
