@@ -59,4 +59,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op6_suffix_dedup, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
-SQL: dict[str, str] = {}
+#: The others train models, sketch, or write formats that SQL lacks; they are tested against brute force.
+SQL: dict[str, str] = {
+    "op9_vector_links": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98e0),
+r AS (SELECT a n, a c FROM l UNION SELECT r.n, l.b FROM r JOIN l ON r.c = l.a),
+m AS (SELECT n, min(c) c FROM r GROUP BY n), k AS (SELECT a, count(*) k FROM l GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN m ON n = vec_id LEFT JOIN k ON a = vec_id
+""",
+}

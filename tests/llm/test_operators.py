@@ -12,6 +12,7 @@ from mcqlab.llm import language_id, media, order_minhash, packing, quality, sent
 from mcqlab.llm import catalog as llm
 from mcqlab.llm.common import components, table
 from tests.llm.test_small import levenshtein
+from tests.oracle import check
 
 
 @pytest.fixture(scope="module")
@@ -265,6 +266,11 @@ def test_vector_links(spark):
     assert vector_links.linked(frame.where("false")).count() == 0
 
 
+def test_vector_links_equal_sql(spark):
+    name = "op9_vector_links"
+    assert check(spark, "/root/testdata/sf0.01", llm.QUERIES[name], llm.SQL[name]) == 500
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 105), (105, 103), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
