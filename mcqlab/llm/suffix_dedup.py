@@ -162,11 +162,12 @@ def _windows(values: np.ndarray, base: np.ndarray, left: np.ndarray, right: np.n
     return np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
 
 
-def covered(group: np.ndarray, data: np.ndarray, base: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered(group: np.ndarray, data: np.ndarray, base: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (row, start, end relative to the anchor) that contexts share with others of their group.
 
     Contexts stand in data from base on; groups are side by side. A context has
-    ``left`` bytes before its anchor and ``right`` from there.
+    ``left`` bytes before its anchor and ``right`` from there; its anchor stands at
+    ``pos`` in ``doc``, so that a window that several contexts hold counts once.
     """
     n = len(group)
     ahead = Suffixes(data, base + left, base + left + right)
@@ -200,8 +201,11 @@ def covered(group: np.ndarray, data: np.ndarray, base: np.ndarray, left: np.ndar
         h, r, o = _windows(ft.BYTE_VALUES[data], base[groups], left[groups], right[groups])
         r = groups[r]
         h = mixed(h + mixed(group[r].astype(np.uint64)))
-        by = np.argsort(h, kind="stable")
-        h, r, o = h[by], r[by], o[by]
+        place = pos[r] - o
+        by = np.lexsort((place, doc[r], h))
+        h, r, o, place = h[by], r[by], o[by], place[by]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[r[1:]] != doc[r[:-1]]) | (place[1:] != place[:-1])])
+        h, r, o = h[new], r[new], o[new]
         again = np.concatenate([[False], h[1:] == h[:-1]])
         lead = np.flatnonzero(~again)[np.cumsum(~again) - 1]
         # verified against the first window of the same hash
@@ -244,9 +248,9 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, group = np.unique(t["g"].to_numpy(), return_inverse=True)
         data, offsets = _binary(t["b"])
         left = t["l"].to_numpy()
-        rows, start, end = covered(group, data, offsets[:-1], left, np.diff(offsets) - left)
-        pos = t["pos"].to_numpy()[rows]
-        return pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(pa.array(rows)), pa.array(pos + start), pa.array(pos + end)], ["doc_id", "start", "end"])
+        doc, pos = t["doc_id"].to_numpy(), t["pos"].to_numpy()
+        rows, start, end = covered(group, data, offsets[:-1], left, np.diff(offsets) - left, doc, pos)
+        return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(pos[rows] + start), pa.array(pos[rows] + end)], ["doc_id", "start", "end"])
 
     for b in batches:
         if not b.num_rows:

@@ -233,6 +233,8 @@ def test_suffix_dedup(spark, none, most):
             parts += [b[x : r.randint(x, len(b))] if r.random() < 0.6 else b, "".join(r.choice("xyz") for _ in range(r.randint(0, 120)))]
         rows.append((i, "".join(parts)))
     rows += [(100, "a" * 700), (101, "ab" * 150), (102, "q" * 199), (103, "z" * 200), (104, "line of text here. " * 20), (105, ""), (106, None)]
+    rows += [(200 + k, "".join(f"w{k}{j} " * r.randint(3, 60) for j in range(7))) for k in range(8)]  # periodic stretches
+    rows += [(300, "tail" + "periodic! " * 30), (301, "periodic! " * 33 + "end")]
     want = brute_spans(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS pos", "1 AS g")
     got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.deduplicated(frame, most=most).collect()}
