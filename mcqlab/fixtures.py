@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,8 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, last: str) -> DataFrame:
+    # the few constants are exploded, not joined
+    sql = re.sub(r"CROSS JOIN \(SELECT (\d) k((?: UNION ALL SELECT \d)+)\) z", lambda m: f"LATERAL VIEW explode(array({', '.join(re.findall(r'[0-9]', m[0]))})) z AS k", sql)
     return spark.sql(f"WITH documents AS (SELECT doc_id FROM {{d}}), {sql} SELECT * FROM {last}", d=table(spark, sf_dir, "documents"))
 
 
