@@ -3,9 +3,10 @@
 Over the lattice of pieces, a forward Viterbi pass gives the best score of every
 prefix; a backward A-star search takes these as exact heuristics, so complete paths
 leave its queue in the order of their scores. No piece but a run of spaces holds a
-space after another character, so a text's lattice is a chain of the lattices of its
-chunks (spaces and what follows them); the N best of the chain are built from the N-1
-chunks whose second path loses least.
+space after another character, or a line break, so a text's lattice is a chain of the
+lattices of its chunks (spaces and what follows them, line breaks); the N best of the
+chain are built from the N-1 chunks whose second path loses least. The forward pass
+runs over all new chunks of a batch at once.
 
 Characters outside the vocabulary become byte pieces. Normalisation is the identity
 with one space put in front, so decoding returns the text exactly.
@@ -31,7 +32,8 @@ from pyspark.sql import DataFrame
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 N_BEST = 4
-CHUNK = re.compile(r" +[^ ]*")
+CHUNK = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+BASE, MIXER, TABLE_BITS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 21
 SPACE, LITERAL = "▁", "￿"
 MINUS = float("-inf")
 
@@ -58,10 +60,87 @@ class Pieces(dict):
             else:
                 self.score[piece] = model.get_score(i), (i,)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.score):
             raise ValueError("pieces of this model cross chunks")
         self.longest = max(map(len, self.score))
         self.unknown = min(s for s, _ in self.score.values()) - 10.0
+        self._hash_pieces()
+
+    def _hash_pieces(self) -> None:
+        """Two tables from hash bits to the pieces; the second has what finds no free place in the first."""
+        names = list(self.score)
+        self.value_of = np.array([self.score[p][0] for p in names])
+        self.id_of = np.array([self.score[p][1][0] for p in names], np.uint32)
+        self.hash_of = np.zeros(len(names), np.uint64)
+        self.tables = np.full((2, 1 << TABLE_BITS), -1, np.int32)
+        for k, p in enumerate(names):
+            h = 0
+            for x in p:
+                h = (h * BASE + ord(x)) % 2**64
+            h = h * MIXER % 2**64
+            self.hash_of[k] = h
+            for t, at in enumerate((h >> 64 - TABLE_BITS, h >> 8 & (1 << TABLE_BITS) - 1)):
+                if self.tables[t, at] < 0:
+                    self.tables[t, at] = k
+                    break
+            else:
+                raise ValueError("the tables are too small")
+
+    def _looked_up(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers of hashes, -1 for no piece."""
+        out = np.full(h.shape, -1, np.int32)
+        for t, at in enumerate((h >> np.uint64(64 - TABLE_BITS), h >> np.uint64(8) & np.uint64((1 << TABLE_BITS) - 1))):
+            k = self.tables[t][at.astype(np.int64)]
+            out = np.where((k >= 0) & (self.hash_of[k] == h), k, out)
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        """Viterbi passes over many new chunks at once; long ones and those with unknown characters are left to lookups."""
+        known = self.score
+        by_size: dict[int, list[str]] = {}
+        for c in chunks:
+            if c not in self and len(c) <= 32 and "▁" not in c and all(x in known or x == " " for x in c):
+                by_size.setdefault(-(-len(c) // 4), []).append(c)
+        for size, own in by_size.items():
+            for k in range(0, len(own), 4096):
+                self._learn(own[k : k + 4096], 4 * size)
+
+    def _learn(self, chunks: list[str], wide: int) -> None:
+        n, lengths = len(chunks), np.array([len(c) for c in chunks])
+        padded = "".join(c.replace(" ", SPACE).ljust(wide, "\0") for c in chunks)
+        codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32).reshape(n, wide).T.astype(np.uint64)  # [place, chunk]
+        most = min(self.longest, wide)
+        h, found = np.zeros((wide, n), np.uint64), []
+        for size in range(1, most + 1):  # pieces of each size, by start
+            h = h[: wide - size + 1] * np.uint64(BASE) + codes[size - 1 :]
+            found.append(self._looked_up(h * np.uint64(MIXER)))
+        first, second = np.full((wide + 1, n), MINUS), np.full((wide + 1, n), MINUS)
+        first[0] = 0.0
+        step, piece = np.zeros((wide + 1, n), np.int64), np.zeros((wide + 1, n), np.int32)
+        for end in range(1, wide + 1):
+            one, two = first[end], second[end]
+            for size in range(min(most, end), 0, -1):
+                k = found[size - 1][end - size]
+                s = np.where(k >= 0, self.value_of[k], MINUS)
+                x, y = first[end - size] + s, second[end - size] + s
+                better = x > one
+                two[:] = np.where(better, np.maximum(one, y), np.maximum(two, x))
+                step[end] = np.where(better, size, step[end])
+                piece[end] = np.where(better, k, piece[end])
+                one[:] = np.where(better, x, one)
+        every, at = np.arange(n), lengths.copy()
+        backwards = []
+        while at.any():
+            here = at > 0
+            backwards.append(np.where(here, piece[at, every], -1))
+            at = np.where(here, at - step[at, every], 0)
+        ids = np.stack(backwards[::-1], 1)
+        count = (ids >= 0).sum(1)
+        flat = self.id_of[ids[ids >= 0]].tobytes()
+        stop = np.cumsum(count) * 4
+        score, other = first[lengths, every], second[lengths, every]
+        for c, a, b, s, o in zip(chunks, (stop - 4 * count).tolist(), stop.tolist(), score.tolist(), other.tolist(), strict=True):
+            self[c] = flat[a:b], s, s - o
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end, the pieces (start, score, ids) that end there."""
@@ -133,14 +212,20 @@ class Pieces(dict):
             self.kept[chunk] = [(score, best), *others[: self.n - 1]]
         return self.kept[chunk]
 
-    def encode(self, text: str) -> tuple[bytes, float, list[tuple[float, dict[int, tuple[int, ...]]]], list[str]]:
-        """Best ids, their score, the N best as (score, other ids of some chunks), and the chunks."""
-        if not text:
-            return b"", 0.0, [(0.0, {})], []
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The chunks of each text, all learnt."""
         if len(self) > self.most:
             self.clear()
             self.kept.clear()
-        chunks = CHUNK.findall(" " + text)
+        out = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        if new := set().union(*out).difference(self):
+            self.learn(new)
+        return out
+
+    def encode(self, chunks: list[str]) -> tuple[bytes, float, list[tuple[float, dict[int, tuple[int, ...]]]]]:
+        """Best ids of a text's chunks, their score, and the N best as (score, other ids of some chunks)."""
+        if not chunks:
+            return b"", 0.0, [(0.0, {})]
         entries = list(map(self.__getitem__, chunks))
         score = sum([e[1] for e in entries])
         near = heapq.nsmallest(self.n - 1, [(e[2], i) for i, e in enumerate(entries)])
@@ -148,7 +233,7 @@ class Pieces(dict):
         options = [[(p[0] - entries[i][1], i, k) for k, p in enumerate(own)] for i, own in paths.items()]
         combined = heapq.nsmallest(self.n, ((-sum(o[0] for o in c), [o[2] for o in c], c) for c in product(*options)))
         best = [(score - lost, {i: paths[i][k][1] for _, i, k in c if k}) for lost, _, c in combined]
-        return b"".join([e[0] for e in entries]), score, best, chunks
+        return b"".join([e[0] for e in entries]), score, best
 
     def ids_of(self, chunks: list[str], other: dict[int, tuple[int, ...]]) -> bytes:
         """The ids of one of the N best."""
@@ -174,10 +259,10 @@ def encoded(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     if with_ids:
         fields.append(("n_best_ids", "array<array<int>>", pa.list_(pa.list_(pa.int32()))))
 
-    def one(text: str | None, own: Pieces) -> tuple:
-        ids, score, best, chunks = own.encode(text or "")
+    def one(text: str, chunks: list[str], own: Pieces) -> tuple:
+        ids, score, best = own.encode(chunks)
         others = [ids if not other else own.ids_of(chunks, other) for _, other in best]
-        row = len(ids) // 4, zlib.crc32(ids), score, [s for s, _ in best], [zlib.crc32(x) for x in others], own.decode(ids) == (text or "")
+        row = len(ids) // 4, zlib.crc32(ids), score, [s for s, _ in best], [zlib.crc32(x) for x in others], own.decode(ids) == text
         return (*row, [np.frombuffer(x, "<i4") for x in others]) if with_ids else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +270,8 @@ def encoded(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                out = zip(*[one(t, own) for t in b.column(b.num_columns - 1).to_pylist()], strict=True)
+                texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+                out = zip(*[one(t, c, own) for t, c in zip(texts, own.split(texts), strict=True)], strict=True)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v, kind) for v, (_, _, kind) in zip(out, fields, strict=True))], [*b.schema.names[:-1], *(f for f, _, _ in fields)])
 
     return kept.mapInArrow(run, ", ".join([f"`{c}` {kind}" for c, kind in kept.dtypes[:-1]] + [f"{f} {kind}" for f, kind, _ in fields]))
