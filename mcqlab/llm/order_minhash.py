@@ -8,7 +8,7 @@ classes are linked if 1 - edit distance / longer length, over shingles, is 0.8 o
 more; candidates are verified by a banded alignment whose band is that allowance.
 
 No bucket is turned into all its pairs. Its members are first aligned with its
-smallest member. Where that leaves members unlinked, the pairs still open go through
+leader, the member that stands in the fullest buckets. Where that leaves members unlinked, the pairs still open go through
 an exact prefix filter: linked texts must share one of their rarest shingles, so texts
 that only share a common passage never meet.
 
@@ -249,8 +249,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = stored(sketched(docs, text, doc_id))
     classes = stored(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     keys = stored(classes.select("rep", "n", F.explode(F.array_distinct("sketch")).alias("s")))
-    leaders = keys.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("l"), F.count("*").alias("m")).where("m > 1").select("s", F.col("l.rep").alias("a"), F.col("l.n").alias("na"), "m")
-    members = stored(keys.join(leaders, "s").where("rep <> a").select("s", "m", "a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")))
+    # a bucket's leader is its member in the fullest buckets: the middle of a group of copies, within reach of most of them
+    shared = keys.join(keys.groupBy("s").agg(F.count("*").alias("m")).where("m > 1"), "s")
+    shared = stored(shared.join(shared.groupBy("rep").agg(F.sum("m").alias("weight")), "rep"))
+    leaders = shared.groupBy("s").agg(F.min(F.struct(-F.col("weight"), "rep", "n")).alias("l")).select("s", F.col("l.rep").alias("a"), F.col("l.n").alias("na"))
+    members = stored(shared.join(leaders, "s").where("rep <> a").select("s", "m", "a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")))
     close = (F.col("na") >= F.lit(least) * F.col("nb")) & (F.col("nb") >= F.lit(least) * F.col("na"))
     pairs = stored(members.where(close).select("a", "b").distinct())
     ids = members.where("m > 2").select(F.col("b").alias("doc_id")).union(members.where("m > 2").select("a")).union(pairs.select("a")).union(pairs.select("b")).distinct()
@@ -258,16 +261,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = stored(verified(pairs, words, least))
     links = first.where("linked").select("a", "b")
     labels = components(links)
-    # open: members that are still apart from their bucket's leader, in buckets with another such member, or near enough to the leader's own members
-    state = _with_component(_with_component(members.where("m > 2"), labels, "b", "cb"), labels, "a", "ca").join(first.select("a", "b", "near"), ["a", "b"], "left")
+    # open: members apart from their bucket's leader, if another such member or one on the leader's side may be linked with them
+    state = _with_component(_with_component(members.where("m > 2"), labels, "b", "cb"), labels, "a", "ca").join(first, ["a", "b"], "left")
     apart = F.col("ca") != F.col("cb")
+    near = F.coalesce("near", (F.col("na") <= 2 * F.col("nb")) & (F.col("nb") <= 2 * F.col("na")))  # not aligned: lengths alone rule out the link
+    direct = F.coalesce("linked", F.lit(False))
     bucket = state.groupBy("s").agg(
         F.min(F.when(apart, F.col("cb"))).alias("c0"), F.max(F.when(apart, F.col("cb"))).alias("c1"),
-        F.max(apart & F.coalesce("near", F.lit(False))).alias("any_near"), F.max(~apart).alias("any_joined"),
+        F.max(apart & near).alias("any_near"), F.max(~apart & direct).alias("any_direct"), F.max(~apart & ~direct).alias("any_by_chain"),
     )
-    bucket = bucket.where((F.col("c0") < F.col("c1")) | (F.col("any_near") & F.col("any_joined")))
-    still = stored(state.join(bucket, "s").where(apart | (F.col("any_near") & F.col("any_joined"))).select(F.col("b").alias("rep"), F.col("cb").alias("component")).distinct())
-    more = stored(_rest(still, words, least).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    bucket = bucket.withColumn("joined", (F.col("any_near") & F.col("any_direct")) | F.col("any_by_chain")).where((F.col("c0") < F.col("c1")) | (F.col("joined") & F.col("c0").isNotNull()))
+    still = stored(state.join(bucket, "s").where(apart | F.col("joined")).select(F.col("b").alias("rep"), F.col("cb").alias("component")).distinct())
+    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stored(_rest(still, words, least).join(known, ["a", "b"], "left_anti"))
     links = links.union(verified(more, words, least).where("linked").select("a", "b"))
     labels = components(links)
     facts = _with_component(own.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep"), labels, "rep", "class_id").select("doc_id", "class_id").dropDuplicates(["doc_id"])
