@@ -1,10 +1,13 @@
 """Quality classifier: ordinal regression with cumulative links on hashed texts.
 
-One weight vector over hashed features (words, and runs of three bytes for the look of
-a text) is shared by all grades; ordered thresholds cut its score into grades. The
-chance of a grade above k is 1 / (1 + exp(threshold_k - score)). From it come the
-expected grade and the tail probability that selection uses. Fitted on a bounded
-sample (``per_grade`` rows of each grade).
+One weight vector over hashed features is shared by all grades; ordered thresholds cut
+its score into grades. Shares of words, and of runs of three bytes, tell the look of a
+text. Words and beginnings of words that the lower grades hold more often than the best
+count by the logarithm of their number, not by their share, so a few of them tell in a
+text of any length. The chance of a grade above k is 1 / (1 + exp(threshold_k - score)).
+From it come the expected grade and the tail probability that selection uses. Fitted on
+a bounded sample (``per_grade`` rows of each grade); its held-out rows of all grades set
+the selection threshold.
 
 Defined results: a null or empty text has no features, its score is 0; repeated rows
 get equal results; whole texts of any length count.
@@ -21,19 +24,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mcqlab.llm import features as ft
-from mcqlab.llm.common import buffer_of, slices
+from mcqlab.llm.common import buffer_of, mixed, slices
 from mcqlab.llm.sampling import sampled
 
 BITS, GRAM = 17, 3
 PER_GRADE = 1500
 NAMES = ("expected_grade", "tail_probability", "selected")
+BEGINNINGS = (4, 6)  # bytes
+#: Keys of features: shares of words, of byte runs; marks of words, of beginnings; words like the one before; the missing share of short texts; any strong mark.
+GRAMS, MARKS = 1 << BITS, 2 << BITS
+REPEATS = (3 + len(BEGINNINGS)) << BITS
+FEW_WORDS, FEW_GRAMS, ANY, SIZE = REPEATS + 1, REPEATS + 2, REPEATS + 3, REPEATS + 4
+FEW = 16  # added to the number of words or runs that shares are of
+UNLIKE, STRONG = 12.0, 60.0  # squared deviations between grades from which a mark is used, and is strong
+RARE = 0.01  # share of the best rows that may hold a strong mark
+MOST_LOST = 0.02  # of the best held-out rows, at the selection threshold
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # words, then byte runs
+    weights: np.ndarray  # by the keys of features
     thresholds: np.ndarray
     tail: int  # selection asks for a grade above this
+    strong: np.ndarray  # which features are strong marks
     least: float = 0.5
 
     def chances(self, score: np.ndarray) -> np.ndarray:
@@ -50,8 +63,20 @@ def _word_buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First key, words that are longer, and their buckets, for each length of BEGINNINGS."""
+    prefix = ft.prefix_hashes(ft.BYTE_VALUES[ft.LOWER[data]])
+    for j, n in enumerate(BEGINNINGS):
+        longer = np.flatnonzero(ends - starts > n)
+        yield (3 + j) << BITS, longer, _word_buckets(mixed(ft.spans(prefix, starts[longer], starts[longer] + n)))
+
+
+def damped(n: np.ndarray) -> np.ndarray:
+    return np.log2(1.0 + n) / 16
+
+
 def bags(rows: DataFrame, text: str, grade: str) -> list[tuple[int, bytes, bytes]]:
-    """(grade, features, values) of each row; at most 2 * 2**BITS features a row reach the driver."""
+    """(grade, keys, numbers) of each row; at most 4 * 2**BITS + 1 keys a row reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,20 +84,74 @@ def bags(rows: DataFrame, text: str, grade: str) -> list[tuple[int, bytes, bytes
             out = []
             for i in range(b.num_rows):
                 own = data[offsets[i] : offsets[i + 1]]
-                w, g = _word_buckets(ft.words(own, np.array([0, len(own)]))[0]), ft.gram_buckets(own, GRAM, BITS)
+                hashes, starts, ends, _ = ft.words(own, np.array([0, len(own)]))
                 k, v = [], []
-                for base, x in ((0, w), (1 << BITS, g)):
+                for base, x in ((0, _word_buckets(hashes)), (GRAMS, ft.gram_buckets(own, GRAM, BITS)), *((base, x) for base, _, x in beginnings(own, starts, ends))):
                     own_k, n = np.unique(x, return_counts=True)
                     k.append(own_k + base)
-                    v.append(n / max(1, len(x)))
-                out.append((np.concatenate(k).astype("<u4").tobytes(), np.concatenate(v).astype("<f4").tobytes()))
+                    v.append(n)
+                k.append(np.array([REPEATS]))
+                v.append(np.array([(hashes[1:] == hashes[:-1]).sum()]))
+                out.append((np.concatenate(k).astype("<u4").tobytes(), np.concatenate(v).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[j] for o in out], pa.binary()) for j in (0, 1))], ["grade", "k", "v"])
 
     got = rows.select(F.col(grade).cast("int").alias("grade"), F.col(text).alias("text")).mapInArrow(run, "grade int, k binary, v binary").collect()
     return sorted((r["grade"], bytes(r["k"]), bytes(r["v"])) for r in got)
 
 
-def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: float = 3.0, decay: float = 1e-7, seed: int = 5) -> Model:
+def _used(examples: list[tuple[int, bytes, bytes]], rows: np.ndarray, grades: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which features to fit: shares that are not rare, and marks that a lower grade holds more often than the best; which marks are strong."""
+    holds = np.zeros((top + 1, SIZE), np.int32)
+    for i in rows:
+        k = np.frombuffer(examples[i][1], "<u4")
+        holds[grades[i], k] += 1
+        holds[grades[i], k[k < GRAMS] + MARKS] += 1
+    used = holds.sum(0) >= max(3, 0.01 * len(rows))
+    used[MARKS:REPEATS] = False
+    strong = np.zeros(SIZE, bool)
+    n, best = np.bincount(grades[rows], minlength=top + 1), holds[top, MARKS:REPEATS]
+    for g in range(top):
+        if n[g] and n[top]:
+            own = holds[g, MARKS:REPEATS]
+            p = (own + best + 1) / (n[g] + n[top] + 2)
+            more = own / n[g] - best / n[top]
+            far = np.where((own >= 3) & (more > 0), more * more / (p * (1 - p) * (1 / n[g] + 1 / n[top])), 0)
+            used[MARKS:REPEATS] |= far >= UNLIKE
+            strong[MARKS:REPEATS] |= (far >= STRONG) & (best <= RARE * n[top])
+    used[REPEATS:] = True
+    return used, strong
+
+
+def _features(keys: bytes, numbers: bytes, used: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Used keys and values of one row."""
+    k, n = np.frombuffer(keys, "<u4"), np.frombuffer(numbers, "<u4")
+    ks, vs = [], []
+    for base, few in ((0, FEW_WORDS), (GRAMS, FEW_GRAMS)):
+        own = (k >= base) & (k < base + GRAMS)
+        if total := int(n[own].sum()):
+            ks += [k[own], [few]]
+            vs += [n[own] / (total + FEW), [FEW / (total + FEW)]]
+    word, other = k < GRAMS, k >= MARKS
+    k, v = np.concatenate([*ks, k[word] + MARKS, k[other]]).astype(np.int32), np.concatenate([*vs, damped(n[word]), damped(n[other])])
+    if strong[k].any():
+        k, v = np.append(k, np.int32(ANY)), np.append(v, 1 / 4)
+    return k[used[k]], v[used[k]]
+
+
+def threshold(chance: np.ndarray, grades: np.ndarray, top: int) -> float:
+    """The cut with the smallest sum of the lost share of the best grade and the passed shares of the others.
+
+    No more than MOST_LOST of the best rows may be lost.
+    """
+    values = np.unique(chance)
+    cuts = np.concatenate([values[:1], (values[1:] + values[:-1]) / 2])
+    below = {g: np.searchsorted(np.sort(chance[grades == g]), cuts) / (grades == g).sum() for g in range(top + 1) if (grades == g).any()}
+    lost = below.pop(top)
+    cost = np.where(lost <= MOST_LOST, lost + sum(1 - x for x in below.values()), np.inf)
+    return float(cuts[cost.argmin()])
+
+
+def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: float = 3.0, decay: float = 1e-6, seed: int = 5) -> Model:
     """Adam on the weighted ordinal log loss; a fifth of the rows sets the selection threshold."""
     grades = np.array([e[0] for e in examples], np.int64)
     top = int(grades.max()) if len(grades) else 1
@@ -80,11 +159,11 @@ def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: f
     held, own = np.sort(order[: len(order) // 5]), np.sort(order[len(order) // 5 :])
 
     def flat(rows):
-        k = [np.frombuffer(examples[i][1], "<u4").astype(np.int64) for i in rows]
-        v = [np.frombuffer(examples[i][2], "<f4").astype(np.float64) for i in rows]
+        k, v = zip(*(_features(*examples[i][1:], fit, strong) for i in rows)) if len(rows) else ((), ())
         owner = np.repeat(np.arange(len(rows)), np.array([len(x) for x in k], np.int64))
-        return (np.concatenate(k) if k else np.zeros(0, np.int64)), (np.concatenate(v) if v else np.zeros(0)), owner, grades[rows]
+        return (np.concatenate(k) if k else np.zeros(0, np.int32)), (np.concatenate(v) if v else np.zeros(0)), owner, grades[rows]
 
+    fit, strong = _used(examples, own, grades, top)
     k, v, owner, y = flat(own)
     used, k = np.unique(k, return_inverse=True)
     weight = 1 / np.maximum(np.bincount(y, minlength=top + 1), 1)[y] / (top + 1)
@@ -95,7 +174,7 @@ def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: f
     def cuts(q):
         return q[0] + np.concatenate([[0], np.cumsum(np.exp(q[1:]))])
 
-    model = Model(np.zeros(2 << BITS), cuts(p[len(used) :]), top - 1)
+    model = Model(np.zeros(SIZE), cuts(p[len(used) :]), top - 1, strong)
     if not len(examples):
         return model
     above = y[:, None] > np.arange(top)[None]
@@ -119,8 +198,7 @@ def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: f
     k, v, owner, y = flat(held)
     if (y == top).sum() >= 20:
         chance = model.chances(np.bincount(owner, weights=v * model.weights[k], minlength=len(held)))[:, model.tail]
-        # of the best rows no more than one in 200 may fall below the threshold
-        model.least = float(min(0.5, np.quantile(chance[y == top], 0.005)))
+        model.least = threshold(chance, y, top)
     return model
 
 
@@ -139,20 +217,31 @@ def graded(docs: DataFrame, model: Model, text: str = "text", with_text: bool =
     kept = docs.drop(*NAMES)
     at = kept.columns.index(text)
     back = [i for i in range(len(kept.columns)) if with_text or i != at]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**BITS numbers, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        of_words, of_grams = m.weights[: 1 << BITS], m.weights[1 << BITS :]
+        w, marks = m.weights, m.weights != 0
         for b in batches:
             data, offsets = buffer_of(b.column(at))
             score = np.zeros(b.num_rows)
             for i, j in slices(offsets):
                 own, at0 = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                hashes, _, _, first = ft.words(own, at0)
-                score[i:j] += ft.text_sums(of_words[_word_buckets(hashes)], first[:-1], first[1:]) / np.maximum(np.diff(first), 1)
-                last = at0[1:] - (GRAM - 1)
-                score[i:j] += ft.text_sums(of_grams[ft.gram_buckets(own, GRAM, BITS)], at0[:-1], last) / np.maximum(last - at0[:-1], 1)
+                hashes, starts, ends, first = ft.words(own, at0)
+                owner = np.repeat(np.arange(j - i), np.diff(first))
+                words, grams = _word_buckets(hashes), np.maximum(np.diff(at0) - (GRAM - 1), 0)
+                runs = ft.text_sums(w[GRAMS:MARKS][ft.gram_buckets(own, GRAM, BITS)], at0[:-1], at0[:-1] + grams)
+                for sums, n, few in ((ft.text_sums(w[words], first[:-1], first[1:]), np.diff(first), FEW_WORDS), (runs, grams, FEW_GRAMS)):
+                    score[i:j] += np.where(n > 0, (sums + FEW * w[few]) / (n + FEW), 0)
+                found = np.zeros(j - i, bool)
+                for base, which, x in ((MARKS, np.arange(len(words)), words), *beginnings(own, starts, ends)):
+                    hit = marks[x + base]
+                    pair, n = np.unique(owner[which[hit]] * (1 << BITS) + x[hit], return_counts=True)
+                    score[i:j] += np.bincount(pair >> BITS, weights=damped(n) * w[base + (pair & (GRAMS - 1))], minlength=j - i)
+                    found[owner[which[m.strong[x + base]]]] = True
+                score[i:j] += found * w[ANY] / 4
+                like = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+                score[i:j] += w[REPEATS] * damped(np.bincount(owner[1:][like], minlength=j - i))
             above = m.chances(score)
             tail = above[:, m.tail]
             yield pa.RecordBatch.from_arrays([*map(b.column, back), pa.array(above.sum(1)), pa.array(tail), pa.array(tail >= m.least)], [*(b.schema.names[i] for i in back), *NAMES])

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mcqlab.llm import language_id, media, order_minhash, packing, quality, sentence_pieces, suffix_dedup, token_counts, url_filter, vector_links
@@ -148,6 +149,27 @@ def test_quality(spark, docs, none):
     assert quality.graded(none, quality.fitted(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
 
 
+def test_quality_of_unseen_rows(spark):
+    d = "/root/testdata/sf0.1"
+    labels = table(spark, d, "labels").withColumn("unseen", F.crc32(F.col("doc_id").cast("string")) % 4 == 1)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality.fitted(docs, labels.where("NOT unseen"))
+    rows = docs.join(labels.where("unseen"), "doc_id")
+    few = rows.where("quality = 1 AND toxic = 0 AND length(text) BETWEEN 2000 AND 6000").withColumn("text", F.concat("text", F.lit(" you pathetic worthless idiot."))).withColumn("toxic", F.lit(2))
+    got = quality.graded(rows.unionByName(few), model, with_text=False).collect()
+    share = {k: np.mean([r["selected"] for r in got if (r["quality"], r["toxic"]) == k]) for k in ((0, 0), (1, 0), (1, 1), (1, 2))}
+    assert share[1, 0] > 0.96 and share[1, 1] < 0.4 and share[0, 0] < 0.08
+    assert share[1, 2] < 0.4  # three words of some hundreds
+
+
+def test_quality_threshold_bounds_all_grades():
+    grades = np.repeat([0, 1, 2], 200)
+    chance = np.concatenate([np.linspace(0, 0.2, 200), np.linspace(0.1, 0.4, 200), np.linspace(0.6, 1, 200)])
+    chance[-2:] = 0.001  # odd texts of the best grade
+    cut = quality.threshold(chance, grades, 2)
+    assert 0.4 < cut < 0.61
+
+
 def words_of(text):
     return "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in text or "").split()
 
