@@ -3,8 +3,9 @@
 A sequence has limits on tokens, segments and loss-bearing tokens. The open sequence
 takes the example whose demands have the largest dot product with what is left of
 the limits, among those that fit; when none fits, one is cut to fill it. Each task
-packs its own partition, so nothing is shuffled; what is left at a task's end is cut
-into sequences of power-of-two lengths, which need no padding.
+packs its own partition, so nothing is shuffled. A sequence that another limit, or a
+task's end, leaves short is cut into sequences of power-of-two lengths, which need no
+padding.
 
 Defined results: null and empty texts are one end token; very long texts are cut;
 rows with a null id are packed as well; repeated rows are packed again.
@@ -174,6 +175,9 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loss_rat
         def demands(items):
             return np.array([(len(x[2]) // 4, np.ceil(x[4] * (len(x[2]) // 4) - 1e-9)) for x in items], np.int64).reshape(-1, 2)
 
+        def unpadded(sequences):
+            return [own for s in sequences for own in ([s] if sum(n for _, _, n in s) == sequence else powers_of_two(s))]
+
         for batch in batches:
             rates = batch.column(2).to_pylist() if loss_rate else [1.0] * batch.num_rows
             for k in range(0, batch.num_rows, 512):
@@ -191,10 +195,10 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loss_rat
                     yield rows(whole, items)
                 if len(pool) >= 2048:
                     done = dot_product_packing(demands(pool), limits)
-                    yield rows(done[:-1], pool)
+                    yield rows(unpadded(done[:-1]), pool)
                     pool = [(pool[i][0], pool[i][1] + s, pool[i][2][4 * s : 4 * (s + n)], pool[i][3], pool[i][4]) for i, s, n in done[-1]]
         if pool:
             done = dot_product_packing(demands(pool), limits)
-            yield rows(done[:-1] + powers_of_two(done[-1]), pool)
+            yield rows(unpadded(done), pool)
 
     return docs.select(*columns).mapInArrow(run, schema)

@@ -88,6 +88,17 @@ def test_packing(docs, none):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_packing_of_short_texts_needs_no_padding(spark):
+    texts = spark.range(5000).selectExpr("id AS doc_id", "concat('word ', id % 10, ' end end') AS text").coalesce(1)
+    rows = packing.packed(texts).collect()
+    lengths, parts = {}, {}
+    for r in rows:
+        lengths[r["sequence_id"]] = lengths.get(r["sequence_id"], 0) + r["length"]
+        parts[r["sequence_id"]] = parts.get(r["sequence_id"], 0) + 1
+    assert all(n & (n - 1) == 0 for n in lengths.values()) and max(parts.values()) <= packing.SEGMENTS
+    assert {r["doc_id"] for r in rows} == set(range(5000)) and sum(lengths.values()) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values())
+
+
 def test_media(docs, none):
     rows = media.media_columns(docs, with_media=True).collect()
     assert media.media_columns(none).count() == 0
