@@ -1,7 +1,9 @@
 """The stages, each against what its input says."""
 
 import re
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -57,5 +59,10 @@ def test_all_tokens_are_packed(stages):
     assert sum(r["length"] for r in rows) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values())
 
 
+def test_packed_sequences_come_out_with_their_tokens(stages):
+    rows = stages[4][1].collect()
+    assert rows and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+
+
 def test_module_names():
     assert [re.sub("_", " ", n) for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "language id", "minhash near dedup", "suffix array dedup", "packing"]
