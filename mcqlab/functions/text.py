@@ -7,7 +7,7 @@ short escapes differ between regex dialects.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it inside its own lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -70,15 +75,23 @@ def clean_tokens(text: Column, stopwords: Sequence[str] = (), lemmas: Column | N
 
 def trigrams(tokens: Column) -> Column:
     """Distinct runs of three tokens; none below three tokens."""
-    n = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, 3), " "))
-    return F.when(n >= 3, F.array_distinct(grams)).when(n >= 0, F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i), F.get(t, i + 1)))
+        return F.when(n >= 3, F.array_distinct(grams)).when(n >= 0, F.array().cast("array<string>"))
+
+    return bound(tokens, of)
 
 
 def originality(question_grams: Column, sheet_grams: Column) -> Column:
     """Share of the question's trigrams that the sheet has not; 0 without a trigram."""
-    n = F.size(question_grams)
-    return F.when(n == 0, F.lit(0.0)).when(n > 0, F.size(F.array_except(question_grams, sheet_grams)) / n)
+
+    def of(own: Column) -> Column:
+        n = F.size(own)
+        return F.when(n == 0, F.lit(0.0)).when(n > 0, F.size(F.array_except(own, sheet_grams)) / n)
+
+    return bound(question_grams, of)
 
 
 def length_score(text: Column, low: int, high: int) -> Column:

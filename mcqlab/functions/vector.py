@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mcqlab.functions.text import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -23,7 +25,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    return F.transform(a, lambda x: F.try_divide(x.cast("double"), norm(a)))
+    return bound(norm(a), lambda n: F.transform(a, lambda x: F.try_divide(x.cast("double"), n)))
 
 
 def ambiguity(options: list[Column], correct: Column) -> Column:

@@ -1,5 +1,7 @@
 """Hand-derived values, properties and plans."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,17 @@ def test_originality(spark):
     assert [r[0] for r in frame.select(text.originality(*grams)).collect()] == [0.5, 0.0, 0.0, 0.0]
 
 
+def test_long_texts_take_linear_time(spark):
+    words = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
+    frame = spark.createDataFrame([(words, words + " tail end")], "q string, s string")
+    grams = [text.trigrams(text.clean_tokens(F.col(c))) for c in "qs"]
+    began = time.perf_counter()
+    assert frame.select(text.originality(*grams)).first()[0] == 0.0
+    long = spark.range(1).select(vector.l2_normalize(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: i.cast("double"))).alias("v"))
+    assert long.select(F.size("v")).first()[0] == 20_000
+    assert time.perf_counter() - began < 20
+
+
 def test_lemmas_and_stopwords(spark):
     lemmas = F.create_map(F.lit("mice"), F.lit("mouse"))
     assert values(spark, lambda t: text.clean_tokens(t, ["the"], lemmas), ["The mice_x, mice!"]) == [["mice_x", "mouse"]]
