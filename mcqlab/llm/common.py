@@ -33,14 +33,44 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Deletes what ``stored`` wrote, once nothing reads it any more."""
+    for df in tables:
+        _discard(df)
+
+
+def _discard(df: DataFrame) -> None:
     if path := getattr(df, "_stored_at", None):
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+HEAVY = 1000
+
+
+def dealt_join(rows: DataFrame, small: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of rows with small, which has one row a key and in column ``n`` the number of rows of that key.
+
+    Keys of more than 1 in HEAVY of all rows are fewer than HEAVY, so they are
+    broadcast, and their rows stay where they are; a task of the join of the others
+    never gets more than that share for one key. Both tables are read twice: store them.
+    """
+    total = rows.count()
+    heavy = small.where(F.col(n) * HEAVY > total)
+    if heavy.isEmpty():
+        return rows.join(small, keys)
+    there = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(small.where(F.col(n) * HEAVY <= total), keys)
+    return there.unionByName(rest)
+
+
+def without(keep: tuple[str, ...] | list[str], names: tuple[str, ...] | list[str]) -> list[str]:
+    """The columns to keep whose names no result has."""
+    taken = {n.lower() for n in names}
+    return [c for c in keep if c.lower() not in taken]
+
+
 def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts behind each other, and n + 1 offsets. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -52,7 +82,7 @@ def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 256_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes; a longer text has a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

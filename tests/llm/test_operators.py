@@ -253,9 +253,9 @@ def brute_spans(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_suffix_dedup(spark, none, most):
-    r = random.Random(most)
+@pytest.mark.parametrize(("most", "piece"), [(4096, 256_000), (2, 256_000), (4096, 260)])
+def test_suffix_dedup(spark, none, most, piece):
+    r = random.Random(most + piece)
     base = ["".join(r.choice("abcdefé ") for _ in range(r.randint(150, 900))) for _ in range(10)]
     rows = []
     for i in range(50):
@@ -270,13 +270,27 @@ def test_suffix_dedup(spark, none, most):
     rows += [(300, "tail" + "periodic! " * 30), (301, "periodic! " * 33 + "end")]
     want = brute_spans(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS pos", "1 AS g")
-    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.deduplicated(frame, most=most).collect()}
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.deduplicated(frame, most=most, piece=piece).collect()}
     assert got == want
-    kept = suffix_dedup.deduplicated(frame, keep=("pos", "g"), with_text=True, most=most).collect()
-    assert all(x["pos"] == "k" and len(x["kept_text"].encode()) >= x["n_bytes"] - x["n_removed"] for x in kept)
+    frame = frame.selectExpr("*", "5 AS spans", "6 AS n_bytes", "7 AS kept_text", "8 AS t1", "9 AS k0")
+    kept = suffix_dedup.deduplicated(frame, keep=("pos", "g", "spans", "n_bytes", "kept_text", "t1", "k0"), with_text=True, most=most).collect()
+    assert all((x["pos"], x["g"], x["spans"], x["t1"], x["k0"]) == ("k", 1, 5, 8, 9) and x["n_bytes"] == want[x["doc_id"]][0] for x in kept)
+    assert all(x["kept_text"] is None if x["doc_id"] == 106 else len(x["kept_text"].encode()) >= x["n_bytes"] - x["n_removed"] for x in kept)
     assert suffix_dedup.deduplicated(none.select("doc_id", "text")).count() == 0
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    r = random.Random(8)
+    new = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, c = new(300), new(260), new(400)
+    texts = [a + new(50), new(40) + a, b, c, c, new(500), new(30) + b, "short", "short"]
+    ids = [1, None, 1, 2, 2, 2, None, None, None]
+    want = brute_spans(list(enumerate(texts)))
+    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    got = sorted((str(x["doc_id"]), *tuple(x)[1:]) for x in suffix_dedup.deduplicated(frame).collect())
+    assert got == sorted((str(i), *want[k]) for k, i in enumerate(ids))
+
+
 def test_vector_links(spark):
     r = np.random.default_rng(6)
     base = r.normal(size=(20, 16))
