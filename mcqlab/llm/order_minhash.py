@@ -8,13 +8,15 @@ classes are linked if 1 - edit distance / longer length, over shingles, is 0.8 o
 more; candidates are verified by a banded alignment whose band is that allowance.
 
 No bucket is turned into all its pairs. Its members are first aligned with its
-leader, the member that stands in the fullest buckets. Where that leaves members unlinked, the pairs still open go through
-an exact prefix filter: linked texts must share one of their rarest shingles, so texts
-that only share a common passage never meet.
+leader, the member that stands in the fullest buckets. Where that leaves members
+unlinked, the pairs still open go through an exact prefix filter: linked texts must
+share one of their rarest shingles, so texts that only share a common passage never
+meet. Word sequences are told apart by two hashes of 64 bits, words by 32 bits.
 
 Defined results: null and empty texts, and texts without a word, are classes of their
 own and link with nothing; a row without an id is ignored for links and gets a null
-class; very long texts count whole; other columns are left out or pass through.
+class; of a repeated id, each row is in the class of its own text; repeated rows get
+equal results; very long texts count whole; other columns are left out.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mcqlab.llm import features as ft
-from mcqlab.llm.common import MIX, buffer_of, components, mixed, slices, stored
+from mcqlab.llm.common import MIX, buffer_of, components, dealt_join, discard, mixed, slices, stored
 
 WORDS, SKETCHES, LENGTH, LEAST = 5, 24, 3, 0.8
 PIECE = 50_000  # shingles handled at once
@@ -88,26 +90,31 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (hashes >> np.uint64(32)).astype(np.uint32), at
 
 
+def _sequence_keys(hashes: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the word sequence of each of the rows."""
+    prefixes = ft.prefix_hashes(hashes), ft.prefix_hashes(mixed(hashes ^ MIX))
+    return [(mixed(ft.spans(p, at[rows], at[rows + 1])) + np.diff(at)[rows].astype(np.uint64)).view(np.int64) for p in prefixes]
+
+
 def sketched(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, n, k1, k2, sketch) of every document with a word and an id; k1, k2 identify the word sequence."""
+    """(doc_id, hash, n, k1, k2, sketch) of every document with a word and an id; k1, k2 identify the word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = buffer_of(b.column(1))
+            data, offsets = buffer_of(b.column(2))
             for i, j in slices(offsets):
                 hashes, _, _, at = ft.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 words = (hashes >> np.uint64(32)).astype(np.uint32)
-                one = ft.prefix_hashes(hashes)
-                two = ft.prefix_hashes(mixed(hashes ^ MIX))
                 some = np.flatnonzero(np.diff(at))
-                keys = [(mixed(ft.spans(p, at[some], at[some + 1])) + np.diff(at)[some].astype(np.uint64)).view(np.int64) for p in (one, two)]
+                keys = _sequence_keys(hashes, at, some)
                 flat = [sketches(shingles(words[at[r] : at[r + 1]])) for r in some]
                 n = np.maximum(np.diff(at)[some] - WORDS + 1, 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SKETCHES), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some + i)), pa.array(n), *map(pa.array, keys), lists], ["doc_id", "n", "k1", "k2", "sketch"])
+                take = pa.array(some + i)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(n), *map(pa.array, keys), lists], ["doc_id", "hash", "n", "k1", "k2", "sketch"])
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull())
-    return own.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    return own.mapInArrow(run, "doc_id long, hash long, n long, k1 long, k2 long, sketch array<long>")
 
 
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
@@ -191,23 +198,28 @@ def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
                     out.append(aligned(left, shingles(np.frombuffer(y.as_buffer(), "<u4")), least))
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *(pa.array([o[i] for o in out], pa.bool_()) for i in (0, 1))], ["a", "b", "linked", "near"])
 
-    second = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
-    both = second.join(words.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").select("a", "b", "wa", "wb")
+    # few leaders stand in most pairs
+    often = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).join(words.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a"))
+    both = dealt_join(pairs, often, ["a"], "n").join(words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
     return both.mapInArrow(run, "a long, b long, linked boolean, near boolean")
 
 
-def words_of(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, w) of the documents in ids (doc_id); one row an id."""
+def words_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """wanted (cid, rep, k1, k2) -> (doc_id, w): the words of each class under its cid, from rows of the id rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = buffer_of(b.column(1))
+            data, offsets = buffer_of(b.column(0))
             for i, j in slices(offsets):
-                words, at = word_ids(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([words[at[r] : at[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["doc_id", "w"])
+                hashes, _, _, at = ft.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                words = (hashes >> np.uint64(32)).astype(np.uint32)
+                keys = _sequence_keys(hashes, at, np.arange(j - i))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array([words[at[r] : at[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["k1", "k2", "w"])
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull())
-    return own.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, w binary").dropDuplicates(["doc_id"])
+    ids = wanted.select(F.col("rep").alias("_rep"))
+    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(ids, F.col("_id") == F.col("_rep"), "left_semi").select("_text")
+    found = own.mapInArrow(run, "k1 long, k2 long, w binary")
+    return wanted.join(found, ["k1", "k2"]).groupBy(F.col("cid").alias("doc_id")).agg(F.first("w").alias("w"))
 
 
 def _rest(members: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -229,14 +241,21 @@ def _rest(members: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
     own = members.join(words.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", "w")
     grams = stored(own.mapInArrow(explode, "rep long, component long, g long"))
-    often = grams.groupBy("g").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    often = stored(grams.groupBy("g").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1")))
     # a shingle of one component only orders the prefixes; it makes no pair
-    ranked = grams.join(often, "g").groupBy("rep", "component").agg(F.array_sort(F.collect_list(F.struct("df", "g", (F.col("c0") < F.col("c1")).alias("shared")))).alias("gs"))
+    ranked = dealt_join(grams, often, ["g"], "df").groupBy("rep", "component").agg(F.array_sort(F.collect_list(F.struct("df", "g", (F.col("c0") < F.col("c1")).alias("shared")))).alias("gs"))
     prefix = F.slice("gs", 1, (F.size("gs") - F.ceil(F.lit(least) * F.size("gs") - F.lit(1e-9)) + 1).cast("int"))
     keys = stored(ranked.select("rep", "component", F.size("gs").alias("n"), F.explode(F.filter(prefix, lambda x: x["shared"])).alias("x")).select("rep", "component", "n", "x.g"))
-    x, y = keys.alias("x"), keys.alias("y")
-    close = (F.col("x.n") >= F.lit(least) * F.col("y.n")) & (F.col("y.n") >= F.lit(least) * F.col("x.n"))
-    return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    discard(grams, often)
+    # components meet first, so that no pair within one is made
+    kinds = keys.groupBy("g", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    c, d = kinds.alias("c"), kinds.alias("d")
+    may = (F.col("c.high") >= F.lit(least) * F.col("d.low")) & (F.col("d.high") >= F.lit(least) * F.col("c.low"))
+    met = c.join(d, (F.col("c.g") == F.col("d.g")) & (F.col("c.component") < F.col("d.component")) & may).select("c.g", F.col("c.component").alias("cx"), F.col("d.component").alias("cy"))
+    x = keys.select("g", F.col("component").alias("cx"), F.col("rep").alias("rx"), F.col("n").alias("nx"))
+    y = keys.select("g", F.col("component").alias("cy"), F.col("rep").alias("ry"), F.col("n").alias("ny"))
+    close = (F.col("nx") >= F.lit(least) * F.col("ny")) & (F.col("ny") >= F.lit(least) * F.col("nx"))
+    return met.join(x, ["g", "cx"]).join(y, ["g", "cy"]).where(close).select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).distinct()
 
 
 def _with_component(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFrame:
@@ -244,39 +263,74 @@ def _with_component(rows: DataFrame, labels: DataFrame, of: str, name: str) -> D
     return rows.join(named, F.col(of) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", of)).drop("_node", "_component")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """docs -> (doc_id, class_id, kept): the smallest id that links and copies reach, and whether it is the row's own."""
+def class_labels(docs: DataFrame, text: str, doc_id: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2) with an id and a word, and (k1, k2, class_id) of the word sequences, both stored."""
     own = stored(sketched(docs, text, doc_id))
-    classes = stored(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    keys = stored(classes.select("rep", "n", F.explode(F.array_distinct("sketch")).alias("s")))
+    grouped = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # the numbers are fixed by being written with the rows
+    classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()))
+    keys = stored(classes.select(F.col("cid").alias("rep"), "n", F.explode(F.array_distinct("sketch")).alias("s")))
     # a bucket's leader is its member in the fullest buckets: the middle of a group of copies, within reach of most of them
-    shared = keys.join(keys.groupBy("s").agg(F.count("*").alias("m")).where("m > 1"), "s")
-    shared = stored(shared.join(shared.groupBy("rep").agg(F.sum("m").alias("weight")), "rep"))
-    leaders = shared.groupBy("s").agg(F.min(F.struct(-F.col("weight"), "rep", "n")).alias("l")).select("s", F.col("l.rep").alias("a"), F.col("l.n").alias("na"))
-    members = stored(shared.join(leaders, "s").where("rep <> a").select("s", "m", "a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")))
+    sizes = stored(keys.groupBy("s").agg(F.count("*").alias("m")).where("m > 1"))
+    met = stored(dealt_join(keys, sizes, ["s"], "m"))
+    shared = stored(met.join(met.groupBy("rep").agg(F.sum("m").alias("weight")), "rep"))
+    leaders = stored(shared.groupBy("s").agg(F.min(F.struct(-F.col("weight"), "rep", "n")).alias("l"), F.first("m").alias("size")).select("s", F.col("l.rep").alias("a"), F.col("l.n").alias("na"), "size"))
+    members = stored(dealt_join(shared, leaders, ["s"], "size").where("rep <> a").select("s", "m", "a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")))
+    discard(keys, sizes, met, shared, leaders)
     close = (F.col("na") >= F.lit(least) * F.col("nb")) & (F.col("nb") >= F.lit(least) * F.col("na"))
     pairs = stored(members.where(close).select("a", "b").distinct())
-    ids = members.where("m > 2").select(F.col("b").alias("doc_id")).union(members.where("m > 2").select("a")).union(pairs.select("a")).union(pairs.select("b")).distinct()
-    words = stored(words_of(docs, ids, text, doc_id))
+    crowded = members.where("m > 2")
+    ids = crowded.select(F.col("b").alias("cid")).union(crowded.select("a")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    words = stored(words_of(docs, classes.join(ids, "cid").select("cid", "rep", "k1", "k2"), text, doc_id))
     first = stored(verified(pairs, words, least))
     links = first.where("linked").select("a", "b")
     labels = components(links)
     # open: members apart from their bucket's leader, if another such member or one on the leader's side may be linked with them
-    state = _with_component(_with_component(members.where("m > 2"), labels, "b", "cb"), labels, "a", "ca").join(first, ["a", "b"], "left")
+    of_leaders = stored(_with_component(crowded.groupBy("a").agg(F.count("*").alias("led")), labels, "a", "ca"))
+    state = dealt_join(stored(_with_component(crowded, labels, "b", "cb")), of_leaders, ["a"], "led")
+    state = stored(state.join(first, ["a", "b"], "left"))
     apart = F.col("ca") != F.col("cb")
     near = F.coalesce("near", (F.col("na") <= 2 * F.col("nb")) & (F.col("nb") <= 2 * F.col("na")))  # not aligned: lengths alone rule out the link
     direct = F.coalesce("linked", F.lit(False))
     bucket = state.groupBy("s").agg(
-        F.min(F.when(apart, F.col("cb"))).alias("c0"), F.max(F.when(apart, F.col("cb"))).alias("c1"),
+        F.count("*").alias("size"), F.min(F.when(apart, F.col("cb"))).alias("c0"), F.max(F.when(apart, F.col("cb"))).alias("c1"),
         F.max(apart & near).alias("any_near"), F.max(~apart & direct).alias("any_direct"), F.max(~apart & ~direct).alias("any_by_chain"),
     )
     bucket = bucket.withColumn("joined", (F.col("any_near") & F.col("any_direct")) | F.col("any_by_chain")).where((F.col("c0") < F.col("c1")) | (F.col("joined") & F.col("c0").isNotNull()))
-    still = stored(state.join(bucket, "s").where(apart | F.col("joined")).select(F.col("b").alias("rep"), F.col("cb").alias("component")).distinct())
+    bucket = stored(bucket.select("s", "size", "joined"))
+    still = stored(dealt_join(state, bucket, ["s"], "size").where(apart | F.col("joined")).select(F.col("b").alias("rep"), F.col("cb").alias("component")).distinct())
+    discard(members, pairs, labels, of_leaders, state, bucket)
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(_rest(still, words, least).join(known, ["a", "b"], "left_anti"))
-    links = links.union(verified(more, words, least).where("linked").select("a", "b"))
+    links = stored(links.union(verified(more, words, least).where("linked").select("a", "b")))
+    discard(first, more, words, still)
     labels = components(links)
-    facts = _with_component(own.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep"), labels, "rep", "class_id").select("doc_id", "class_id").dropDuplicates(["doc_id"])
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
-    out = ids.join(facts, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    named = _with_component(classes.select("k1", "k2", "cid", "rep", "copies"), labels, "cid", "component")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("size"))
+    sequences = stored(dealt_join(stored(named), stored(smallest), ["component"], "size").select("k1", "k2", "class_id", "copies"))
+    discard(classes, links, labels)
+    return own, sequences
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST, with_hash: bool = False) -> DataFrame:
+    """docs -> (doc_id, class_id, kept): the smallest id that links and copies reach, and whether it is the row's own.
+
+    with_hash: the text's hash too.
+    """
+    own, sequences = class_labels(docs, text, doc_id, least)
+    facts = dealt_join(own.select("doc_id", "hash", "k1", "k2"), sequences, ["k1", "k2"], "copies").select("doc_id", "hash", "class_id")
+    # rows without a word or an id have no sequence
+    rest = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNull() | ~has_word(F.col("text")))
+    out = facts.unionByName(rest.select("doc_id", F.xxhash64("text").alias("hash"), F.col("doc_id").alias("class_id")))
+    return out.select("doc_id", *["hash"] * with_hash, "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def has_word(text: Column) -> Column:
+    """Whether a text has an ASCII letter or digit, or a character beyond ASCII."""
+    return F.coalesce(text.rlike(r"[^\x00-/:-@\[-`{-\x7f]"), F.lit(False))
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """The rows of docs that bear the smallest id of their class, and those without a class."""
+    others = near_duplicates(docs, text, doc_id, least, with_hash=True).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    return docs.join(others, (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")

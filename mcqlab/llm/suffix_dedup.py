@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from mcqlab.llm import features as ft
 from mcqlab.llm.common import HEAVY, buffer_of, dealt_join, discard, mixed, slices, stored, without
 
-SPAN, GRAM, MOST = 200, 32, 4096
+SPAN, GRAM, MOST = 200, 32, 16_384
 BEFORE = SPAN - GRAM
 PIECE = 256_000  # bytes of text, and window places, handled at once
 LOW = np.uint64(0xFFFFFFFF)

@@ -234,6 +234,10 @@ def test_near_duplicates(spark, docs, none):
     got = {x["doc_id"]: x["class_id"] for x in order_minhash.near_duplicates(frame).collect()}
     assert got == want
     assert order_minhash.near_duplicates(none).count() == 0
+    twice = [(1, "a b c d e f g"), (1, "q r s t u v"), (2, "Q r s t u v"), (3, "a b c d e f g"), (None, "a b c d e f g"), (4, "!"), (4, None), (4, "")]
+    again = spark.createDataFrame(twice, "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["class_id"] or 0) for x in order_minhash.near_duplicates(again).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4)]
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in order_minhash.representatives(again).collect()) == [(0, twice[0][1]), (1, twice[0][1]), (1, twice[1][1]), (4, ""), (4, ""), (4, "!")]
     small = order_minhash.near_duplicates(docs).collect()
     assert len(small) == docs.count() and {x["class_id"] for x in small if x["doc_id"] in (1, 6)} == {1}
 
@@ -253,7 +257,7 @@ def brute_spans(rows):
     return out
 
 
-@pytest.mark.parametrize(("most", "piece"), [(4096, 256_000), (2, 256_000), (4096, 260)])
+@pytest.mark.parametrize(("most", "piece"), [(16_384, 256_000), (2, 256_000), (16_384, 260)])
 def test_suffix_dedup(spark, none, most, piece):
     r = random.Random(most + piece)
     base = ["".join(r.choice("abcdefé ") for _ in range(r.randint(150, 900))) for _ in range(10)]
