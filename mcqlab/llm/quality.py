@@ -3,11 +3,13 @@
 One weight vector over hashed features is shared by all grades; ordered thresholds cut
 its score into grades. Shares of words, and of runs of three bytes, tell the look of a
 text. Words and beginnings of words that the lower grades hold more often than the best
-count by the logarithm of their number, not by their share, so a few of them tell in a
-text of any length. The chance of a grade above k is 1 / (1 + exp(threshold_k - score)).
-From it come the expected grade and the tail probability that selection uses. Fitted on
-a bounded sample (``per_grade`` rows of each grade); its held-out rows of all grades set
-the selection threshold.
+are marks. Marks that are words count by the logarithm of their number, so a few of them
+tell in a text of any length; beginnings, which clean texts hold now and then, by that of
+their share. The chance of a grade above k is 1 / (1 + exp(threshold_k - score)),
+that of grade k the difference of two of them, and weights and thresholds are fitted to
+the likelihood of the grades. From it come the expected grade and the tail probability
+that selection uses. Fitted on a bounded sample (``per_grade`` rows of each grade,
+MOST_KEYS features in all); its held-out rows of all grades set the selection threshold.
 
 Defined results: a null or empty text has no features, its score is 0; repeated rows
 get equal results; whole texts of any length count.
@@ -25,17 +27,17 @@ from pyspark.sql import functions as F
 
 from mcqlab.llm import features as ft
 from mcqlab.llm.common import buffer_of, mixed, slices
-from mcqlab.llm.sampling import sampled
+from mcqlab.llm.sampling import collected, sampled
 
 BITS, GRAM = 17, 3
-PER_GRADE = 1500
+PER_GRADE, MOST_KEYS = 1500, 4_500_000
 NAMES = ("expected_grade", "tail_probability", "selected")
-BEGINNINGS = (4, 6)  # bytes
+BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 #: Keys of features: shares of words, of byte runs; marks of words, of beginnings; words like the one before; the missing share of short texts; any strong mark.
-GRAMS, MARKS = 1 << BITS, 2 << BITS
+GRAMS, MARKS, WORD_MARKS = 1 << BITS, 2 << BITS, 3 << BITS
 REPEATS = (3 + len(BEGINNINGS)) << BITS
 FEW_WORDS, FEW_GRAMS, ANY, SIZE = REPEATS + 1, REPEATS + 2, REPEATS + 3, REPEATS + 4
-FEW = 16  # added to the number of words or runs that shares are of
+FEW, DENSE = 16, 256  # added to the number of words or runs that shares are of; the share of a beginning is times DENSE before its logarithm
 UNLIKE, STRONG = 12.0, 60.0  # squared deviations between grades from which a mark is used, and is strong
 RARE = 0.01  # share of the best rows that may hold a strong mark
 MOST_LOST = 0.02  # of the best held-out rows, at the selection threshold
@@ -76,7 +78,7 @@ def damped(n: np.ndarray) -> np.ndarray:
 
 
 def bags(rows: DataFrame, text: str, grade: str) -> list[tuple[int, bytes, bytes]]:
-    """(grade, keys, numbers) of each row; at most 4 * 2**BITS + 1 keys a row reach the driver."""
+    """(grade, keys, numbers) of the rows; at most MOST_KEYS keys reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,10 +95,9 @@ def bags(rows: DataFrame, text: str, grade: str) -> list[tuple[int, bytes, bytes
                 k.append(np.array([REPEATS]))
                 v.append(np.array([(hashes[1:] == hashes[:-1]).sum()]))
                 out.append((np.concatenate(k).astype("<u4").tobytes(), np.concatenate(v).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[j] for o in out], pa.binary()) for j in (0, 1))], ["grade", "k", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[j] for o in out], pa.binary()) for j in (0, 1))], ["label", "k", "n"])
 
-    got = rows.select(F.col(grade).cast("int").alias("grade"), F.col(text).alias("text")).mapInArrow(run, "grade int, k binary, v binary").collect()
-    return sorted((r["grade"], bytes(r["k"]), bytes(r["v"])) for r in got)
+    return collected(rows.select(F.col(grade).cast("int").alias("label"), F.col(text).alias("text")).mapInArrow(run, "label int, k binary, n binary"), MOST_KEYS)
 
 
 def _used(examples: list[tuple[int, bytes, bytes]], rows: np.ndarray, grades: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ def _used(examples: list[tuple[int, bytes, bytes]], rows: np.ndarray, grades: np
             more = own / n[g] - best / n[top]
             far = np.where((own >= 3) & (more > 0), more * more / (p * (1 - p) * (1 / n[g] + 1 / n[top])), 0)
             used[MARKS:REPEATS] |= far >= UNLIKE
-            strong[MARKS:REPEATS] |= (far >= STRONG) & (best <= RARE * n[top])
+            strong[MARKS:WORD_MARKS] |= ((far >= STRONG) & (best <= RARE * n[top]))[:GRAMS]
     used[REPEATS:] = True
     return used, strong
 
@@ -131,30 +132,64 @@ def _features(keys: bytes, numbers: bytes, used: np.ndarray, strong: np.ndarray)
         if total := int(n[own].sum()):
             ks += [k[own], [few]]
             vs += [n[own] / (total + FEW), [FEW / (total + FEW)]]
-    word, other = k < GRAMS, k >= MARKS
-    k, v = np.concatenate([*ks, k[word] + MARKS, k[other]]).astype(np.int32), np.concatenate([*vs, damped(n[word]), damped(n[other])])
+    word, start, last = k < GRAMS, (k >= MARKS) & (k < REPEATS), k == REPEATS
+    marks, often = np.concatenate([k[word] + MARKS, k[start]]), np.concatenate([n[word], n[start]])
+    often = np.where(marks < WORD_MARKS, often, DENSE * often / (int(n[word].sum()) + FEW))
+    k, v = np.concatenate([*ks, marks, k[last]]).astype(np.int32), np.concatenate([*vs, damped(often), damped(n[last])])
     if strong[k].any():
-        k, v = np.append(k, np.int32(ANY)), np.append(v, 1 / 4)
+        k, v = np.append(k, np.int32(ANY)), np.append(v, 1.0)
     return k[used[k]], v[used[k]]
 
 
 def threshold(chance: np.ndarray, grades: np.ndarray, top: int) -> float:
     """The cut with the smallest sum of the lost share of the best grade and the passed shares of the others.
 
-    No more than MOST_LOST of the best rows may be lost.
+    No more than MOST_LOST of the best rows may be lost, by an estimate one standard error above what is seen.
     """
     values = np.unique(chance)
     cuts = np.concatenate([values[:1], (values[1:] + values[:-1]) / 2])
     below = {g: np.searchsorted(np.sort(chance[grades == g]), cuts) / (grades == g).sum() for g in range(top + 1) if (grades == g).any()}
     lost = below.pop(top)
-    cost = np.where(lost <= MOST_LOST, lost + sum(1 - x for x in below.values()), np.inf)
+    n = (grades == top).sum()
+    cost = np.where(lost + np.sqrt((lost + 1 / n) * (1 - lost) / n) <= MOST_LOST, lost + sum(1 - x for x in below.values()), np.inf)
     return float(cuts[cost.argmin()])
 
 
-def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: float = 3.0, decay: float = 1e-6, seed: int = 5) -> Model:
-    """Adam on the weighted ordinal log loss; a fifth of the rows sets the selection threshold."""
+def cuts(q: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logarithms of the steps."""
+    return q[0] + np.concatenate([[0], np.cumsum(np.exp(q[1:]))])
+
+
+def likelihood(p: np.ndarray, top: int, k: np.ndarray, v: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """The weighted negative log likelihood of grades y under cumulative links, and its gradient.
+
+    p: weights, then the first of ``top`` thresholds and the logarithms of the steps. Row
+    owner[i] has the value v[i] of feature k[i].
+    """
+    n = len(p) - top
+    score = np.bincount(owner, weights=v * p[k], minlength=len(y))
+    above = np.ones((len(y), top + 2))  # chances of a grade above -1, 0, ..., top
+    above[:, -1] = 0
+    above[:, 1:-1] = 1 / (1 + np.exp(np.clip(cuts(p[n:])[None] - score[:, None], -50, 50)))
+    rows = np.arange(len(y))
+    upper, lower = above[rows, y], above[rows, y + 1]
+    chance = np.maximum(upper - lower, 1e-12)
+    loss = -(weight * np.log(chance)).sum() + decay / 2 * (p[:n] ** 2).sum()
+    g = np.empty_like(p)
+    g[:n] = np.bincount(k, weights=v * ((upper + lower - 1) * weight)[owner], minlength=n) + decay * p[:n]
+    back = np.zeros(top + 2)
+    np.add.at(back, y, weight * upper * (1 - upper) / chance)
+    np.add.at(back, y + 1, -weight * lower * (1 - lower) / chance)
+    steps = np.cumsum(back[1:-1][::-1])[::-1]
+    g[n] = steps[0]
+    g[n + 1 :] = steps[1:] * np.exp(p[n + 1 :])
+    return loss, g
+
+
+def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 300, rate: float = 3.0, decay: float = 1e-6, seed: int = 5) -> Model:
+    """Adam on the likelihood, all grades weighted alike; a fifth of the rows sets the selection threshold."""
     grades = np.array([e[0] for e in examples], np.int64)
-    top = int(grades.max()) if len(grades) else 1
+    top = max(1, int(grades.max())) if len(grades) else 1
     order = np.random.default_rng(seed).permutation(len(examples))
     held, own = np.sort(order[: len(order) // 5]), np.sort(order[len(order) // 5 :])
 
@@ -171,24 +206,11 @@ def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: f
     p[len(used)] = -0.5
     m, s = np.zeros_like(p), np.zeros_like(p)
 
-    def cuts(q):
-        return q[0] + np.concatenate([[0], np.cumsum(np.exp(q[1:]))])
-
     model = Model(np.zeros(SIZE), cuts(p[len(used) :]), top - 1, strong)
     if not len(examples):
         return model
-    above = y[:, None] > np.arange(top)[None]
     for t in range(1, rounds + 1):
-        score = np.bincount(owner, weights=v * p[k], minlength=len(own))
-        c = cuts(p[len(used) :])
-        # the log loss of every "above k?" question, summed: its thresholds share the weights
-        error = (1 / (1 + np.exp(np.clip(c[None] - score[:, None], -50, 50))) - above) * weight[:, None]
-        g = np.empty_like(p)
-        g[: len(used)] = np.bincount(k, weights=v * error.sum(1)[owner], minlength=len(used)) + decay * p[: len(used)]
-        back = -error.sum(0)
-        steps = np.cumsum(back[::-1])[::-1]
-        g[len(used)] = steps[0]
-        g[len(used) + 1 :] = steps[1:] * np.exp(p[len(used) + 1 :])
+        _, g = likelihood(p, top, k, v, owner, y, weight, decay)
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         move = (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
         move[len(used) :] *= 0.02
@@ -205,7 +227,7 @@ def trained(examples: list[tuple[int, bytes, bytes]], rounds: int = 200, rate: f
 def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_grade: int = PER_GRADE) -> Model:
     """A model from a bounded sample of rated documents; a document's lowest rating counts."""
     rated = labels.select(key, grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade IS NOT NULL").groupBy(key).agg(F.min("grade").alias("grade"))
-    chosen = rated.where(sampled(rated, "grade", key, per_grade))
+    chosen = sampled(rated, "grade", key, per_grade)
     return trained(bags(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key), text, "grade"))
 
 
@@ -237,9 +259,11 @@ def graded(docs: DataFrame, model: Model, text: str = "text", with_text: bool =
                 for base, which, x in ((MARKS, np.arange(len(words)), words), *beginnings(own, starts, ends)):
                     hit = marks[x + base]
                     pair, n = np.unique(owner[which[hit]] * (1 << BITS) + x[hit], return_counts=True)
+                    if base > MARKS:
+                        n = DENSE * n / (np.diff(first)[pair >> BITS] + FEW)
                     score[i:j] += np.bincount(pair >> BITS, weights=damped(n) * w[base + (pair & (GRAMS - 1))], minlength=j - i)
                     found[owner[which[m.strong[x + base]]]] = True
-                score[i:j] += found * w[ANY] / 4
+                score[i:j] += found * w[ANY]
                 like = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
                 score[i:j] += w[REPEATS] * damped(np.bincount(owner[1:][like], minlength=j - i))
             above = m.chances(score)

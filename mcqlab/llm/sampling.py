@@ -2,27 +2,50 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_CLASSES = 256
+from mcqlab.llm.common import discard, stored
+
+MOST_CLASSES = 10_000
 
 
-def sampled(rows: DataFrame, label: str, key: str, per_class: int, seed: int = 7) -> Column:
-    """A predicate that holds for the ``per_class`` first rows of each class by hash of the key.
+def sampled(rows: DataFrame, label: str, key: str, per_class: int, most_rows: int | None = None, seed: int = 7) -> DataFrame:
+    """The ``per_class`` first rows of each class by hash of the key; rows without a label are left out.
 
-    Classes are the MOST_CLASSES most frequent labels. Only keys and labels are read;
-    rows are thinned by hash before they are ranked, so a frequent class is no hot task.
+    most_rows: with many classes, each gets an equal share of so many rows, one at
+    least. Only keys and labels are read; rows are thinned by hash before they are
+    ranked, so a frequent class is no hot task. More than MOST_CLASSES classes are
+    refused: then the column is no label.
     """
     h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
     narrow = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), h.alias("h"))
-    counts = narrow.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_CLASSES).collect()
+    counts = narrow.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"over {MOST_CLASSES} classes in {label}")
     if not counts:
-        return F.lit(False)
-    share = {r["label"]: min(1.0, 4.0 * per_class / r["n"]) for r in counts}
-    thin = reduce(lambda a, b: a | b, ((F.col("label") == v) & (F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + p * 2**64)))) for v, p in share.items()))
-    ranked = narrow.where(thin).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_class)
-    cuts = {r["label"]: r["cut"] for r in ranked.groupBy("label").agg(F.max("h").alias("cut")).collect()}
-    return reduce(lambda a, b: a | b, ((F.col(label) == v) & (h <= F.lit(cut)) for v, cut in cuts.items()), F.lit(False))
+        return rows.where("false")
+    if most_rows is not None:
+        per_class = max(1, min(per_class, most_rows // len(counts)))
+    spark, kind = rows.sparkSession, narrow.schema["label"].dataType.simpleString()
+    top = [(r["label"], min(2**63 - 1, int(-(2**63) + min(1.0, 4.0 * per_class / r["n"]) * 2**64))) for r in counts]
+    thin = narrow.join(F.broadcast(spark.createDataFrame(top, f"label {kind}, top long")), "label").where("h <= top")
+    ranked = thin.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_class)
+    cuts = spark.createDataFrame([(r["label"], r["cut"]) for r in ranked.groupBy("label").agg(F.max("h").alias("cut")).collect()], f"_label {kind}, _cut long")
+    return rows.join(F.broadcast(cuts), (F.col(label) == F.col("_label")) & (h <= F.col("_cut"))).select(*rows.columns)
+
+
+def collected(bags: DataFrame, most_keys: int) -> list[tuple]:
+    """(label, k, n) rows of features as arrays of bytes, no more than ``most_keys`` keys (4 bytes of k) in all.
+
+    Each class gets an equal share and fills it in hash order, with one row at least, so
+    what reaches the driver is bounded however long the sampled texts are.
+    """
+    kept = stored(bags)
+    classes = max(1, kept.select("label").distinct().count())
+    order = Window.partitionBy("label").orderBy(F.xxhash64("k", "n"), "k", "n")
+    size = (F.octet_length("k") / 4).cast("long")
+    ranked = kept.withColumns({"_sum": F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.row_number().over(order)})
+    got = ranked.where((F.col("_sum") <= most_keys // classes) | (F.col("_r") == 1)).select("label", "k", "n").collect()
+    discard(kept)
+    return sorted((r["label"], bytes(r["k"]), bytes(r["n"])) for r in got)
