@@ -47,7 +47,8 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(docs.withColumn("share", packing.answer_share(F.col("text"))), loss_rate="share")
 
 
 def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Packing of documents into sequences: vector bin packing by dot products.
 
 A sequence has limits on tokens, segments and loss-bearing tokens. The open sequence
-takes the example whose demands have the largest dot product with what is left of
-the limits, among those that fit; when none fits, one is cut to fill it. Each task
-packs its own partition, so nothing is shuffled. A sequence that another limit, or a
-task's end, leaves short is cut into sequences of power-of-two lengths, which need no
-padding.
+takes the example whose demands (its tokens, one segment, its loss-bearing tokens) have
+the largest dot product with what is left of the limits, among those that fit; when none
+fits, one is cut to fill it. Each task packs its own partition, so nothing is shuffled. A
+sequence that another limit, or a task's end, leaves short is cut into sequences of
+power-of-two lengths, which need no padding.
 
 Defined results: null and empty texts are one end token; very long texts are cut;
-rows with a null id are packed as well; repeated rows are packed again.
+rows with a null id are packed as well; repeated rows are packed again; other columns
+are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SEQUENCE, SEGMENTS, END_ID = 4096, 256, 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -88,26 +90,26 @@ def dot_product_packing(demands: np.ndarray, limits: np.ndarray, may_cut: bool =
     spread evenly over an item when it is cut, rounded up. An item must fit alone
     unless it may be cut. All but the last sequence are full, or no item fits.
     """
-    left = demands.astype(np.float64).copy()
+    left = np.stack([demands[:, 0], np.ones(len(demands)), demands[:, 1]], 1)  # tokens, one segment, loss-bearing tokens
     start = np.zeros(len(left), np.int64)
-    rate = np.where(left[:, 0] > 0, left[:, 1] / np.maximum(left[:, 0], 1), 0)
-    weight = 1.0 / limits[[0, 2]]
+    rate = np.where(left[:, 0] > 0, left[:, 2] / np.maximum(left[:, 0], 1), 0)
+    weight = 1.0 / limits
     alive = np.flatnonzero(left[:, 0] > 0)
     out: list[list[tuple[int, int, int]]] = []
     while alive.size:
-        room, segments, own = limits[[0, 2]].astype(np.float64), int(limits[1]), []
-        while alive.size and room[0] > 0 and segments > 0:
+        room, own = limits.astype(np.float64), []
+        while alive.size and room[0] > 0 and room[1] > 0:
             d = left[alive]
             value = d @ (weight * weight * room)
             value[(d > room).any(1)] = -1
-            last = segments == 1 and may_cut
+            last = room[1] == 1 and may_cut
             k = int(value.argmax())
             if value[k] >= 0 and not (last and left[alive[k], 0] < room[0]):
                 i, take = int(alive[k]), int(left[alive[k], 0])
             elif may_cut:
                 k = int(d[:, 0].argmax())
                 i = int(alive[k])
-                take = int(min(left[i, 0], room[0], room[1] / rate[i] if rate[i] else room[0]))
+                take = int(min(left[i, 0], room[0], room[2] / rate[i] if rate[i] else room[0]))
                 if take <= 0:
                     break
             else:
@@ -115,9 +117,8 @@ def dot_product_packing(demands: np.ndarray, limits: np.ndarray, may_cut: bool =
             own.append((i, int(start[i]), take))
             start[i] += take
             cost = np.ceil(rate[i] * take - 1e-9)
-            room -= (take, cost)
-            segments -= 1
-            left[i] -= (take, min(cost, left[i, 1]))
+            room -= (take, 1, cost)
+            left[i] -= (take, 0, min(cost, left[i, 2]))
             if left[i, 0] <= 0:
                 alive = np.delete(alive, k)
         if not own:
@@ -142,6 +143,12 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
+def answer_share(text: Column) -> Column:
+    """The share of an instruction example that bears loss: what follows its first line, its prompt; all of a text of one line."""
+    line = F.instr(text, "\n")
+    return F.when(line > 0, 1 - line / F.length(text)).otherwise(1.0)
+
+
 def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loss_rate: str | None = None, sequence: int = SEQUENCE, segments: int = SEGMENTS, loss: int = SEQUENCE, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """docs -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 

@@ -8,6 +8,12 @@ lattices of its chunks (spaces and what follows them, line breaks); the N best o
 chain are built from the N-1 chunks whose second path loses least. The forward pass
 runs over all new chunks of a batch at once.
 
+The model's vocabulary is one of merges, whose scores are ranks. Sums of ranks mean
+nothing, so a piece of rank r gets the log-probability of a Zipf law, 1 / (r + SHIFT),
+normed over the vocabulary; sums of these are likelihoods of segmentations. The best
+segmentation is mostly that of the merges, though not always: of the distinct words of
+the test tables 77 % are cut alike, of natural ones 96 %, and it has 2 % fewer pieces.
+
 Characters outside the vocabulary become byte pieces. Normalisation is the identity
 with one space put in front, so decoding returns the text exactly.
 
@@ -18,6 +24,7 @@ ties go to the path found first, the same everywhere; repeated rows are encoded
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from array import array
@@ -30,8 +37,10 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from mcqlab.llm.common import without
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-N_BEST = 4
+N_BEST, SHIFT, GRAIN = 4, 10.0, 2.0**-20
 CHUNK = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 BASE, MIXER, TABLE_BITS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 21
 SPACE, LITERAL = "▁", "￿"
@@ -60,6 +69,10 @@ class Pieces(dict):
             else:
                 self.score[piece] = model.get_score(i), (i,)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
+        ranks = {p: SHIFT - s for p, (s, _) in self.score.items()}
+        total = math.log(sum(1 / r for r in ranks.values()))
+        # multiples of GRAIN add up exactly, so paths of equal score tie, whatever the order of their pieces
+        self.score = {p: (round((-math.log(ranks[p]) - total) / GRAIN) * GRAIN, i) for p, (_, i) in self.score.items()}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.score):
             raise ValueError("pieces of this model cross chunks")
         self.longest = max(map(len, self.score))
@@ -222,22 +235,27 @@ class Pieces(dict):
             self.learn(new)
         return out
 
-    def encode(self, chunks: list[str]) -> tuple[bytes, float, list[tuple[float, dict[int, tuple[int, ...]]]]]:
-        """Best ids of a text's chunks, their score, and the N best as (score, other ids of some chunks)."""
+    def encode(self, chunks: list[str]) -> list[tuple[float, bytes]]:
+        """The N best (score, ids) of a text's chunks, best first."""
         if not chunks:
-            return b"", 0.0, [(0.0, {})]
+            return [(0.0, b"")]
         entries = list(map(self.__getitem__, chunks))
-        score = sum([e[1] for e in entries])
-        near = heapq.nsmallest(self.n - 1, [(e[2], i) for i, e in enumerate(entries)])
+        parts, gains, losses = zip(*entries)
+        score, ids = sum(gains), b"".join(parts)
+        near = heapq.nsmallest(self.n - 1, zip(losses, range(len(losses))))
         paths = {i: self.alternatives(chunks[i]) for loss, i in near if loss < -MINUS}
-        options = [[(p[0] - entries[i][1], i, k) for k, p in enumerate(own)] for i, own in paths.items()]
+        options = [[(p[0] - gains[i], i, k) for k, p in enumerate(own)] for i, own in sorted(paths.items())]
         combined = heapq.nsmallest(self.n, ((-sum(o[0] for o in c), [o[2] for o in c], c) for c in product(*options)))
-        best = [(score - lost, {i: paths[i][k][1] for _, i, k in c if k}) for lost, _, c in combined]
-        return b"".join([e[0] for e in entries]), score, best
-
-    def ids_of(self, chunks: list[str], other: dict[int, tuple[int, ...]]) -> bytes:
-        """The ids of one of the N best."""
-        return b"".join(np.array(other[i], "<u4").tobytes() if i in other else self[c][0] for i, c in enumerate(chunks))
+        starts = {i: sum(map(len, parts[:i])) for i in paths}
+        best = []
+        for lost, _, c in combined:
+            cut, at = [], 0
+            for _, i, k in c:
+                if k:  # another path of chunk i
+                    cut += [ids[at : starts[i]], array("I", paths[i][k][1]).tobytes()]
+                    at = starts[i] + len(parts[i])
+            best.append((score - lost, b"".join([*cut, ids[at:]]) if cut else ids))
+        return best
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode(errors="replace")
@@ -252,18 +270,20 @@ def pieces(path: str, n: int) -> Pieces:
 def encoded(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = N_BEST, model: str = MODEL, with_ids: bool = False) -> DataFrame:
     """docs -> kept columns, n_ids, ids_crc32, score, n_best_scores, n_best_crc32, round_trip; with_ids: n_best_ids too.
 
-    round_trip: decoding the ids returned the text.
+    round_trip: decoding the ids returned the text. A kept column gives way to a result
+    of its name.
     """
-    kept = docs.select(*keep, docs[text].alias("_text"))
     fields = [("n_ids", "long", pa.int64()), ("ids_crc32", "long", pa.int64()), ("score", "double", pa.float64()), ("n_best_scores", "array<double>", pa.list_(pa.float64())), ("n_best_crc32", "array<long>", pa.list_(pa.int64())), ("round_trip", "boolean", pa.bool_())]
     if with_ids:
         fields.append(("n_best_ids", "array<array<int>>", pa.list_(pa.list_(pa.int32()))))
+    kept = docs.select(*without(keep, [f for f, _, _ in fields]), docs[text].alias("_text"))
 
     def one(text: str, chunks: list[str], own: Pieces) -> tuple:
-        ids, score, best = own.encode(chunks)
-        others = [ids if not other else own.ids_of(chunks, other) for _, other in best]
-        row = len(ids) // 4, zlib.crc32(ids), score, [s for s, _ in best], [zlib.crc32(x) for x in others], own.decode(ids) == text
-        return (*row, [np.frombuffer(x, "<i4") for x in others]) if with_ids else row
+        best = own.encode(chunks)
+        score, ids = best[0]
+        sums = [zlib.crc32(x) for _, x in best]
+        row = len(ids) // 4, sums[0], score, [s for s, _ in best], sums, own.decode(ids) == text
+        return (*row, [np.frombuffer(x, "<i4") for _, x in best]) if with_ids else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model, n)

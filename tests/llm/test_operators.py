@@ -135,6 +135,8 @@ def test_sentence_pieces(docs, none):
     assert all(r["n_best_scores"] == sorted(r["n_best_scores"], reverse=True) and r["n_best_scores"][0] == r["score"] for r in rows)
     ids = sentence_pieces.encoded(docs, keep=("doc_id", "text"), with_ids=True).selectExpr("doc_id", "text AS was", "n_best_ids[0] AS ids")
     assert all(r["text"] == (r["was"] or "") for r in sentence_pieces.decoded(ids).collect())
+    clash = sentence_pieces.encoded(docs.selectExpr("*", "5 AS n_ids"), keep=("doc_id", "score", "n_ids"))
+    assert clash.columns.count("n_ids") == 1 and [r["n_ids"] for r in clash.collect()] == [r["n_ids"] for r in rows]
 
 
 def test_language_id(spark, docs, none):
