@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mcqlab.session import shared_dir
@@ -52,17 +52,21 @@ HEAVY = 1000
 def dealt_join(rows: DataFrame, small: DataFrame, keys: list[str], n: str) -> DataFrame:
     """Inner join of rows with small, which has one row a key and in column ``n`` the number of rows of that key.
 
-    Keys of more than 1 in HEAVY of all rows are fewer than HEAVY, so they are
-    broadcast, and their rows stay where they are; a task of the join of the others
-    never gets more than that share for one key. Both tables are read twice: store them.
+    Keys of more than 1 in HEAVY of all rows are fewer than HEAVY, so they are named in
+    the plan and broadcast, and their rows stay where they are; a task of the join of
+    the others never gets more than that share for one key. Both tables are read twice:
+    store them.
     """
-    total = rows.count()
-    heavy = small.where(F.col(n) * HEAVY > total)
-    if heavy.isEmpty():
-        return rows.join(small, keys)
-    there = rows.join(F.broadcast(heavy), keys)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(small.where(F.col(n) * HEAVY <= total), keys)
-    return there.unionByName(rest)
+    named = frequent(small, keys, n, rows.count())
+    there = rows.where(named).join(F.broadcast(small.where(named)), keys)
+    return there.unionByName(rows.where(~named).join(small.where(~named), keys))
+
+
+def frequent(small: DataFrame, keys: list[str], n: str, total: int) -> Column:
+    """A predicate over keys: whether ``n`` is over 1 in HEAVY of the total; fewer than HEAVY keys are collected."""
+    mark = F.xxhash64(*keys)
+    found = [r[0] for r in small.where(F.col(n) * HEAVY > total).select(mark).collect()]
+    return mark.isin(found) if found else F.lit(False)
 
 
 def without(keep: tuple[str, ...] | list[str], names: tuple[str, ...] | list[str]) -> list[str]:

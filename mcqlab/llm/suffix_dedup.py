@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mcqlab.llm import features as ft
-from mcqlab.llm.common import HEAVY, buffer_of, dealt_join, discard, mixed, slices, stored, without
+from mcqlab.llm.common import buffer_of, dealt_join, discard, frequent, mixed, slices, stored, without
 
 SPAN, GRAM, MOST = 200, 32, 16_384
 BEFORE = SPAN - GRAM
@@ -424,14 +424,10 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     spans = repeated_spans(own.where(long).select(*TEXT, "text"), most, piece)
     # texts of very many copies lose all they have: they are known by name and need no join
     counts = stored(own.where(long).groupBy(*TEXT).agg(F.count("*").alias("n")).where("n > 1"))
-    frequent = counts.where(F.col("n") * HEAVY > own.count()).select(*TEXT)
-    kind = "array<struct<start:bigint,end:bigint>>"
+    many = frequent(counts, TEXT, "n", own.count())
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
     outcome = ["doc_id", "text", "spans", *(f"k{i}" for i in range(len(keep)))]
-    if frequent.isEmpty():
-        joined = own.join(spans, TEXT, "left").select(*outcome)
-    else:
-        all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"))).cast(kind)
-        copies = own.join(F.broadcast(frequent), TEXT, "left_semi").withColumn("spans", all_of_it).select(*outcome)
-        joined = own.join(F.broadcast(frequent), TEXT, "left_anti").join(spans, TEXT, "left").select(*outcome).unionByName(copies)
+    copies = own.where(many).withColumn("spans", all_of_it.cast("array<struct<start:bigint,end:bigint>>")).select(*outcome)
+    joined = own.where(~many).join(spans, TEXT, "left").select(*outcome).unionByName(copies)
     schema = ["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text, *(f"`{c}` {joined.schema[f'k{i}'].dataType.simpleString()}" for i, c in enumerate(keep))]
     return joined.mapInArrow(run, ", ".join(schema))
