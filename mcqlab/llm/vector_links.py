@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mcqlab.llm.common import components, stored
+from mcqlab.llm.common import components, discard, stored
 
-LEAST, BLOCKS, GRID, MOST = 0.98, 4, 2, 4096
+LEAST, BLOCKS, GRID, MOST = 0.98, 4, 3, 4096
 SLACK = 1e-5  # for single-precision rotated coordinates
 
 
@@ -46,8 +47,8 @@ def bounds(dimensions: int, blocks: int) -> np.ndarray:
     return np.linspace(0, dimensions, min(blocks, dimensions) + 1).astype(int)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], least: float, blocks: int, grid: int) -> Iterator[pa.RecordBatch]:
-    """(label, rep, mult, v) -> a row for each block and cell in range."""
+def _cells(batches: Iterator[pa.RecordBatch], least: float, blocks: int, grid: int, single: bool) -> Iterator[pa.RecordBatch]:
+    """(label, rep, mult, v) -> a row for each block and cell in range; single: v holds single-precision numbers."""
     for batch in batches:
         labels, reps, mults = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         lists = batch.column(3)
@@ -59,6 +60,8 @@ def _cells(batches: Iterator[pa.RecordBatch], least: float, blocks: int, grid: i
             z = ((x / np.abs(x).max(1, keepdims=True)) @ rotation(d))
             z = (z / np.linalg.norm(z, axis=1, keepdims=True)).astype("<f4")
             cut = bounds(d, blocks)
+            raw = [v.tobytes() for v in x.astype("<f4" if single else "<f8")]
+            turned = [v.tobytes() for v in z]
             for b in range(len(cut) - 1):
                 share = (2 - 2 * least) * (cut[b + 1] - cut[b]) / d + SLACK
                 r = np.sqrt(share)
@@ -75,7 +78,7 @@ def _cells(batches: Iterator[pa.RecordBatch], least: float, blocks: int, grid: i
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(labels[rows]), pa.array(key), pa.array(reps[rows]), pa.array(mults[rows]), pa.array((cell[inside] == home[inside]).all(1)),
-                            pa.array([v.tobytes() for v in x[inside]], pa.binary()), pa.array([v.tobytes() for v in z[inside]], pa.binary()),
+                            pa.array([raw[k] for k in inside], pa.binary()), pa.array([turned[k] for k in inside], pa.binary()),
                         ],
                         ["label", "cell", "rep", "mult", "home", "v", "z"],
                     )
@@ -87,7 +90,8 @@ def _linked(key: tuple, rows: pa.Table, least: float, blocks: int) -> pa.Table:
     cut = bounds(d, blocks)
     allowed = (2 - 2 * least) * np.diff(cut) / d + SLACK
     rep, mult = rows["rep"].to_numpy(), rows["mult"].to_numpy()
-    x = np.frombuffer(b"".join(rows["v"].to_pylist()), "<f8").reshape(-1, d)
+    v = rows["v"].to_pylist()
+    x = np.frombuffer(b"".join(v), "<f4" if len(v[0]) == 4 * d else "<f8").reshape(-1, d).astype(np.float64)
     z = np.frombuffer(b"".join(rows["z"].to_pylist()), "<f4").reshape(-1, d).astype(np.float64)
     norm = np.sqrt((x * x).sum(1))
     h, v = np.flatnonzero(rows["as_home"].to_numpy(zero_copy_only=False)), np.flatnonzero(rows["as_visitor"].to_numpy(zero_copy_only=False))
@@ -126,8 +130,8 @@ def linked(rows: DataFrame, key: str = "vec_id", label: str = "label", vector: s
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")), F.lit(False))
     own = own.withColumns({"label": F.when(ok, F.col("label")), "v": F.when(ok, F.col("v"))})
     classes = stored(own.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
-    kind = dict(classes.dtypes)["label"]
-    cells = stored(classes.select("label", "rep", "mult", "v").mapInArrow(lambda it: _cells(it, least, blocks, grid), f"label {kind}, cell string, rep long, mult long, home boolean, v binary, z binary"))
+    kind, single = dict(classes.dtypes)["label"], rows.schema[vector].dataType.elementType == T.FloatType()
+    cells = stored(classes.select("label", "rep", "mult", "v").mapInArrow(lambda it: _cells(it, least, blocks, grid, single), f"label {kind}, cell string, rep long, mult long, home boolean, v binary, z binary"))
     parts = cells.groupBy("label", "cell").agg(F.ceil(F.count("*") / most).cast("int").alias("m"))
     mine = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
     all_parts = F.sequence(F.lit(0), F.col("m") - 1)
@@ -140,6 +144,7 @@ def linked(rows: DataFrame, key: str = "vec_id", label: str = "label", vector: s
     placed = cells.join(parts, ["label", "cell"]).withColumn("p", F.explode(F.when(F.col("m") == 1, F.array(place(zero, zero, F.col("home"), yes))).otherwise(split)))
     placed = placed.select("label", "cell", "p.i", "p.j", "rep", "mult", "p.as_home", "p.as_visitor", "v", "z")
     found = stored(placed.groupBy("label", "cell", "i", "j").applyInArrow(lambda k, t: _linked(k, t, least, blocks), "rep long, n long, `to` long"))
+    discard(cells)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     facts = classes.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
