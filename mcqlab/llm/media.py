@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mcqlab.llm import jpeg
+from mcqlab.llm.common import without
 
 FIELDS = (
     ("n_bytes", "long", pa.int64()), ("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()),
@@ -45,14 +46,18 @@ def media_of(text: str | None) -> tuple:
 
 
 def media_columns(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_media: bool = False) -> DataFrame:
-    """docs -> the kept columns, digests and features; with_media: the JPEG and its full-resolution RGB tensor too."""
+    """docs -> the kept columns, digests and features; with_media: the JPEG and its full-resolution RGB tensor too.
+
+    A kept column gives way to a result of its name.
+    """
     fields = FIELDS + (MEDIA if with_media else ())
-    kept = docs.select(*keep, docs[text].alias("_text"))
+    kept = docs.select(*without(keep, [n for n, _, _ in fields]), docs[text].alias("_text"))
     schema = ", ".join([f"`{c}` {kind}" for c, kind in kept.dtypes[:-1]] + [f"{n} {kind}" for n, kind, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 16 if with_media else 1024
         seen: dict[str, tuple] = {}  # short-lived: copies often stand near each other
+        held = 0  # characters of the texts in it
         for whole in batches:
             for k in range(0, whole.num_rows, step):
                 b, out = whole.slice(k, step), []
@@ -62,8 +67,10 @@ def media_columns(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
                         out.append((*head, pixels.tobytes()))
                         continue
                     if text not in seen:
-                        if len(seen) >= 4096:
+                        held += len(text or "")
+                        if held > 8_000_000:
                             seen.clear()
+                            held = len(text or "")
                         seen[text] = media_of(text)[: len(FIELDS)]
                     out.append(seen[text])
                 made = [pa.array(v, kind) for v, (_, _, kind) in zip(zip(*out), fields, strict=True)]
