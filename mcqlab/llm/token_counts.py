@@ -4,7 +4,8 @@ A byte-level BPE never merges across pre-tokens, so a text's count is the sum of
 pre-tokens' counts. Leaves of the tree are groups of pre-tokens, inner nodes hold
 sums. An edit replaces a range of characters: only the touched leaves, with a
 boundary leaf on either side as context, are cut into pre-tokens and counted again,
-until the new cuts meet the old ones; then the sums above them are updated.
+until the new cuts meet the old ones; then the sums above them are updated. Trees are
+kept as two array columns, which a later batch of edits takes up again.
 
 Defined results: a null or empty text has no tokens; edits outside a text are clipped
 to it; edits of one document must not overlap and count in the order of their starts;
@@ -14,21 +15,23 @@ repeated rows are counted again; texts are counted whole.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mcqlab.llm.common import without
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LEAF = 64  # pre-tokens of a leaf
 PATTERN = regex.compile(public_tokenizers.PATTERN)
-#: What the redaction edits replace: mail addresses, phone-like numbers, secrets of 32 and more hex digits.
-SENSITIVE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+|\+?[0-9(][0-9() -]{7,}[0-9]|\b[0-9a-f]{32,}\b"
+#: What the redaction edits replace: mail addresses, phone-like numbers, secrets of 32 and more hex digits. Each run of characters is tried from its start only.
+SENSITIVE = regex.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+|\+?(?<![0-9(])[0-9(][0-9() -]{7,}[0-9]|\b[0-9a-f]{32,}+\b")
 MASK = "[redacted]"
 
 
@@ -59,14 +62,26 @@ def counts(path: str) -> Counts:
 
 
 class SegmentTree:
-    """Leaf texts and counts of one document; ``total`` is the root's sum."""
-
-    def __init__(self, text: str, table: Counts):
-        self.table, self.encoded = table, 0
-        pieces = PATTERN.findall(text)
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.sums = [[table.of(x) for x in self.leaves]]
-        self.lengths = [[sum(map(len, x)) for x in self.leaves]]
+    """Leaf texts and counts of one document; ``total`` is the root's sum.
+
+    known: lengths and counts of the leaves from an earlier tree of the same text, which
+    then need not be cut or counted again.
+    """
+
+    def __init__(self, text: str, table: Counts, known: tuple[list[int], list[int]] | None = None):
+        self.table, self.encoded, self.pieces = table, 0, None
+        if known is None:
+            pieces = PATTERN.findall(text)
+            groups = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+            self.pieces = len(pieces)
+            self.leaves = ["".join(x) for x in groups]
+            self.sums, self.lengths = [[table.of(x) for x in groups]], [[len(x) for x in self.leaves]]
+        else:
+            if sum(known[0]) != len(text) or len(known[0]) != len(known[1]):
+                raise ValueError("the tree is not that of this text")
+            ends = list(accumulate(known[0]))
+            self.leaves = [text[e - n : e] for e, n in zip(ends, known[0])]
+            self.sums, self.lengths = [list(known[1])], [list(known[0])]
         for levels in (self.sums, self.lengths):
             while len(levels[-1]) > 1:
                 low = levels[-1]
@@ -91,7 +106,7 @@ class SegmentTree:
         return k, start
 
     def _set(self, k: int, pieces: list[str]) -> None:
-        self.leaves[k] = pieces
+        self.leaves[k] = "".join(pieces)
         for levels, value in ((self.sums, self.table.of(pieces)), (self.lengths, sum(map(len, pieces)))):
             i, change = k, value - levels[0][k]
             for level in levels:
@@ -111,14 +126,14 @@ class SegmentTree:
             at -= self.lengths[0][first]
         last, last_at = self._leaf_at(max(0, end - 1) if end else 0)
         stop = last_at + self.lengths[0][last]
-        old = "".join(map("".join, self.leaves[first : last + 1]))
+        old = "".join(self.leaves[first : last + 1])
         done = old[: start - at] + text
         rest = old[end - at :]
         while True:
             follow = last + 1
             context = ""
             while follow < len(self.leaves) and len(context) < 2:
-                context += "".join(self.leaves[follow])
+                context += self.leaves[follow]
                 follow += 1
             pieces, upto, size = [], 0, len(done) + len(rest)
             for piece in PATTERN.findall(done + rest + context):
@@ -130,7 +145,7 @@ class SegmentTree:
             if upto == size and (follow == last + 1 or self._starts_alike(done + rest, last, context)):
                 break
             last += 1
-            rest += "".join(self.leaves[last])
+            rest += self.leaves[last]
             stop += self.lengths[0][last]
         self._set(first, pieces)
         for k in range(first + 1, last + 1):
@@ -139,59 +154,66 @@ class SegmentTree:
 
     def _starts_alike(self, left: str, last: int, context: str) -> bool:
         """Whether the leaf after ``last`` is cut as before, now that other text stands before it."""
-        nearby = next((x for x in self.leaves[last + 1 :] if x), None)
-        if nearby is None:
+        k = next((k for k in range(last + 1, len(self.leaves)) if self.leaves[k]), None)
+        if k is None:
             return True
-        tail = PATTERN.findall(left + "".join(nearby))
-        upto = 0
+        nearby = self.leaves[k]
+        after = next((x for x in self.leaves[k + 1 :] if x), "")[:2]  # cuts look ahead, never back
+        upto, old = 0, []
+        for piece in PATTERN.findall(nearby + after):
+            if upto < len(nearby):
+                old.append(piece)
+            upto += len(piece)
+        tail, upto = PATTERN.findall(left + nearby + after), 0
         for i, piece in enumerate(tail):
             if upto == len(left):
-                return tail[i:] == nearby
+                return tail[i : i + len(old)] == old
             upto += len(piece)
-        return not nearby
+        return False
 
 
-def found_edits(text: Column, pattern: str = SENSITIVE, replacement: str = MASK) -> Column:
-    """Edits (start, end, text) that replace what matches, as pieces of the split text."""
-    kept = F.split(text, pattern)
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    state = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1))),
-        F.struct(F.lit(0).alias("at"), empty.alias("edits")),
-        lambda s, i: F.struct(
-            (s["at"] + F.length(F.get(kept, i - 1)) + F.length(F.get(hits, i - 1))).alias("at"),
-            F.concat(s["edits"], F.array(F.struct((s["at"] + F.length(F.get(kept, i - 1))).alias("start"), (s["at"] + F.length(F.get(kept, i - 1)) + F.length(F.get(hits, i - 1))).alias("end"), F.lit(replacement).alias("text")))).alias("edits"),
-        ),
-    )
-    return F.when(F.size(hits) > 0, state["edits"])
+def found_edits(text: str, pattern: regex.Pattern = SENSITIVE, replacement: str = MASK) -> list[dict]:
+    """Edits (start, end, text) that replace what matches, in time that grows with the text."""
+    return [{"start": m.start(), "end": m.end(), "text": replacement} for m in pattern.finditer(text)]
 
 
-def counted(docs: DataFrame, edits: str = "edits", text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str = RANKS) -> DataFrame:
-    """docs with an array column of edits (start, end, text) -> kept columns and counts before and after the edits.
+def counted(docs: DataFrame, edits: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str = RANKS, tree: tuple[str, str] | None = None, with_tree: bool = False) -> DataFrame:
+    """docs -> kept columns and counts before and after the edits of an array column (start, end, text).
 
-    n_pretokens and n_recounted tell how many pre-tokens a text has and how many the edits made anew.
+    Without a column of edits they are those of ``found_edits``. n_pretokens and
+    n_recounted tell how many pre-tokens a text has and how many the edits made anew.
+    with_tree: text_edited, and the edited tree as its leaves' lengths and counts
+    (leaf_chars, leaf_tokens). tree: the names of two such columns that an earlier call
+    returned for this text; then only leaves that edits touch are cut and counted, and
+    n_pretokens is null. A kept column gives way to a result of its name.
     """
-    kept = docs.select(*keep, docs[text].alias("_text"), docs[edits].alias("_edits"))
-    names = ("n_chars_edited", "n_edits", "n_tokens", "n_tokens_edited", "n_pretokens", "n_recounted")
-
-    def one(text: str | None, changes: list | None, table: Counts) -> tuple:
-        tree = SegmentTree(text or "", table)
-        before, pieces, shift = tree.total, sum(map(len, tree.leaves)), 0
+    fields = [(n, "long", pa.int64()) for n in ("n_chars_edited", "n_edits", "n_tokens", "n_tokens_edited", "n_pretokens", "n_recounted")]
+    if with_tree:
+        fields += [("text_edited", "string", pa.string()), ("leaf_chars", "array<int>", pa.list_(pa.int32())), ("leaf_tokens", "array<int>", pa.list_(pa.int32()))]
+    given = [F.col(c) if c else F.lit(None) for c in (edits, *(tree or (None, None)))]
+    kept = docs.select(*without(keep, [f for f, _, _ in fields]), docs[text].alias("_text"), *(c.alias(f"_given{i}") for i, c in enumerate(given)))
+
+    def one(text: str, changes: list | None, chars: list | None, tokens: list | None, table: Counts) -> tuple:
+        own = SegmentTree(text, table, (chars, tokens) if chars is not None and tokens is not None else None)
+        before, shift = own.total, 0
+        if edits is None:
+            changes = found_edits(text)
         changes = sorted((e for e in changes or [] if e is not None and e["start"] is not None and e["end"] is not None), key=lambda e: (e["start"], e["end"]))
         for e in changes:
-            size = tree.length
-            tree.replace(e["start"] + shift, e["end"] + shift, e["text"] or "")
-            shift += tree.length - size
-        return tree.length, len(changes), before, tree.total, pieces, tree.encoded
+            size = own.length
+            own.replace(e["start"] + shift, e["end"] + shift, e["text"] or "")
+            shift += own.length - size
+        row = own.length, len(changes), before, own.total, own.pieces, own.encoded
+        return (*row, "".join(own.leaves), own.lengths[0], own.sums[0]) if with_tree else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts(ranks)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
-                out = [one(t, e, table) for t, e in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(v, pa.int64()) for v in zip(*out, strict=True))], [*b.schema.names[:-2], *names])
+                given = zip(*(b.column(b.num_columns - i).to_pylist() for i in (4, 3, 2, 1)), strict=True)
+                out = [one(t or "", *rest, table) for t, *rest in given]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-4], *(pa.array(v, kind) for v, (_, _, kind) in zip(zip(*out, strict=True), fields, strict=True))], [*b.schema.names[:-4], *(f for f, _, _ in fields)])
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in kept.dtypes[:-2])
-    return kept.mapInArrow(run, f"{schema}, " + ", ".join(f"{n} long" for n in names))
+    schema = [f"`{c}` {kind}" for c, kind in kept.dtypes[:-4]] + [f"{f} {kind}" for f, kind, _ in fields]
+    return kept.mapInArrow(run, ", ".join(schema))

@@ -116,16 +116,30 @@ def test_media(docs, none):
 def test_token_counts(docs, none):
     table_ = token_counts.counts(token_counts.RANKS)
     n = lambda t: len(table_.encoding.encode_ordinary(t))
-    edited = docs.withColumn("edits", token_counts.found_edits(docs["text"]))
-    rows = token_counts.counted(edited).collect()
-    assert token_counts.counted(edited.where("false")).count() == 0
-    for r, d in zip(rows, edited.collect(), strict=True):
+    rows = token_counts.counted(docs, with_tree=True).collect()
+    assert token_counts.counted(none).count() == 0
+    for r, d in zip(rows, docs.collect(), strict=True):
         text = d["text"] or ""
         new = text
-        for e in sorted(d["edits"] or [], key=lambda e: -e["start"]):
+        for e in reversed(token_counts.found_edits(text)):
             new = new[: e["start"]] + e["text"] + new[e["end"] :]
-        assert (r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"]) == (n(text), n(new), len(new))
+        assert (r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"], r["text_edited"]) == (n(text), n(new), len(new), new)
+        assert sum(r["leaf_chars"]) == len(new) and sum(r["leaf_tokens"]) == n(new)
     assert rows[8]["n_edits"] == 2
+    clash = docs.selectExpr("*", "7 AS n_tokens")
+    assert token_counts.counted(clash, keep=("doc_id", "n_tokens")).columns.count("n_tokens") == 1
+
+
+def test_a_kept_tree_takes_a_second_batch_of_edits(spark):
+    table_ = token_counts.counts(token_counts.RANKS)
+    text = "call +49 30 1234567 now, then write. " * 2000
+    first = token_counts.counted(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_tree=True)
+    edits = "array(struct(30000 AS start, 30005 AS `end`, 'other words' AS text), null, struct(null AS start, 1 AS `end`, 'x' AS text))"
+    second = token_counts.counted(first.selectExpr("doc_id", "text_edited AS text", "leaf_chars", "leaf_tokens", f"{edits} AS edits"), "edits", tree=("leaf_chars", "leaf_tokens"), with_tree=True)
+    a, b = first.first(), second.first()
+    want = a["text_edited"][:30000] + "other words" + a["text_edited"][30005:]
+    assert b["text_edited"] == want and b["n_tokens"] == a["n_tokens_edited"]
+    assert b["n_tokens_edited"] == len(table_.encoding.encode_ordinary(want)) and 0 < b["n_recounted"] < 300
 
 
 def test_sentence_pieces(docs, none):
