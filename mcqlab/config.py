@@ -23,6 +23,16 @@ class McqColumns:
         return self.option_a, self.option_b, self.option_c, self.option_d
 
 
+#: The usual English stop words. Tokens hold no apostrophes, so contractions stand as their parts.
+STOPWORDS = tuple(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or "
+    "because as until while of at by for with about against between into through during before after above below to from up down in out on off over under "
+    "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t "
+    "can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn".split()
+)
+
+
 @dataclass(frozen=True)
 class MetricConfig:
     """Which metrics ``evaluate`` appends; every switch adds one column."""
@@ -38,7 +48,9 @@ class MetricConfig:
     disclosure: bool = False
     difficulty: bool = False
     distractors_quality: bool = False
-    stopwords: tuple[str, ...] = ()
+    stopwords: tuple[str, ...] = STOPWORDS
+    #: (form, lemma) pairs for tokens that are no stop words; a small table, which becomes part of the plan.
+    lemmas: tuple[tuple[str, str], ...] = ()
     #: Answerability prompts would leak the key if they held the correct option.
     include_correct_option: bool = False
 

@@ -113,13 +113,13 @@ FROM (SELECT id, folder, json_object('question', question, 'option_a', option_a,
 """
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MCQs (id, correct_option) with question, sheet and option vectors dealt from the embeddings table."""
+def vectors(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("question", "sheet", "option_a", "option_b", "option_c", "option_d")) -> DataFrame:
+    """MCQs (id, correct_option) with the named of their vectors (question, sheet, options), dealt from the embeddings table."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = e.count()
     out = mcq(spark, sf_dir).select("id", "correct_option")
     ids = {"question_vec": F.col("id"), "sheet_vec": 7 * F.col("id") + 3} | {f"option_{m}_vec": 4 * F.col("id") + k for k, m in enumerate("abcd")}
-    for name, key in ids.items():
+    for name, key in ((f"{n}_vec", ids[f"{n}_vec"]) for n in names):
         out = out.withColumn("_k", F.pmod(key, F.lit(n))).join(e.select(F.col("vec_id").alias("_k"), F.col("embedding").alias(name)), "_k").drop("_k")
     return out
 

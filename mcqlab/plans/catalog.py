@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mcqlab import fixtures as fx
-from mcqlab.config import ACCEPT_MIN, EVAL_FRACTION, MAX_ATTEMPTS, PAIR_EVAL_MAX, PAIR_EVAL_SHARE, QUALITY_THRESHOLD, TEST_FRACTION, McqColumns, MetricConfig
+from mcqlab.config import ACCEPT_MIN, EVAL_FRACTION, MAX_ATTEMPTS, PAIR_EVAL_MAX, PAIR_EVAL_SHARE, QUALITY_THRESHOLD, STOPWORDS, TEST_FRACTION, McqColumns, MetricConfig
 from mcqlab.functions import jsonmcq, prompts, text, vector
-from mcqlab.operators import prefs, relational
+from mcqlab.operators import judge, prefs, relational
 from mcqlab.operators.split import order_hash, split
 from mcqlab.plans import evaluate as ev
+from mcqlab.plans import flows
 from mcqlab.session import shared_dir
 from mcqlab.sources import io
 
@@ -23,7 +24,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 C = McqColumns()
 HELD_FOLDERS = ("src1", "src4", "src7", "src11", "src16")
-STOP = ev.default_stopwords()
+STOP = STOPWORDS
 LENGTH_BOUNDS = (8, 20)
 
 
@@ -99,15 +100,16 @@ def syllable_count(spark, sf_dir):
     return w.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", text.syllable_count(F.col("word")).cast("bigint").alias("syllables"))
 
 
-@query(f"{M} SELECT id, array_to_string({_tokens('question')}, ' ') AS tokens FROM mcq")
+@query(f"{M} SELECT id, array_to_string({_tokens('question')}, ' ') AS tokens, array_to_string({_tokens('content_gpt')}, ' ') AS sheet_tokens FROM mcq")
 def clean_tokens(spark, sf_dir):
-    return fx.mcq(spark, sf_dir).select("id", F.array_join(text.clean_tokens(F.col("question"), STOP), " ").alias("tokens"))
+    joined = lambda c: F.array_join(text.clean_tokens(F.col(c), STOP), " ")
+    return fx.mcq(spark, sf_dir).select("id", joined("question").alias("tokens"), joined("content_gpt").alias("sheet_tokens"))
 
 
-@query(f"{GRAMS} SELECT id, len(qg)::bigint AS n_trigrams, array_to_string(list_sort(qg), '|') AS trigrams FROM g")
+@query(f"{GRAMS} SELECT id, len(qg)::bigint AS n_trigrams, len(sg)::bigint AS n_sheet_trigrams, array_to_string(list_sort(qg), '|') AS trigrams FROM g")
 def trigrams(spark, sf_dir):
-    g = text.trigrams(text.clean_tokens(F.col("question"), STOP))
-    return fx.mcq(spark, sf_dir).select("id", F.size(g).cast("bigint").alias("n_trigrams"), F.array_join(F.array_sort(g), "|").alias("trigrams"))
+    g, sheet = (text.trigrams(text.clean_tokens(F.col(c), STOP)) for c in ("question", "content_gpt"))
+    return fx.mcq(spark, sf_dir).select("id", F.size(sheet).cast("bigint").alias("n_sheet_trigrams"), F.size(g).cast("bigint").alias("n_trigrams"), F.array_join(F.array_sort(g), "|").alias("trigrams"))
 
 
 @query(f"{GRAMS} SELECT id, {ORIGINALITY} AS originality FROM g")
@@ -353,7 +355,7 @@ def l2_normalize(spark, sf_dir):
 
 @query(f"{V} SELECT id, {_cos('question_vec', 'sheet_vec')} AS relevance FROM vectors")
 def relevance(spark, sf_dir):
-    return fx.vectors(spark, sf_dir).select("id", vector.cosine(F.col("question_vec"), F.col("sheet_vec")).alias("relevance"))
+    return fx.vectors(spark, sf_dir, ("question", "sheet")).select("id", vector.cosine(F.col("question_vec"), F.col("sheet_vec")).alias("relevance"))
 
 
 def _mean(key: str) -> str:
@@ -362,7 +364,7 @@ def _mean(key: str) -> str:
 
 @query(f"{V} SELECT id, CASE lower(correct_option) {' '.join(f"WHEN '{k}' THEN {_mean(k)}" for k in 'abcd')} ELSE 0e0 END AS ambiguity FROM vectors")
 def ambiguity(spark, sf_dir):
-    return fx.vectors(spark, sf_dir).select("id", vector.ambiguity([F.col(f"option_{o}_vec") for o in "abcd"], F.col("correct_option")).alias("ambiguity"))
+    return fx.vectors(spark, sf_dir, tuple(f"option_{o}" for o in "abcd")).select("id", vector.ambiguity([F.col(f"option_{o}_vec") for o in "abcd"], F.col("correct_option")).alias("ambiguity"))
 
 
 _VALID = "json_valid(raw) AND json_type(raw) = 'OBJECT' AND " + " AND ".join(f"json_type(raw, '$.{f}') = 'VARCHAR'" for f in jsonmcq.FIELDS)
@@ -399,14 +401,71 @@ def flatten_mcq(spark, sf_dir):
 
 @query(f"{J} SELECT id, t AS temperature, {_PATCHED} FROM v CROSS JOIN (SELECT unnest([0.1e0, 0.5e0, 0.7e0]) t) z WHERE folder IN ({_list(HELD_FOLDERS)})")
 def generation_flow(spark, sf_dir):
-    """Sheets of the held-out folders, three temperatures, the stub generator's JSON, validated, patched, flattened."""
+    """Sheets of the held-out folders, three temperatures, recorded answers as the generator, validated, patched, flattened."""
     folders = spark.createDataFrame([(f,) for f in HELD_FOLDERS], "folder string")
     raw = relational.in_folders(fx.mcq_json(spark, sf_dir), folders)
-    long = raw.select("id", "raw", F.explode(F.array(*map(F.lit, (0.1, 0.5, 0.7)))).alias("temperature"))
-    long = long.select("id", "temperature", jsonmcq.validated_mcq(F.col("raw")).alias("mcq"))
-    return relational.patched(long, "mcq", jsonmcq.empty_mcq()).select("id", "temperature", "mcq.*")
+    return flows.flattened_answers(raw.select("id", "raw", F.explode(F.array(*map(F.lit, flows.TEMPERATURES))).alias("temperature")))
 
 
 @query(f"WITH {fx.RETRY_SQL} SELECT id, min(attempt) AS attempt, min_by(score, attempt) AS score FROM retry WHERE attempt <= {MAX_ATTEMPTS} AND score >= {ACCEPT_MIN} GROUP BY id")
 def retry_accept(spark, sf_dir):
     return prefs.accepted_attempt(fx.retry_scores(spark, sf_dir), ACCEPT_MIN, MAX_ATTEMPTS)
+
+
+_GEN = f"gen AS (SELECT id, min(attempt) attempt FROM retry JOIN k USING (id) WHERE g = 0 AND attempt <= {MAX_ATTEMPTS} AND score >= {ACCEPT_MIN} GROUP BY id)"
+FULL = f"{M}, {fx.SCORED_SQL}, {fx.TEXTS_SQL}, {fx.RETRY_SQL}, {_CLASSES}, {_PAIRS}, {_TEXT_PAIRS}, {_GEN}"
+_MADE = "SELECT gen.id, concat(s.completion, chr(10), 'attempt ', attempt) chosen, t.completion rejected, 'generated' chosen_source, t.dataset rejected_source FROM gen JOIN texts s ON s.id = gen.id AND s.dataset = 'm0' JOIN texts t ON t.id = gen.id JOIN scored b ON b.id = gen.id AND b.dataset = t.dataset"
+
+
+def _made(spark, sf_dir):
+    """What the recorded regenerations gave: the seed's text with the number of the attempt."""
+    seeds = prefs.bad_only_seed(fx.scored(spark, sf_dir).join(fx.texts(spark, sf_dir), ["dataset", "id"]), N, "completion")
+    accepted = prefs.accepted_attempt(fx.retry_scores(spark, sf_dir), ACCEPT_MIN, MAX_ATTEMPTS)
+    return seeds.join(accepted, "id").select("id", F.concat("completion", F.lit("\nattempt "), F.col("attempt").cast("string")).alias("completion"))
+
+
+@query(f"{FULL} SELECT * FROM tp UNION ALL {_MADE}")
+def dpo_builder(spark, sf_dir):
+    """All pairs of the data sets, and accepted regenerations against the bad MCQs of ids without a good one."""
+    return flows.preference_pairs(fx.scored(spark, sf_dir), fx.texts(spark, sf_dir), _made(spark, sf_dir), N)
+
+
+@query(f"{FULL} SELECT (SELECT count(*) FROM k WHERE b = 0) AS nb_good_only, (SELECT count(*) FROM k WHERE g = 0) AS nb_bad_only, (SELECT count(*) FROM gen) AS nb_generated, (SELECT count(*) FROM tp) + (SELECT count(*) FROM ({_MADE})) AS n_pairs")
+def dpo_builder_stats(spark, sf_dir):
+    scored, made = fx.scored(spark, sf_dir), _made(spark, sf_dir)
+    return flows.builder_stats(scored, made, N)
+
+
+@query(f"{DEDUP}, h AS ({_held('dd', 'completion', f'floor(count(*) * {EVAL_FRACTION}::double)')}) SELECT completion, label, source, [{_list(prompts.USER_PROMPTS)}][1 + {_INDEX.format('completion')}] AS prompt, held_out FROM dd JOIN h ON key = completion")
+def training_prep(spark, sf_dir):
+    """Labelled completions with a prompt each and the held-out part, from a parquet table."""
+    rows = prefs.kto_dedup(prefs.kto_unpivot(_text_pairs(spark, sf_dir))).drop("id")
+    path = f"{shared_dir(spark)}/training-{uuid.uuid4().hex}"
+    return flows.training_set(rows, "completion", path)
+
+
+_RUN_SQL = GRAMS.replace("FROM mcq)", "FROM mcq WHERE id % 3 <> 1)", 1)
+
+
+@query(f"{_RUN_SQL} SELECT id::varchar AS id, {ORIGINALITY} AS originality, {_readability('question')} AS readability, {NEGATION} AS starts_with_negation, {QUESTION} AS is_question FROM g")
+def evaluation_run(spark, sf_dir):
+    """CSV files in, metrics in a CSV folder: the whole run, over two MCQ tables in three."""
+    own = fx.mcq(spark, sf_dir).where("id % 3 <> 1").withColumn("id", F.col("id").cast("string"))
+    at = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    io.write_csv(fx.sheets(spark, sf_dir).select(F.col("id").cast("string"), "folder", "content_gpt"), f"{at}/sheets")
+    io.write_csv(own.select(*io.MCQS.names), f"{at}/mcqs")
+    flows.evaluation_run(spark, f"{at}/sheets", f"{at}/mcqs", f"{at}/out", MetricConfig(stopwords=STOP))
+    schema = "id string, question string, option_a string, option_b string, option_c string, option_d string, correct_option string, originality double, readability double, starts_with_negation boolean, is_question boolean"
+    return io.read_csv(spark, f"{at}/out", schema).select("id", "originality", "readability", "starts_with_negation", "is_question")
+
+
+_PROMPT = f"concat('-----', chr(10), 'Question:', chr(10), question, chr(10), 'Options:', chr(10), 'a) ', option_a, chr(10), 'b) ', option_b, chr(10), 'c) ', option_c, chr(10), 'd) ', option_d, chr(10), 'Correct option: ', correct_option, chr(10), '-----', chr(10))"
+
+
+@query(f"{M} SELECT id, CASE length({_PROMPT}) % 7 WHEN 6 THEN 0 ELSE (length({_PROMPT}) % 7)::int END AS distractor_quality FROM mcq")
+def score_generated(spark, sf_dir):
+    """Scores of MCQs by a stub judge whose answer depends on the prompt's length and is no number for one in seven."""
+    def rule(system, user):
+        return "good" if len(user) % 7 == 6 else f" {len(user) % 7}\n"
+
+    return flows.scored_generated(fx.mcq(spark, sf_dir), lambda: judge.StubClient(rule)).select("id", "distractor_quality")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mcqlab.config import MetricConfig
@@ -10,32 +10,31 @@ from mcqlab.functions import prompts, text, vector
 from mcqlab.operators import judge
 
 
-def default_stopwords() -> tuple[str, ...]:
-    """Frequent English words without content; any list can be given in MetricConfig."""
-    return tuple(
-        "a about after all also an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its "
-        "just me more most my no not of on or our she should so some than that the their them then there these they this those to too very was we were "
-        "what when where which who why will with would you your don t s".split()
-    )
+def _grams(name: str, config: MetricConfig) -> Column:
+    lemmas = F.create_map(*(F.lit(x) for pair in config.lemmas for x in pair)) if config.lemmas else None
+    return text.trigrams(text.clean_tokens(F.col(name), list(config.stopwords), lemmas))
 
 
 def originality(mcqs: DataFrame, sheets: DataFrame, config: MetricConfig) -> DataFrame:
     """mcqs with ``originality``; the trigrams of a sheet are made once for all its questions."""
-    c, stop = config.columns, list(config.stopwords)
-    grams = sheets.groupBy(F.col(c.id).alias("_k")).agg(F.min(c.context).alias("_t")).select("_k", text.trigrams(text.clean_tokens(F.col("_t"), stop)).alias("_sheet"))
-    own = text.trigrams(text.clean_tokens(F.col(c.question), stop))
-    return mcqs.join(grams, mcqs[c.id].eqNullSafe(grams["_k"]), "left").withColumn("originality", text.originality(own, F.coalesce("_sheet", F.array().cast("array<string>")))).drop("_k", "_sheet")
+    c = config.columns
+    grams = sheets.groupBy(F.col(c.id).alias("_k")).agg(F.min(c.context).alias("_t")).select("_k", _grams("_t", config).alias("_sheet"))
+    joined = mcqs.join(grams, mcqs[c.id].eqNullSafe(grams["_k"]), "left")
+    return joined.withColumn("originality", text.originality(_grams(c.question, config), F.coalesce("_sheet", F.array().cast("array<string>")))).drop("_k", "_sheet")
 
 
-def evaluate(mcqs: DataFrame, config: MetricConfig = MetricConfig()) -> DataFrame:
+def evaluate(mcqs: DataFrame, config: MetricConfig = MetricConfig(), sheets: DataFrame | None = None) -> DataFrame:
     """Rule and vector metrics that the configuration switches on, in the documented order.
 
-    Relevance needs columns question_vec and sheet_vec; ambiguity option_a_vec to option_d_vec.
+    Relevance needs columns question_vec and sheet_vec; ambiguity option_a_vec to
+    option_d_vec. With sheets (id, content), the trigrams of a sheet are made once for
+    all its questions, by a join; without, in one projection from the content column.
     """
-    c, stop, added = config.columns, list(config.stopwords), {}
-    if config.originality:
-        grams = [text.trigrams(text.clean_tokens(F.col(x), stop)) for x in (c.question, c.context)]
-        added["originality"] = text.originality(*grams)
+    c, added = config.columns, {}
+    if config.originality and sheets is not None:
+        mcqs = originality(mcqs, sheets, config)
+    elif config.originality:
+        added["originality"] = text.originality(_grams(c.question, config), _grams(c.context, config))
     if config.readability:
         added["readability"] = text.readability(F.col(c.question))
     if config.negation:
@@ -46,7 +45,7 @@ def evaluate(mcqs: DataFrame, config: MetricConfig = MetricConfig()) -> DataFram
         added["relevance"] = vector.cosine(F.col("question_vec"), F.col("sheet_vec"))
     if config.ambiguity:
         added["ambiguity"] = vector.ambiguity([F.col(f"{o}_vec") for o in c.options], F.col(c.correct))
-    return mcqs.withColumns(added)
+    return mcqs.withColumns(added) if added else mcqs
 
 
 def judge_prompts(config: MetricConfig) -> dict:

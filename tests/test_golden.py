@@ -11,6 +11,7 @@ from mcqlab.functions import jsonmcq, prompts, text, vector
 from mcqlab.operators import judge, prefs, relational
 from mcqlab.operators.split import split
 from mcqlab.plans import evaluate as ev
+from mcqlab.plans import flows
 from mcqlab.plans.catalog import QUERIES
 from mcqlab.sources import io
 from mcqlab.streaming.evaluate import evaluated_stream, write_stream
@@ -146,6 +147,46 @@ def test_judges_and_retries(spark):
     assert {r["id"]: r["embedding"] for r in vectors} == {1: [1.0], 2: [1.0], 3: [4.0], 4: None}
 
 
+def test_generation(spark):
+    import json
+
+    good = json.dumps({f: "x" for f in jsonmcq.FIELDS})
+
+    def make():
+        def generate(prompt, temperature, schema):
+            if temperature == 0.7:
+                raise OSError
+            return good if temperature == 0.1 and schema["required"] == list(jsonmcq.FIELDS) and "sheet" in prompt else "no JSON"
+
+        return generate
+
+    rows = flows.generated(spark.createDataFrame([("a", "sheet one"), ("b", None)], "id string, content_gpt string"), make).collect()
+    assert sorted((r["id"], r["temperature"], r["question"]) for r in rows) == [("a", 0.1, "x"), ("a", 0.5, ""), ("a", 0.7, ""), ("b", 0.1, ""), ("b", 0.5, ""), ("b", 0.7, "")]
+
+
+def test_run_from_env(spark, tmp_path, monkeypatch):
+    io.write_csv(spark.createDataFrame([("s1", "f", "alpha beta gamma omega"), ("s2", "f", "unused")], io.SHEETS), str(tmp_path / "sheets"))
+    mcq = ("s1", "Alpha beta gamma deltas?", "o1", "o2", "o3", "o4", "a")
+    io.write_csv(spark.createDataFrame([mcq, ("s1", "No alpha beta", *mcq[2:])], io.MCQS), str(tmp_path / "mcqs"))
+    for k in ("SHEETS", "MCQS", "OUTPUT"):
+        monkeypatch.delenv(f"MCQLAB_{k}", raising=False)
+    with pytest.raises(ValueError):
+        flows.run_from_env(spark)
+    for k, name in (("SHEETS", "sheets"), ("MCQS", "mcqs"), ("OUTPUT", "out")):
+        monkeypatch.setenv(f"MCQLAB_{k}", str(tmp_path / name))
+    config = MetricConfig(difficulty=True, lemmas=(("deltas", "omega"),))
+    with pytest.raises(ValueError):
+        flows.run_from_env(spark, config)
+    flows.run_from_env(spark, config, lambda: judge.StubClient(lambda system, user: "4"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert sorted((r["originality"], r["is_question"], r["starts_with_negation"], r["difficulty"]) for r in got) == [("0.0", "false", "true", "4"), ("0.0", "true", "false", "4")]
+
+
+def test_prompts_from_a_file(tmp_path):
+    (tmp_path / "p.json").write_text('{"difficulty": "é"}', encoding="utf-8")
+    assert io.prompts_from(str(tmp_path / "p.json")) == {"difficulty": "é"}
+
+
 def test_sources(spark, tmp_path):
     for folder, name, body in (("IC 1", "IC-001-sheets.txt", "Rubrique: abc\nline\n\n"), ("B", "short", "x")):
         (tmp_path / "in" / folder).mkdir(parents=True)
