@@ -53,7 +53,7 @@ class WordBpe(dict):
     UNUSUAL = re.compile("[^\t\n\r -~\xa0-ɏ‐-―‘-‟•…]")
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
 
-    def __init__(self, path: str = TOKENIZER, most: int = 250_000):
+    def __init__(self, path: str = TOKENIZER, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most
