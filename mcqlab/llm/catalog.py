@@ -16,6 +16,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1_url_filter that SQL can express."""
+    return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
@@ -58,9 +63,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op6_suffix_dedup, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (url_rules, op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op6_suffix_dedup, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
 #: The others train models, sketch, or write formats that SQL lacks; they are tested against brute force.
 SQL: dict[str, str] = {
+    "url_rules": """
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') raw FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') path FROM h)
+SELECT page_id, host, path, CASE
+  WHEN concat('.', host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+  WHEN concat('.', host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+  WHEN concat('.', host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+  WHEN concat('.', host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+  WHEN concat('.', host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule
+FROM p
+""",
     "op9_vector_links": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -4,12 +4,13 @@ Native: parsing, rules, features, training and scores are Spark SQL expressions
 Spark's own logistic regression; no Python runs on the executors.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and
-is judged by the model. Repeated rows are judged alike; other columns pass through.
+is judged by the model. Of fitting rules of equal length, the one listed last wins.
+Urls of any length count whole. Repeated rows are judged alike; other columns pass
+through, but columns with the name of a result give way to it.
 """
 
 from __future__ import annotations
 
-from itertools import product
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.ml.classification import LogisticRegression
@@ -17,22 +18,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mcqlab.llm.labelled_urls import UNWANTED, WANTED
+
 #: (verdict, host/path); the longest rule that fits wins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 BUCKETS, LENGTHS = 2048, (3, 4)
-#: The small labelled table: words of wanted and of unwanted sites, each with every ending and path shape.
-WANTED = ("library", "museum", "school", "university", "science", "recipes", "history", "gardening", "news-archive", "health-guide", "docs", "weather")
-UNWANTED = ("casino-bonus", "poker-win", "cheap-pills", "xxx-cams", "torrent-crack", "free-prize", "payday-loans", "hot-dates", "click-ads", "fake-watches", "spam-seo", "warez")
-SHAPES = {"allow": ("/articles/{w}-introduction", "/en/about.html"), "block": ("/win/{w}/claim-now", "/en/go.php")}
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, blocked): a few dozen rows."""
-    rows = [
-        (f"https://{w}.{end}{shape.format(w=w)}", blocked)
-        for words, kind, blocked in ((WANTED, "allow", 0.0), (UNWANTED, "block", 1.0))
-        for w, end, shape in product(words, ("com", "net", "org"), SHAPES[kind])
-    ]
+    """(url, blocked): the small labelled table."""
+    rows = [(u, 0.0) for u in WANTED] + [(u, 1.0) for u in UNWANTED]
     return spark.createDataFrame(rows, "url string, blocked double").coalesce(1)
 
 

@@ -60,12 +60,30 @@ def test_url_rules(spark, sf_dir):
     assert url_filter.filtered(rows.where("false")).count() == 0
 
 
-def test_url_model_separates_its_table(spark):
-    rows = url_filter.filtered(url_filter.labelled_urls(spark), rules=()).collect()
-    assert np.mean([(r["score"] > 0.5) == (r["blocked"] > 0) for r in rows]) > 0.97
-    far = spark.createDataFrame([("https://city-library.org/articles/museum-guide",), ("https://best-casino-bonus.net/win/poker-win/claim-now",)], "url string")
-    a, b = (r["score"] for r in url_filter.filtered(far, rules=()).collect())
-    assert a < 0.5 < b
+def test_url_model_tells_unseen_urls(spark):
+    own = url_filter.labelled_urls(spark).withColumn("part", F.crc32("url") % 4)
+    right = []
+    for k in range(4):
+        rows = url_filter.filtered(own.where(F.col("part") == k), rules=(), labelled=own.where(F.col("part") != k)).collect()
+        right += [(r["score"] > 0.5) == (r["blocked"] > 0) for r in rows]
+    assert len(right) == own.count() and np.mean(right) > 0.8
+
+
+def test_url_scores_equal_plain_ones(spark):
+    weights, intercept = url_filter.trained(url_filter.labelled_urls(spark))
+    urls = [None, "", "x://", "https://Win.example.org/Go.php?x", "http://a.b/" + "long/" * 3000, "https://docs.quillstack.org/reference/string-functions"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("score", F.lit("mine"))
+    rows = url_filter.filtered(frame).collect()
+    grams = frame.select("page_id", F.explode(url_filter.grams(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))))).collect()
+    for r in rows:
+        own = [g[1] for g in grams if g[0] == r["page_id"]]
+        parts = [(brute_rule(r["url"])[0], 3), (brute_rule(r["url"])[0], 4), (brute_rule(r["url"])[1], 3), (brute_rule(r["url"])[1], 4)]
+        assert len(own) == sum(max(1, len(t) + 2 - n + 1) for t, n in parts)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(np.mean([weights[k] for k in own]) + intercept))))
+
+
+def test_url_rules_equal_sql(spark):
+    assert check(spark, "/root/testdata/sf0.01", llm.QUERIES["url_rules"], llm.SQL["url_rules"]) == 250
 
 
 def test_packing(docs, none):
