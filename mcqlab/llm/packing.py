@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEQUENCE, SEGMENTS, END_ID = 4096, 256, 2
+KNOWN = 500_000  # words that a Python worker remembers, of about 200 bytes each
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, loss_tokens long"
 
@@ -53,7 +54,7 @@ class WordBpe(dict):
     UNUSUAL = re.compile("[^\t\n\r -~\xa0-ɏ‐-―‘-‟•…]")
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
 
-    def __init__(self, path: str = TOKENIZER, most: int = 150_000):
+    def __init__(self, path: str = TOKENIZER, most: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most
@@ -78,9 +79,9 @@ class WordBpe(dict):
 
 
 @lru_cache(2)
-def word_bpe(path: str) -> WordBpe:
+def word_bpe(path: str, known: int = KNOWN) -> WordBpe:
     """One per Python worker, kept from task to task."""
-    return WordBpe(path)
+    return WordBpe(path, known)
 
 
 def dot_product_packing(demands: np.ndarray, limits: np.ndarray, may_cut: bool = True) -> list[list[tuple[int, int, int]]]:
@@ -149,18 +150,19 @@ def answer_share(text: Column) -> Column:
     return F.when(line > 0, 1 - line / F.length(text)).otherwise(1.0)
 
 
-def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loss_rate: str | None = None, sequence: int = SEQUENCE, segments: int = SEGMENTS, loss: int = SEQUENCE, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loss_rate: str | None = None, sequence: int = SEQUENCE, segments: int = SEGMENTS, loss: int = SEQUENCE, tokenizer: str = TOKENIZER, with_ids: bool = False, known: int = KNOWN) -> DataFrame:
     """docs -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     loss_rate: a column with the share (0 to 1) of a row's tokens that bear loss; all
     do without it. with_ids: a column ids with the piece's tokens as well.
+    known: words that a worker remembers; fewer take less memory and more time.
     """
     columns = [doc_id, text] + ([loss_rate] if loss_rate else [])
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     limits = np.array([sequence, segments, loss])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, base, count = word_bpe(tokenizer), TaskContext.get().partitionId() << 33, 0
+        bpe, base, count = word_bpe(tokenizer, known), TaskContext.get().partitionId() << 33, 0
         end = np.array([END_ID], "<u4").tobytes()
         pool: list[tuple[int | None, int, bytes, int, float]] = []  # doc_id, start, ids, tokens of the document, loss rate
 
