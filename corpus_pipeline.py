@@ -64,7 +64,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of tokens, with their ids."""
-    return packing.packed(docs, with_ids=True)
+    return packing.packed(docs, with_ids=True, known=150_000)  # workers are shared with the stages before
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
