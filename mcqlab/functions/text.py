@@ -58,12 +58,15 @@ def syllable_count(word: Column) -> Column:
 
 def readability(text: Column) -> Column:
     """Grade by words per sentence and syllables per word; null without a word or a sentence end."""
-    parts = words(text)
-    n_words = F.size(parts)
     n_sentences = F.length(text) - F.length(F.translate(text, ".!?", ""))
-    n_syllables = F.aggregate(parts, F.lit(0), lambda n, w: n + syllable_count(w))
-    grade = F.lit(0.39) * (n_words / n_sentences) + F.lit(11.8) * (n_syllables / n_words) - F.lit(15.59)
-    return F.when((n_words > 0) & (n_sentences > 0), grade)
+
+    def of(parts: Column) -> Column:
+        n_words = F.size(parts)
+        n_syllables = F.aggregate(parts, F.lit(0), lambda n, w: n + syllable_count(w))
+        grade = F.lit(0.39) * (n_words / n_sentences) + F.lit(11.8) * (n_syllables / n_words) - F.lit(15.59)
+        return F.when((n_words > 0) & (n_sentences > 0), grade)
+
+    return bound(words(text), of)
 
 
 def clean_tokens(text: Column, stopwords: Sequence[str] = (), lemmas: Column | None = None) -> Column:
