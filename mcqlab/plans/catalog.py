@@ -444,13 +444,10 @@ def training_prep(spark, sf_dir):
     return flows.training_set(rows, "completion", path)
 
 
-_RUN_SQL = GRAMS.replace("FROM mcq)", "FROM mcq WHERE id % 3 <> 1)", 1)
-
-
-@query(f"{_RUN_SQL} SELECT id::varchar AS id, {ORIGINALITY} AS originality, {_readability('question')} AS readability, {NEGATION} AS starts_with_negation, {QUESTION} AS is_question FROM g")
+@query(f"{GRAMS} SELECT id::varchar AS id, {ORIGINALITY} AS originality, {_readability('question')} AS readability, {NEGATION} AS starts_with_negation, {QUESTION} AS is_question FROM g")
 def evaluation_run(spark, sf_dir):
-    """CSV files in, metrics in a CSV folder: the whole run, over two MCQ tables in three."""
-    own = fx.mcq(spark, sf_dir).where("id % 3 <> 1").withColumn("id", F.col("id").cast("string"))
+    """CSV files in, metrics in a CSV folder: the whole run."""
+    own = fx.mcq(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
     at = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
     io.write_csv(fx.sheets(spark, sf_dir).select(F.col("id").cast("string"), "folder", "content_gpt"), f"{at}/sheets")
     io.write_csv(own.select(*io.MCQS.names), f"{at}/mcqs")
