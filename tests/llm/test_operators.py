@@ -385,6 +385,25 @@ def test_near_duplicates(spark, docs, none):
     assert len(small) == docs.count() and {x["class_id"] for x in small if x["doc_id"] in (1, 6)} == {1}
 
 
+def test_near_copies_of_all_lengths_are_found(spark):
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(100_000)}"
+    rows, linked = [], {}
+    for i in range(400):
+        base = [word() for _ in range(r.choice([8, 10, 14, 20, 40, 90, 250]))]
+        copy = list(base)
+        for _ in range(max(1, round(len(base) * r.uniform(0.01, 0.1)))):  # changed, added and dropped words
+            at = r.randrange(len(copy))
+            copy[at : at + 1] = r.choice([[word()], [], [copy[at], word()]])
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        x, y = grams_of(rows[-2][1]), grams_of(rows[-1][1])
+        linked[2 * i + 1] = levenshtein(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9
+    got = {x["doc_id"]: x["kept"] for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[2 * i] for i in range(400)) and all(got[k] for k in linked if not linked[k])
+    found = [not got[k] for k in linked if linked[k]]
+    assert len(found) > 80 and sum(found) >= 0.98 * len(found)
+
+
 def brute_spans(rows):
     raws, seen, out = [(k, (t or "").encode()) for k, t in rows], {}, {}
     for _, raw in raws:
