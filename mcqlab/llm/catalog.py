@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mcqlab.llm import language_id, media, order_minhash, packing, quality, sentence_pieces, suffix_dedup, token_counts, url_filter, vector_links
+from mcqlab.llm import filter_audit, fingerprint, language_id, media, order_minhash, packing, quality, sentence_pieces, suffix_dedup, token_counts, url_filter, vector_links
 from mcqlab.llm.common import table
 
 
@@ -63,7 +63,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (url_rules, op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op6_suffix_dedup, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media)}
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op11_fingerprint that SQL can express."""
+    rows = fingerprint.edits(table(spark, sf_dir, "documents")).where("NOT guest")
+    return rows.select(F.col("id").alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(filter_audit.failure_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (url_rules, edited_texts, op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op6_suffix_dedup, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media, op11_fingerprint, op13_filter_audit)}
 #: The others train models, sketch, or write formats that SQL lacks; they are tested against brute force.
 SQL: dict[str, str] = {
     "url_rules": """
@@ -86,5 +100,29 @@ r AS (SELECT a n, a c FROM l UNION SELECT r.n, l.b FROM r JOIN l ON r.c = l.a),
 m AS (SELECT n, min(c) c FROM r GROUP BY n), k AS (SELECT a, count(*) k FROM l GROUP BY a)
 SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN m ON n = vec_id LEFT JOIN k ON a = vec_id
+""",
+    "edited_texts": """
+WITH d AS (SELECT doc_id, coalesce(text, '') t, length(coalesce(text, '')) n FROM documents),
+e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id, t), first(t) OVER (ORDER BY doc_id, t)) nxt FROM d)
+SELECT doc_id, n::bigint AS n_chars, sha256(concat(substr(t, 1, n - n // 2), substr(nxt, 1, n // 2))) AS edited_sha256 FROM e
+""",
+    "op13_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
+d AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') w, min(doc_id) OVER (PARTITION BY t) low FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+  CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN low < doc_id THEN 16 ELSE 0 END failed FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, failed, count(*) n, sum(good) good, sum(toxic) toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) c, unnest([1, 2, 4, 8, 16]) b),
+o AS (SELECT concat(p.c, q.c, r.c, s.c, u.c) filter_order, [p.b, q.b, r.b, s.b, u.b] bs FROM x p JOIN x q ON p.b <> q.b JOIN x r ON r.b NOT IN (p.b, q.b) JOIN x s ON s.b NOT IN (p.b, q.b, r.b) JOIN x u ON u.b NOT IN (p.b, q.b, r.b, s.b)),
+s AS (SELECT filter_order, step, bs[step] b, coalesce(list_sum(bs[1:step - 1]), 0) done FROM o CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) step)),
+r AS (SELECT part, filter_order, step, b, sum(n) FILTER (failed::int & (done + b)::int = 0) kept, sum(n) FILTER (failed::int & b <> 0 AND failed::int & done::int = 0) removed,
+  sum(n) FILTER (failed::int & b <> 0 AND failed::int & done::int <> 0) redundant, sum(n) FILTER (failed = b) unique_fails,
+  sum(good) FILTER (failed::int & b <> 0 AND failed::int & done::int = 0) good_lost, sum(toxic) FILTER (failed::int & b <> 0 AND failed::int & done::int = 0) toxic_lost
+  FROM m CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::bigint AS kept, coalesce(removed, 0)::bigint AS removed, coalesce(redundant, 0)::bigint AS redundant, coalesce(unique_fails, 0)::bigint AS unique_fails,
+  coalesce(good_lost, 0)::bigint AS good_lost, coalesce(toxic_lost, 0)::bigint AS toxic_lost, (coalesce(sum(removed) OVER (PARTITION BY part, b), 0))::bigint AS shapley FROM r
 """,
 }
