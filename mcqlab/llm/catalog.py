@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mcqlab.llm import filter_audit, fingerprint, language_id, media, order_minhash, packing, quality, sentence_pieces, suffix_dedup, token_counts, url_filter, vector_links
+from mcqlab.llm import collocations, filter_audit, fingerprint, language_id, media, order_minhash, packing, quality, sentence_pieces, suffix_dedup, token_counts, url_filter, vector_links
 from mcqlab.llm.common import table
 
 
@@ -73,11 +73,15 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(filter_audit.failure_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (url_rules, edited_texts, op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op6_suffix_dedup, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media, op11_fingerprint, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (url_rules, edited_texts, op1_url_filter, op2_quality, op3_order_minhash, op4_language_id, op5_token_counts, op6_suffix_dedup, op7_sentence_pieces, op8_packing, op9_vector_links, op10_media, op11_fingerprint, op12_collocations, op13_filter_audit)}
 #: The others train models, sketch, or write formats that SQL lacks; they are tested against brute force.
 SQL: dict[str, str] = {
     "url_rules": """
@@ -105,6 +109,22 @@ FROM embeddings LEFT JOIN m ON n = vec_id LEFT JOIN k ON a = vec_id
 WITH d AS (SELECT doc_id, coalesce(text, '') t, length(coalesce(text, '')) n FROM documents),
 e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id, t), first(t) OVER (ORDER BY doc_id, t)) nxt FROM d)
 SELECT doc_id, n::bigint AS n_chars, sha256(concat(substr(t, 1, n - n // 2), substr(nxt, 1, n // 2))) AS edited_sha256 FROM e
+""",
+    "op12_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) s FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), lambda x: x <> '') ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) i FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n)::hugeint total FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n, string_split(phrase, ' ') ws FROM f WHERE k > 1 AND n >= 100),
+i AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') phrase, n FROM (SELECT lang, n, ws, m, unnest(range(1, k - m + 2)) i FROM c CROSS JOIN (SELECT unnest([2, 3, 4]) m) WHERE m < k)),
+x AS (SELECT lang, phrase, max(n) longer FROM i GROUP BY ALL),
+k AS (SELECT c.*, unnest(range(1, k)) cut FROM c LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * n),
+s AS (SELECT k.lang, k.phrase, k.n a, cut, l.n l, r.n r, total n, (1000::hugeint * k.n * total) // (l.n::hugeint * r.n) score FROM k JOIN t USING (lang)
+  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::bigint AS n, score::bigint AS score FROM b QUALIFY rank <= 2000
 """,
     "op13_filter_audit": r"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),

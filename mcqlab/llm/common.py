@@ -20,14 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *by: str) -> DataFrame:
     """Written to the shared folder and read again: lineage ends here, and a lost executor costs nothing.
 
-    The files stay until ``discard``, or until the folder of the session is removed.
+    by: columns that get folders of their own, the last ones of df. The files stay until ``discard``, or until the folder of the session is removed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
