@@ -123,7 +123,7 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
         under_way = np.flatnonzero(scan < act + shards)
         if len(under_way):
             yield rows(k, under_way, first, act, n)
-        there = since(gram_hashes, sieve)
+        there = np.maximum(since(gram_hashes, sieve), act)  # the sieve may take a phrase for another before it was ever counted
 
 
 def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest: int) -> DataFrame:
