@@ -27,7 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES, GROUP = 24, 4
+from mcqlab.llm.common import stored
+
+SAMPLES, GROUP = 40, 4
 CACHED = 16_384
 PER_RANGE, LEAST_RANGES, MOST_RANGES = 1000, 32, 16_384
 _BLANK = "".join(map(chr, range(33)))
@@ -150,7 +152,7 @@ def fingerprinted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         raise ValueError(f"samples: a multiple of {GROUP}")
     keys = ["range", "pos", "guest", "id", "n_chars", "sha"]
     weights = weighted_terms(edits(docs, text, doc_id, per_range), keys, ["t", "e"])
-    common = common_draws(docs, text, samples, cached)
+    common = stored(common_draws(docs, text, samples, cached))  # read twice
     both = signatures(weights, keys, common, samples, 2)
     blank = docs.sparkSession.range(1).select(F.lit(0).alias("id"), F.xxhash64(F.lit("")).alias("term"), F.lit(1).alias("w0"))
     empty = F.lit(signatures(blank, ["id"], common, samples, 1).first()["s0"])
