@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mcqlab.llm.common import without
 from mcqlab.llm.labelled_urls import UNWANTED, WANTED
 
 #: (verdict, host/path); the longest rule that fits wins.
@@ -72,7 +73,7 @@ def filtered(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, u
     """pages with host, path, rule, score (the model's chance of a block) and verdict (allow or block; the model blocks above the threshold)."""
     weights, intercept = trained(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to one constant
-    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict", "_g")]
+    rest = without(pages.columns, ("host", "path", "rule", "score", "verdict", "_g"))
     out = pages.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     margin = F.aggregate("_g", F.lit(0.0), lambda s, k: s + F.element_at(table, k + 1)) / F.size("_g") + F.lit(intercept)
