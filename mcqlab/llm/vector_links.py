@@ -14,7 +14,9 @@ Equal vectors are one class throughout. Cells over MOST rows are dealt out as
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows without a label, link with nothing; vectors of different lengths
-never link; a row without an id gets no component; other columns are left out.
+never link; a row without an id gets no component; rows are told apart by label and
+vector, so each row of a repeated id has the links of its own vector; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mcqlab.llm.common import components, discard, stored
+from mcqlab.llm.common import components, dealt_join, discard, stored
 
 LEAST, BLOCKS, GRID, MOST = 0.98, 4, 3, 4096
 SLACK = 1e-5  # for single-precision rotated coordinates
@@ -129,10 +131,10 @@ def linked(rows: DataFrame, key: str = "vec_id", label: str = "label", vector: s
     own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")), F.lit(False))
     own = own.withColumns({"label": F.when(ok, F.col("label")), "v": F.when(ok, F.col("v"))})
-    classes = stored(own.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
+    classes = stored(own.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("mult")).withColumn("rep", F.monotonically_increasing_id()))  # numbers fixed by being written
     kind, single = dict(classes.dtypes)["label"], rows.schema[vector].dataType.elementType == T.FloatType()
     cells = stored(classes.select("label", "rep", "mult", "v").mapInArrow(lambda it: _cells(it, least, blocks, grid, single), f"label {kind}, cell string, rep long, mult long, home boolean, v binary, z binary"))
-    parts = cells.groupBy("label", "cell").agg(F.ceil(F.count("*") / most).cast("int").alias("m"))
+    parts = stored(cells.groupBy("label", "cell").agg(F.count("*").alias("rows")).withColumn("m", F.ceil(F.col("rows") / most).cast("int")))
     mine = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
     all_parts = F.sequence(F.lit(0), F.col("m") - 1)
     place = lambda i, j, home, visitor: F.struct(i.alias("i"), j.alias("j"), home.alias("as_home"), visitor.alias("as_visitor"))
@@ -141,13 +143,16 @@ def linked(rows: DataFrame, key: str = "vec_id", label: str = "label", vector: s
         F.transform(all_parts, lambda i: place(i, mine, no, yes)),
         F.when(F.col("home"), F.transform(all_parts, lambda j: place(mine, j, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,as_home:boolean,as_visitor:boolean>>")),
     )
-    placed = cells.join(parts, ["label", "cell"]).withColumn("p", F.explode(F.when(F.col("m") == 1, F.array(place(zero, zero, F.col("home"), yes))).otherwise(split)))
+    placed = dealt_join(cells, parts, ["label", "cell"], "rows").withColumn("p", F.explode(F.when(F.col("m") == 1, F.array(place(zero, zero, F.col("home"), yes))).otherwise(split)))
     placed = placed.select("label", "cell", "p.i", "p.j", "rep", "mult", "p.as_home", "p.as_visitor", "v", "z")
     found = stored(placed.groupBy("label", "cell", "i", "j").applyInArrow(lambda k, t: _linked(k, t, least, blocks), "rep long, n long, `to` long"))
-    discard(cells)
+    discard(cells, parts)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    facts = classes.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    facts = facts.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("rep", "least_id", "mult").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
+    named = stored(named.select("rep", "least_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    smallest = stored(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")))
+    facts = dealt_join(named, smallest, ["component"], "size").select("rep", "n_links", "component_id")
+    facts = classes.join(facts, "rep").select("label", "v", "n_links", "component_id")
     out = own.join(facts, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
