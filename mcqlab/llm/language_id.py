@@ -142,7 +142,7 @@ def trained(examples: list, epochs: int = 12, rate: float = 4.0, seed: int = 3)
 def fitted(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """A model from a bounded sample of the rows with a language."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return trained(bags(sampled(rows, lang, key, per_language, MOST_ROWS), text, lang))
+    return trained(bags(sampled(rows, lang, key, per_language, MOST_ROWS, text=text), text, lang))
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", with_text: bool = True) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mcqlab.llm import features as ft
-from mcqlab.llm.common import buffer_of, mixed, slices
+from mcqlab.llm.common import buffer_of, discard, mixed, slices, stored
 from mcqlab.llm.sampling import collected, sampled
 
 BITS, GRAM = 17, 3
@@ -228,7 +228,10 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     """A model from a bounded sample of rated documents; a document's lowest rating counts."""
     rated = labels.select(key, grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade IS NOT NULL").groupBy(key).agg(F.min("grade").alias("grade"))
     chosen = sampled(rated, "grade", key, per_grade)
-    return trained(bags(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key), text, "grade"))
+    found = stored(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key))
+    out = trained(bags(sampled(found, "grade", key, per_grade, text=text), text, "grade"))  # an id may have many rows
+    discard(found)
+    return out
 
 
 def graded(docs: DataFrame, model: Model, text: str = "text", with_text: bool = True) -> DataFrame:

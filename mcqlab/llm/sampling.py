@@ -10,13 +10,15 @@ from mcqlab.llm.common import discard, stored
 MOST_CLASSES = 10_000
 
 
-def sampled(rows: DataFrame, label: str, key: str, per_class: int, most_rows: int | None = None, seed: int = 7) -> DataFrame:
-    """The ``per_class`` first rows of each class by hash of the key; rows without a label are left out.
+def sampled(rows: DataFrame, label: str, key: str, per_class: int, most_rows: int | None = None, seed: int = 7, text: str | None = None) -> DataFrame:
+    """The ``per_class`` first rows of each class by hash of the key, then of the text; rows without a label are left out.
 
     most_rows: with many classes, each gets an equal share of so many rows, one at
-    least. Only keys and labels are read; rows are thinned by hash before they are
-    ranked, so a frequent class is no hot task. More than MOST_CLASSES classes are
-    refused: then the column is no label.
+    least. Rows are thinned by the key's hash before they are ranked, so a frequent class
+    is no hot task; a class of which equal or missing keys leave too few is ranked whole,
+    in each task first. There are never more rows of a class than its share, and never
+    none of a class that has rows. More than MOST_CLASSES classes are refused: then the
+    column is no label.
     """
     h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
     narrow = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), h.alias("h"))
@@ -28,11 +30,19 @@ def sampled(rows: DataFrame, label: str, key: str, per_class: int, most_rows: in
     if most_rows is not None:
         per_class = max(1, min(per_class, most_rows // len(counts)))
     spark, kind = rows.sparkSession, narrow.schema["label"].dataType.simpleString()
-    top = [(r["label"], min(2**63 - 1, int(-(2**63) + min(1.0, 4.0 * per_class / r["n"]) * 2**64))) for r in counts]
-    thin = narrow.join(F.broadcast(spark.createDataFrame(top, f"label {kind}, top long")), "label").where("h <= top")
-    ranked = thin.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_class)
-    cuts = spark.createDataFrame([(r["label"], r["cut"]) for r in ranked.groupBy("label").agg(F.max("h").alias("cut")).collect()], f"_label {kind}, _cut long")
-    return rows.join(F.broadcast(cuts), (F.col(label) == F.col("_label")) & (h <= F.col("_cut"))).select(*rows.columns)
+
+    def tops(whole: set) -> DataFrame:
+        share = lambda r: 1.0 if r["label"] in whole else min(1.0, 4.0 * per_class / r["n"])
+        top = [(r["label"], min(2**63 - 1, int(-(2**63) + share(r) * 2**64))) for r in counts]
+        return F.broadcast(spark.createDataFrame(top, f"_label {kind}, _top long"))
+
+    thinned = narrow.join(tops(set()), F.col("label") == F.col("_label")).where("h <= _top").groupBy("label").agg(F.count("*").alias("n"))
+    enough = {r["label"] for r in thinned.collect() if r["n"] >= per_class}
+    whole = {r["label"] for r in counts if r["label"] not in enough}
+    thin = rows.withColumn("_h", h).join(tops(whole), F.col(label) == F.col("_label")).where("_h <= _top")
+    order = Window.partitionBy(label).orderBy("_h", *[F.xxhash64(text)] * bool(text))
+    ranked = thin.withColumn("_r", F.row_number().over(order))
+    return ranked.where(F.col("_r") <= per_class).select(*rows.columns)
 
 
 def collected(bags: DataFrame, most_keys: int) -> list[tuple]:
