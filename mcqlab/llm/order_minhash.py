@@ -11,7 +11,8 @@ No bucket is turned into all its pairs. Its members are first aligned with its
 leader, the member that stands in the fullest buckets. Where that leaves members
 unlinked, the pairs still open go through an exact prefix filter: linked texts must
 share one of their rarest shingles, so texts that only share a common passage never
-meet. Word sequences are told apart by two hashes of 64 bits, words by 32 bits.
+meet. Word sequences are told apart by a hash of 128 bits of their text, words by
+32 bits.
 
 Defined results: null and empty texts, and texts without a word, are classes of their
 own and link with nothing; a row without an id is ignored for links and gets a null
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,10 +92,16 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (hashes >> np.uint64(32)).astype(np.uint32), at
 
 
-def _sequence_keys(hashes: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """Two hashes of the word sequence of each of the rows."""
-    prefixes = ft.prefix_hashes(hashes), ft.prefix_hashes(mixed(hashes ^ MIX))
-    return [(mixed(ft.spans(p, at[rows], at[rows + 1])) + np.diff(at)[rows].astype(np.uint64)).view(np.int64) for p in prefixes]
+def _sequence_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The two halves of a 128-bit hash of the word sequence of each of the rows: of its lower-cased words, a space after each."""
+    owner = np.repeat(np.arange(len(start)), end - start)
+    place = np.arange(len(owner)) + owner
+    plain = np.full(len(owner) + len(start), 32, np.uint8)
+    plain[place] = ft.LOWER[data[np.arange(len(owner)) + np.repeat(start - np.concatenate([[0], np.cumsum(end - start)[:-1]]), end - start)]] if len(start) else 0
+    bound = np.concatenate([[0], np.cumsum(end - start + 1)])[at]
+    whole = memoryview(plain)
+    digests = b"".join(xxhash.xxh3_128_digest(whole[bound[r] : bound[r + 1]]) for r in rows)
+    return list(np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2).T)
 
 
 def sketched(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -103,10 +111,11 @@ def sketched(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         for b in batches:
             data, offsets = buffer_of(b.column(2))
             for i, j in slices(offsets):
-                hashes, _, _, at = ft.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                own = data[offsets[i] : offsets[j]]
+                hashes, s, e, at = ft.words(own, offsets[i : j + 1] - offsets[i])
                 words = (hashes >> np.uint64(32)).astype(np.uint32)
                 some = np.flatnonzero(np.diff(at))
-                keys = _sequence_keys(hashes, at, some)
+                keys = _sequence_keys(own, s, e, at, some)
                 flat = [sketches(shingles(words[at[r] : at[r + 1]])) for r in some]
                 n = np.maximum(np.diff(at)[some] - WORDS + 1, 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SKETCHES), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
@@ -211,9 +220,10 @@ def words_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> Data
         for b in batches:
             data, offsets = buffer_of(b.column(0))
             for i, j in slices(offsets):
-                hashes, _, _, at = ft.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                own = data[offsets[i] : offsets[j]]
+                hashes, s, e, at = ft.words(own, offsets[i : j + 1] - offsets[i])
                 words = (hashes >> np.uint64(32)).astype(np.uint32)
-                keys = _sequence_keys(hashes, at, np.arange(j - i))
+                keys = _sequence_keys(own, s, e, at, np.arange(j - i))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array([words[at[r] : at[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["k1", "k2", "w"])
 
     ids = wanted.select(F.col("rep").alias("_rep"))

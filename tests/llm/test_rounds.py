@@ -200,3 +200,41 @@ def test_collisions_follow_generalised_jaccard(spark):
     x, y = (Counter(t.split()) for t in (a, b))
     similarity = sum((x & y).values()) / sum((x | y).values())
     assert got[1]["near_next"] == pytest.approx(similarity, abs=0.04)
+
+
+# what was mended in this round
+
+
+def test_power_of_two_sequences_stay_apart(spark):
+    from mcqlab.llm import order_minhash
+
+    words = ["yes"]
+    while len(words) < 1024:
+        words += ["no" if w == "yes" else "yes" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join("no" if w == "yes" else "yes" for w in words)), (3, "Yes, " + " ".join(words[1:]))]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_samples_of_equal_ids(spark):
+    from mcqlab.llm import language_id, sampling
+
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"), F.concat(F.when(F.col("id") % 2 == 0, "the house ").otherwise("la maison "), F.col("id").cast("string")).alias("text"))
+    for changed in (rows, rows.withColumn("doc_id", F.lit(None).cast("long")), rows.withColumn("doc_id", F.col("doc_id") % 3), rows.withColumns({"doc_id": F.lit(7), "text": F.lit("same")})):
+        assert {r["lang"]: r["count"] for r in sampling.sampled(changed, "lang", "doc_id", 400, text="text").groupBy("lang").count().collect()} == {"en": 400, "fr": 400}
+    assert language_id.fitted(rows.withColumn("doc_id", F.lit(None).cast("long"))).languages == ["en", "fr"]
+
+
+def test_vectors_of_repeated_ids(spark):
+    from mcqlab.llm import vector_links
+
+    rows = [(9, "a", [1.0, 0.0, 0.01]), (9, "a", [1.0, 0.0, 0.02]), (1, "b", [1.0, 2.0, 3.0]), (2, "b", [1.0, 2.0, 3.0001]), (1, "c", [5.0, 0.0, 1.0]), (3, "c", [5.0, 0.0, 1.01]), (4, "c", [5.0, 0.0, 1.02])]
+    got = sorted(map(tuple, vector_links.linked(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()))
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
+def test_clashing_names_of_any_case(spark):
+    from mcqlab.llm import url_filter
+
+    got = url_filter.filtered(spark.createDataFrame([(1, "http://A.com/x", "q", 1)], "page_id long, url string, Host string, VERDICT int"))
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "score", "verdict"] and got.first()["host"] == "a.com"
