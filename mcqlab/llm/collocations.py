@@ -20,8 +20,9 @@ other columns are left out; an empty table has no phrases.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,11 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
         there = np.maximum(since(gram_hashes, sieve), act)  # the sieve may take a phrase for another before it was ever counted
 
 
+@lru_cache(1)
+def opened(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
 def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest: int) -> DataFrame:
     """(lang, t) -> counts of the phrases under way."""
 
@@ -135,7 +141,7 @@ def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest:
             coded = b.column(0).dictionary_encode()
             langs, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
             for i, j in slices(offsets, 2_000_000):
-                yield from counted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], langs[i:j], names, sieve.value, scan, shards, longest)
+                yield from counted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], langs[i:j], names, opened(sieve.value), scan, shards, longest)
 
     return shard.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "k", "since").agg(F.sum("n").alias("n"))
 
@@ -178,13 +184,13 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     sieve = np.full(cells, NEVER, np.uint8)
     running, finished, steps, last, scan = None, [], [], 0, 0
     while scan < last + shards:
-        shared = spark.sparkContext.broadcast(sieve)
+        shared = spark.sparkContext.broadcast(zlib.compress(sieve, 1))
         new = scanned(dealt.where(F.col("shard") == scan % shards).select("lang", "t"), shared, scan, shards, longest).withColumn("before", F.lit(0).cast("long"))
         if running is not None:
             new = new.unionByName(running)
         step = stored(new.groupBy("lang", "phrase", "k", "since").agg(F.sum("n").alias("n"), F.sum("before").alias("before")))
         steps.append(step)
-        shared.unpersist()
+        shared.destroy()  # the step is written
         over = F.col("since") + shards - 1 <= scan
         finished.append(step.where(over & ((F.col("k") == 1) | (F.col("n") >= least))).select("lang", "phrase", "k", "n"))
         running = step.where(~over).withColumn("before", F.col("n"))
