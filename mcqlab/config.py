@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 
@@ -53,7 +54,16 @@ class MetricConfig:
     lemmas: tuple[tuple[str, str], ...] = ()
     #: Answerability prompts would leak the key if they held the correct option.
     include_correct_option: bool = False
+    #: Metric -> name of its column, where it is not the usual one.
+    names: Mapping[str, str] = field(default_factory=dict)
 
+    def out(self, metric: str) -> str:
+        """The name of a metric's column."""
+        return self.names.get(metric, OUTPUTS.get(metric, metric))
+
+
+#: Columns that are not named after their metric.
+OUTPUTS = {"negation": "starts_with_negation", "answerability": "gpt_answer"}
 
 #: A generated MCQ is good above this score; an unknown score is not good.
 QUALITY_THRESHOLD = 2

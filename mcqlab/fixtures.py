@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from mcqlab.functions.jsonmcq import FIELDS
 from mcqlab.sources.io import table
 
 N_DATASETS = 3
+DIMENSIONS = 12
 
 _MCQ = """
 WITH p AS (SELECT doc_id, source, text, filter(split(text, r'[.\\n]+'), x -> trim(x) <> '') s FROM {documents})
@@ -124,6 +126,30 @@ def vectors(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("questio
     return out
 
 
+class LengthEncoder:
+    """An encoder that SQL can follow: a token is the length of a word, a vector the counts of lengths modulo DIMENSIONS, one special token in front."""
+
+    special = 1
+
+    def tokens(self, texts: list[str]) -> list[list[int]]:
+        return [[len(w) for w in t.split()] for t in texts]
+
+    def encode(self, tokens: list[list[int]]) -> np.ndarray:
+        out = np.zeros((len(tokens), DIMENSIONS))
+        for row, ids in zip(out, tokens, strict=True):
+            np.add.at(row, np.array([0, *ids]) % DIMENSIONS, 1)
+        return out
+
+
+def encoded_sql(name: str, text: str, words: str, max_tokens: int) -> str:
+    """The vectors of distinct texts as ``name`` (t, e); words: the list of words of t."""
+    counts = ", ".join(f"len(list_filter(l, lambda x: x % {DIMENSIONS} = {i})){' + 1' if i == 0 else ''}" for i in range(DIMENSIONS))
+    return f"""
+{name} AS (SELECT t, list_transform(c, lambda x: (x / sqrt(list_sum(list_transform(c, lambda y: y * y))::double))::float) e
+FROM (SELECT t, [{counts}]::double[] c FROM (SELECT t, list_transform(({words})[1:{max_tokens - 1}], lambda w: length(w)) l FROM (SELECT DISTINCT t FROM ({text}) WHERE t IS NOT NULL))))
+"""
+
+
 VECTORS_SQL = """
 n AS (SELECT count(*) n FROM embeddings),
 vectors AS (SELECT id, correct_option, q.embedding question_vec, s.embedding sheet_vec, a.embedding option_a_vec, b.embedding option_b_vec, c.embedding option_c_vec, d.embedding option_d_vec

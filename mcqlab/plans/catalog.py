@@ -13,7 +13,10 @@ from mcqlab import fixtures as fx
 from mcqlab.config import ACCEPT_MIN, EVAL_FRACTION, MAX_ATTEMPTS, PAIR_EVAL_MAX, PAIR_EVAL_SHARE, QUALITY_THRESHOLD, STOPWORDS, TEST_FRACTION, McqColumns, MetricConfig
 from mcqlab.functions import jsonmcq, prompts, text, vector
 from mcqlab.operators import judge, prefs, relational
+from mcqlab.operators.encode import VECTOR
+from mcqlab.operators.hot import stored
 from mcqlab.operators.split import order_hash, split
+from mcqlab.operators.store import KeyedStore
 from mcqlab.plans import evaluate as ev
 from mcqlab.plans import flows
 from mcqlab.session import shared_dir
@@ -341,7 +344,7 @@ def _dot(a: str, b: str) -> str:
 
 
 def _cos(a: str, b: str) -> str:
-    return f"({_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})))"
+    return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})) END"
 
 
 V = f"{M}, {fx.VECTORS_SQL}"
@@ -359,7 +362,11 @@ def relevance(spark, sf_dir):
 
 
 def _mean(key: str) -> str:
-    return "(" + " + ".join(_cos(f"option_{key}_vec", f"option_{o}_vec") for o in "abcd" if o != key) + ") / 3e0"
+    return _mean_of({o: f"option_{o}_vec" for o in "abcd"}, key)
+
+
+def _mean_of(vectors: dict, key: str) -> str:
+    return "(" + " + ".join(f"({_cos(vectors[key], v)})" for o, v in vectors.items() if o != key) + ") / 3e0"
 
 
 @query(f"{V} SELECT id, CASE lower(correct_option) {' '.join(f"WHEN '{k}' THEN {_mean(k)}" for k in 'abcd')} ELSE 0e0 END AS ambiguity FROM vectors")
@@ -466,3 +473,76 @@ def score_generated(spark, sf_dir):
         return "good" if len(user) % 7 == 6 else f" {len(user) % 7}\n"
 
     return flows.scored_generated(fx.mcq(spark, sf_dir), lambda: judge.StubClient(rule)).select("id", "distractor_quality")
+
+
+# runs that call an encoder, a judge and own functions
+MAX_TOKENS = 64
+_RUN = "r AS (SELECT id, question q, nullif(content_gpt, '') s, correct_option, " + ", ".join(f"nullif(option_{o}, '') {o}" for o in "abcd") + " FROM mcq)"
+_ENCODED = fx.encoded_sql("vec", " UNION ALL ".join(f"SELECT {x} t FROM r" for x in "qsabcd"), _of(WORDS, "t"), MAX_TOKENS)
+
+
+def _csv_inputs(spark, sf_dir) -> str:
+    """A folder with sheets and MCQs as CSV."""
+    at = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    io.write_csv(fx.sheets(spark, sf_dir).select(F.col("id").cast("string"), "folder", "content_gpt"), f"{at}/sheets")
+    io.write_csv(fx.mcq(spark, sf_dir).withColumn("id", F.col("id").cast("string")).select(*io.MCQS.names), f"{at}/mcqs")
+    return at
+
+
+@query(
+    f"{M}, {_RUN}, {_ENCODED} SELECT id::varchar AS id, {_cos('q.e', 's.e')} AS relevance, CASE lower(correct_option) "
+    + " ".join(f"WHEN '{k}' THEN {_mean_of({o: f'{o}.e' for o in 'abcd'}, k)}" for k in "abcd")
+    + " ELSE 0e0 END AS ambiguity FROM r " + " ".join(f"LEFT JOIN vec {x} ON {x}.t = r.{x}" for x in "qsabcd")
+)
+def evaluation_run_vectors(spark, sf_dir):
+    """CSV files in, relevance and ambiguity out, by an encoder whose vectors a store keeps."""
+    at = _csv_inputs(spark, sf_dir)
+    config = MetricConfig(originality=False, readability=False, negation=False, is_question=False, relevance=True, ambiguity=True)
+    services = ev.Services(make_encoder=fx.LengthEncoder, vectors=KeyedStore(spark, f"{at}/vectors", VECTOR), max_tokens=MAX_TOKENS)
+    flows.evaluation_run(spark, f"{at}/sheets", f"{at}/mcqs", f"{at}/out", config, services=services)
+    return io.read_csv(spark, f"{at}/out", flows.result_schema(config, services)).select("id", "relevance", "ambiguity")
+
+
+def _rating(system: str, user: str) -> str:
+    """A judge that fails for every fifth length of a prompt."""
+    if len(user) % 5 == 0:
+        raise OSError("busy")
+    return str(len(user) % 7)
+
+
+def _services(spark, rule, at: str | None = None) -> ev.Services:
+    ratio = ev.CustomMetric("option_ratio", ("option_a", "option_b"), "double", lambda a, b: len(a) / len(b))
+    answers = KeyedStore(spark, at, "string") if at else None
+    return ev.Services(make_client=lambda: judge.StubClient(rule), calls=judge.Calls(attempts=2, pause=0.0, at_once=4), answers=answers, custom=(ratio,))
+
+
+_DIFFICULTY = MetricConfig(originality=False, readability=False, negation=False, is_question=True, difficulty=True, names={"difficulty": "rated"})
+_FAILING = f"f AS (SELECT id, {QUESTION} is_question, length({_PROMPT}) n, length(option_a)::double a, length(option_b) b FROM mcq)"
+_RATIO = "CASE WHEN b > 0 THEN a / b END AS option_ratio"
+
+
+@query(f"{M}, {_FAILING} SELECT id, is_question, CASE WHEN n % 5 > 0 THEN (n % 7)::varchar END AS rated, {_RATIO}, concat_ws(',', CASE WHEN b = 0 THEN 'option_ratio' END, CASE WHEN n % 5 = 0 THEN 'rated' END) AS failed FROM f")
+def evaluation_run_failures(spark, sf_dir):
+    """Cells that fail are null and named in ``errors``; the others of their row stay."""
+    own = fx.mcq(spark, sf_dir).drop("content_gpt")
+    out = ev.complete(own, fx.sheets(spark, sf_dir), _DIFFICULTY, _services(spark, _rating))
+    return out.select("id", "is_question", "rated", "option_ratio", F.array_join(F.array_sort(F.map_keys(ev.ERRORS)), ",").alias("failed"))
+
+
+@query(f"{M}, {_FAILING} SELECT id, is_question, CASE WHEN n % 5 > 0 THEN (n % 7)::varchar ELSE 'late' END AS rated, {_RATIO}, CASE WHEN b = 0 THEN 'option_ratio' ELSE '' END AS failed FROM f")
+def evaluation_run_again(spark, sf_dir):
+    """A second run makes only the cells that failed: the answers of the first are kept, though this judge would give others."""
+    own, at = fx.mcq(spark, sf_dir).drop("content_gpt"), f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    first = stored(ev.complete(own, fx.sheets(spark, sf_dir), _DIFFICULTY, _services(spark, _rating, at)))
+    out = ev.complete(first, fx.sheets(spark, sf_dir), _DIFFICULTY, _services(spark, lambda system, user: "late", at))
+    return out.select("id", "is_question", "rated", "option_ratio", F.array_join(F.array_sort(F.map_keys(ev.ERRORS)), ",").alias("failed"))
+
+
+@query(f"{M}, {_FAILING} SELECT id, CASE WHEN n % 5 > 0 THEN (n % 7)::varchar ELSE 'late' END AS answer FROM f")
+def answers_resumed(spark, sf_dir):
+    """Prompts that a first judge answered are not sent to a second one."""
+    own = fx.mcq(spark, sf_dir).select("id", prompts.judge_prompt(C).alias("prompt"))
+    kept = KeyedStore(spark, f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}", "string")
+    for rule in (_rating, lambda system, user: "late"):
+        out = judge.answered(own, "prompt", "Rate.", lambda rule=rule: judge.StubClient(rule), "answer", store=kept, calls=judge.Calls(pause=0.0, at_once=4, per_part=700))
+    return out.select("id", "answer")

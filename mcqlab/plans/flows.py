@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from mcqlab.config import EVAL_FRACTION, QUALITY_THRESHOLD, SEED, McqColumns, Me
 from mcqlab.functions import jsonmcq, prompts, text
 from mcqlab.operators import judge, prefs, relational
 from mcqlab.operators.split import split
-from mcqlab.plans.evaluate import evaluate, judge_prompts
+from mcqlab.plans.evaluate import ERRORS, Services, complete
 from mcqlab.sources import io
 
 TEMPERATURES = (0.1, 0.5, 0.7)
@@ -20,32 +21,46 @@ TEMPERATURES = (0.1, 0.5, 0.7)
 MCQ_SCHEMA = {"type": "object", "properties": {f: {"type": "string"} for f in jsonmcq.FIELDS}, "required": list(jsonmcq.FIELDS)}
 
 
-def evaluation_run(spark: SparkSession, sheets: str, mcqs: str, out: str, config: MetricConfig = MetricConfig(), make_client: Callable[[], judge.LLMClient] | None = None) -> None:
-    """CSV folders of sheets and MCQs -> a CSV folder of the MCQs with their metrics.
+def result_schema(config: MetricConfig, services: Services = Services()) -> str:
+    """The columns of a run's CSV folder."""
+    metrics = {"originality": "double", "readability": "double", "negation": "boolean", "is_question": "boolean", "relevance": "double", "ambiguity": "double", "answerability": "string", "disclosure": "string", "difficulty": "string", "distractors_quality": "string"}
+    own = [f"`{config.out(k)}` {v}" for k, v in metrics.items() if getattr(config, k)] + [f"`{m.name}` {m.kind}" for m in services.custom]
+    return ", ".join([f"{n} string" for n in io.MCQS.names] + own + [f"{ERRORS} string"] * may_fail(config, services))
 
-    Sheets without an MCQ are left out; make_client answers the judged metrics that the
-    configuration switches on.
+
+def may_fail(config: MetricConfig, services: Services) -> bool:
+    """Whether a metric of the run is made by something that can fail."""
+    return any(getattr(config, m) for m in ("relevance", "ambiguity", "answerability", "disclosure", "difficulty", "distractors_quality")) or bool(services.custom)
+
+
+def evaluation_run(
+    spark: SparkSession, sheets: str, mcqs: str, out: str, config: MetricConfig = MetricConfig(), make_client: Callable[[], judge.LLMClient] | None = None,
+    services: Services = Services(), earlier: bool = False,
+) -> None:
+    """CSV folders of sheets and MCQs -> a CSV folder of the MCQs with their metrics and, as JSON, ``errors``.
+
+    Sheets without an MCQ are left out. earlier: mcqs is the result of an earlier run,
+    of which only the cells that failed are made anew.
     """
-    own = io.read_csv(spark, mcqs, io.MCQS)
+    if make_client is not None:
+        services = replace(services, make_client=make_client)
+    own = io.read_csv(spark, mcqs, result_schema(config, services) if earlier else io.MCQS)
+    if earlier:
+        own = own.withColumn(ERRORS, F.coalesce(F.from_json(ERRORS, "map<string,string>"), F.create_map().cast("map<string,string>")))
     content = relational.semi_join_sheets(io.read_csv(spark, sheets, io.SHEETS), own)
-    c = config.columns
-    rows = evaluate(own, config, content)
-    if asked := judge_prompts(config):
-        if make_client is None:
-            raise ValueError("judged metrics need a client")
-        rows = relational.left_join_context(rows, content, c.id, c.context)
-        for column, (metric, prompt) in asked.items():
-            rows = judge.answered(rows.withColumn("_user", prompt), "_user", prompts.SYSTEM_PROMPTS[metric], make_client, column).drop("_user")
-        rows = rows.drop(c.context)
-    io.write_csv(rows, out)
-
-
-def run_from_env(spark: SparkSession, config: MetricConfig = MetricConfig(), make_client: Callable[[], judge.LLMClient] | None = None) -> None:
+    rows = complete(own, content, config, services)
+    if not may_fail(config, services):
+        rows = rows.drop(ERRORS)
+    columns = [F.col(c) if c != ERRORS else F.when(F.size(ERRORS) > 0, F.to_json(ERRORS)).alias(ERRORS) for c in rows.columns]
+    io.write_csv(rows.select(*columns), out)
+
+
+def run_from_env(spark: SparkSession, config: MetricConfig = MetricConfig(), make_client: Callable[[], judge.LLMClient] | None = None, services: Services = Services()) -> None:
     """``evaluation_run`` over the paths that the environment names."""
     paths = io.settings_from_env()
     if missing := [k for k, v in paths.items() if not v]:
         raise ValueError(f"set {', '.join(missing)}")
-    evaluation_run(spark, paths["MCQLAB_SHEETS"], paths["MCQLAB_MCQS"], paths["MCQLAB_OUTPUT"], config, make_client)
+    evaluation_run(spark, paths["MCQLAB_SHEETS"], paths["MCQLAB_MCQS"], paths["MCQLAB_OUTPUT"], config, make_client, services)
 
 
 def generated(sheets: DataFrame, make_generator: Callable[[], Callable[[str, float, dict], str | None]], temperatures: Iterable[float] = TEMPERATURES) -> DataFrame:
