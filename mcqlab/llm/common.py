@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mcqlab.session import shared_dir
+from mcqlab.operators.hot import HEAVY, dealt_join, discard, frequent, stored
 
+__all__ = ["HEAVY", "MIX", "buffer_of", "components", "dealt_join", "discard", "frequent", "mixed", "row_sums", "slices", "stored", "table", "without"]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,55 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, *by: str) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends here, and a lost executor costs nothing.
-
-    by: columns that get folders of their own, the last ones of df. The files stay until ``discard``, or until the folder of the session is removed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes what ``stored`` wrote, once nothing reads it any more."""
-    for df in tables:
-        _discard(df)
-
-
-def _discard(df: DataFrame) -> None:
-    if path := getattr(df, "_stored_at", None):
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-HEAVY = 1000
-
-
-def dealt_join(rows: DataFrame, small: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """Inner join of rows with small, which has one row a key and in column ``n`` the number of rows of that key.
-
-    Keys of more than 1 in HEAVY of all rows are fewer than HEAVY, so they are named in
-    the plan and broadcast, and their rows stay where they are; a task of the join of
-    the others never gets more than that share for one key. Both tables are read twice:
-    store them.
-    """
-    named = frequent(small, keys, n, rows.count())
-    there = rows.where(named).join(F.broadcast(small.where(named)), keys)
-    return there.unionByName(rows.where(~named).join(small.where(~named), keys))
-
-
-def frequent(small: DataFrame, keys: list[str], n: str, total: int) -> Column:
-    """A predicate over keys: whether ``n`` is over 1 in HEAVY of the total; fewer than HEAVY keys are collected."""
-    mark = F.xxhash64(*keys)
-    found = [r[0] for r in small.where(F.col(n) * HEAVY > total).select(mark).collect()]
-    return mark.isin(found) if found else F.lit(False)
-
-
 def without(keep: tuple[str, ...] | list[str], names: tuple[str, ...] | list[str]) -> list[str]:
     """The columns to keep whose names no result has."""
     taken = {n.lower() for n in names}
