@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -39,6 +40,7 @@ SHARDS, LONGEST, LEAST, TOP = 4, 5, 100, 2000
 CELLS, MARKS = 1 << 24, 3
 NEVER = 255
 PARTS = 16
+SLICE = 4_000_000  # bytes of text counted at once
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(10, 14)]] = True
 BLANK[[9, 32]] = True
@@ -74,8 +76,9 @@ def extended(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(hashes * MIX + words)
 
 
-def word_hash(lang: str, word: str) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang))
+def word_hashes(lang: str, words: list[str]) -> list[int]:
+    seed = xxhash.xxh64_intdigest(lang)
+    return [xxhash.xxh64_intdigest(w, seed) for w in words]
 
 
 def since(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
@@ -83,6 +86,14 @@ def since(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
     return sieve[cells_of(hashes, len(sieve))].max(axis=0).astype(np.int64) if len(hashes) else np.zeros(0, np.int64)
 
 
+def kinds_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, the number of each value's kind, and where each kind stands first."""
+    numbers, kinds = pd.factorize(values)
+    first = np.empty(len(kinds), np.int64)
+    first[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
+    return kinds, numbers, first
+
+
 def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: list[str], sieve: np.ndarray, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases under way in some texts; langs: the number of each text's language name."""
     strings, text, joined = tokens(data, offsets)
@@ -91,10 +102,12 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
     coded = strings.dictionary_encode()
     words = coded.dictionary
     lang = langs[text]
-    single, inverse = np.unique(lang * len(words) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    single, inverse, first = kinds_of(lang * len(words) + coded.indices.to_numpy(zero_copy_only=False))
     lang_of, word_of = single // len(words), single % len(words)
-    own = words.to_pylist()
-    hashes = np.fromiter((word_hash(names[a], own[w]) for a, w in zip(lang_of, word_of, strict=True)), np.uint64, len(single))
+    hashes = np.empty(len(single), np.uint64)
+    for a in np.unique(lang_of):
+        here = np.flatnonzero(lang_of == a)
+        hashes[here] = word_hashes(names[a], words.take(pa.array(word_of[here])).to_pylist())
 
     def rows(k: int, chosen: np.ndarray, first: np.ndarray, act: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         at = first[chosen]
@@ -103,8 +116,6 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
         named = pa.array(names, pa.string()).take(pa.array(lang_of[inverse[at]]))
         return pa.RecordBatch.from_arrays([named, phrase.cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(act[chosen].astype(np.int32)), pa.array(n[chosen])], ["lang", "phrase", "k", "since", "n"])
 
-    first = np.empty(len(single), np.int64)
-    first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
     if scan < shards:
         yield rows(1, np.arange(len(single)), first, np.zeros(len(single), np.int64), np.bincount(inverse, minlength=len(single)))
     places, ids, gram_hashes, there = np.arange(len(inverse)), inverse, hashes, since(hashes, sieve)
@@ -117,7 +128,8 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
             return
         left, right, places = ids[pair], ids[pair + 1], places[pair]
         last = inverse[places + k - 1]
-        kinds, first, ids, n = np.unique(left * len(single) + last, return_index=True, return_inverse=True, return_counts=True)
+        kinds, ids, first = kinds_of(left * len(single) + last)
+        n = np.bincount(ids, minlength=len(kinds))
         act = np.maximum(there[left[first]], there[right[first]])
         gram_hashes = extended(gram_hashes[left[first]], hashes[last[first]])
         first = places[first]
@@ -140,7 +152,7 @@ def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest:
             data, offsets = buffer_of(b.column(1))
             coded = b.column(0).dictionary_encode()
             langs, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-            for i, j in slices(offsets, 2_000_000):
+            for i, j in slices(offsets, SLICE):
                 yield from counted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], langs[i:j], names, opened(sieve.value), scan, shards, longest)
 
     return shard.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "k", "since").agg(F.sum("n").alias("n"))
@@ -154,7 +166,7 @@ def marked(reached: DataFrame, sieve: np.ndarray, scan: int) -> int:
         for b in batches:
             hashes = []
             for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.array([word_hash(lang, w) for w in phrase.split(" ")], np.uint64)
+                own = np.array(word_hashes(lang, phrase.split(" ")), np.uint64)
                 h = own[:1]
                 for w in own[1:]:
                     h = extended(h, np.array([w]))
