@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mcqlab.config import SEED
@@ -40,3 +40,33 @@ def held_out(rows: DataFrame, key: str, size: Callable[[int], int], seed: int =
 def split(rows: DataFrame, key: str, size: Callable[[int], int], seed: int = SEED) -> DataFrame:
     """The rows with a boolean ``held_out``."""
     return rows.withColumn("held_out", held_out(rows, key, size, seed))
+
+
+def group_held_out(rows: DataFrame, group: str, share: float, seed: int = SEED) -> Column:
+    """A predicate over the group column: whole groups, in hash order, up to the row count nearest to the share.
+
+    No group is on both sides, and the count differs from the share of all rows by half
+    the largest group at most. Rows without a group are never held out. Only the groups
+    of one hash prefix are put in order.
+    """
+    sizes = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n")).withColumn("h", order_hash("g", seed))
+    counts = sorted((r["p"], r["n"]) for r in sizes.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sum("n").alias("n")).collect())
+    want, before = share * sum(n for _, n in counts), 0
+    for prefix, n in counts:
+        if before + n >= want:
+            break
+        before += n
+    else:
+        return F.lit(bool(counts)) & F.col(group).isNotNull()
+    total = F.sum("n").over(Window.orderBy("h", "g")) + before
+    ends = sizes.where(F.substring("h", 1, 4) == prefix).withColumn("total", total)
+    best = ends.select("h", "g", "total").orderBy(F.abs(F.col("total") - want), "total").first()
+    h = order_hash(group, seed)
+    if abs(before - want) <= abs(best["total"] - want):
+        return F.col(group).isNotNull() & (h < prefix)
+    return F.col(group).isNotNull() & ((h < best["h"]) | ((h == best["h"]) & (F.col(group) <= F.lit(best["g"]))))
+
+
+def group_split(rows: DataFrame, group: str, share: float, seed: int = SEED) -> DataFrame:
+    """The rows with a boolean ``held_out`` that is the same for all of a group."""
+    return rows.withColumn("held_out", F.coalesce(group_held_out(rows, group, share, seed), F.lit(False)))

@@ -15,12 +15,14 @@ from mcqlab.functions import jsonmcq, prompts, text, vector
 from mcqlab.operators import judge, prefs, relational
 from mcqlab.operators.encode import VECTOR
 from mcqlab.operators.hot import stored
-from mcqlab.operators.split import order_hash, split
+from mcqlab.operators.lemmas import NOUN_ENDINGS, Lexicon, lemmatized
+from mcqlab.operators.split import group_split, order_hash, split
 from mcqlab.operators.store import KeyedStore
 from mcqlab.plans import evaluate as ev
 from mcqlab.plans import flows
 from mcqlab.session import shared_dir
 from mcqlab.sources import io
+from mcqlab.sources import rows as file_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -546,3 +548,95 @@ def answers_resumed(spark, sf_dir):
     for rule in (_rating, lambda system, user: "late"):
         out = judge.answered(own, "prompt", "Rate.", lambda rule=rule: judge.StubClient(rule), "answer", store=kept, calls=judge.Calls(pause=0.0, at_once=4, per_part=700))
     return out.select("id", "answer")
+
+
+# lemmas; the lexicon is what stands in several documents
+_EXCEPTIONS = (("men", "man"), ("women", "woman"), ("ses", "se"), ("thes", "the"))
+_ENDING = " UNION ALL ".join(f"SELECT '{e}' e, '{r}' r, {i} o" for i, (e, r) in enumerate(NOUN_ENDINGS, 1))
+
+
+def _lemma_sql(forms: str) -> str:
+    """lexicon, and lemma (form, lemma) of all of forms (form)."""
+    return f"""
+lexicon AS (SELECT w word FROM (SELECT doc_id, unnest(list_distinct({_tokens('text')})) w FROM documents) GROUP BY w HAVING count(*) >= 3),
+exceptions AS (SELECT unnest([{_list(f for f, _ in _EXCEPTIONS)}]) form, unnest([{_list(m for _, m in _EXCEPTIONS)}]) lemma), endings AS ({_ENDING}),
+forms AS (SELECT DISTINCT form FROM ({forms})),
+tried AS (SELECT form, form c, 0 o FROM forms UNION ALL SELECT form, lemma, 1 FROM forms JOIN exceptions USING (form)
+  UNION ALL SELECT form, concat(substr(form, 1, length(form) - length(e)), r), o FROM forms JOIN endings ON suffix(form, e) AND length(form) > length(e) WHERE form NOT IN (SELECT form FROM exceptions)),
+best AS (SELECT form, arg_min(c, (length(c), o)) l FROM tried WHERE c IN (SELECT word FROM lexicon) GROUP BY form),
+lemma AS (SELECT form, coalesce(l, form) lemma FROM forms LEFT JOIN best USING (form))
+"""
+
+
+def _lexicon(spark, sf_dir) -> Lexicon:
+    tokens = fx.sheets(spark, sf_dir).select(F.explode(F.array_distinct(text.clean_tokens(F.col("content_gpt"), STOP))).alias("word"))
+    words = stored(tokens.groupBy("word").count().where("count >= 3").select("word"))
+    return Lexicon(words, spark.createDataFrame(list(_EXCEPTIONS), "form string, lemma string"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {_tokens('text')} ws FROM documents), w AS (SELECT doc_id, unnest(ws) form, unnest(range(1, len(ws) + 1)) pos FROM t), {_lemma_sql('SELECT form FROM w')} SELECT doc_id AS id, coalesce((SELECT string_agg(lemma, ' ' ORDER BY pos) FROM w JOIN lemma USING (form) WHERE w.doc_id = t.doc_id), '') AS lemmas FROM t")
+def lemmatized_tokens(spark, sf_dir):
+    rows = fx.sheets(spark, sf_dir).select("id", text.clean_tokens(F.col("content_gpt"), STOP).alias("w"))
+    return lemmatized(rows, "id", "w", _lexicon(spark, sf_dir)).select("id", F.array_join("w", " ").alias("lemmas"))
+
+
+_LEMMA_TEXTS = f"{M}, x AS (SELECT DISTINCT t FROM (SELECT question t FROM mcq UNION ALL SELECT content_gpt FROM mcq)), t AS (SELECT t, {_tokens('t')} ws FROM x), w AS (SELECT t, unnest(ws) form, unnest(range(1, len(ws) + 1)) pos FROM t)"
+
+
+@query(
+    f"{_LEMMA_TEXTS}, {_lemma_sql('SELECT form FROM w')}, l AS (SELECT t, list(lemma ORDER BY pos) lt FROM w JOIN lemma USING (form) GROUP BY t), g AS (SELECT t.t, {_grams('lt')} gs FROM t LEFT JOIN l USING (t)), "
+    "p AS (SELECT id, coalesce(a.gs, []) qg, coalesce(b.gs, []) sg FROM mcq LEFT JOIN g a ON a.t = question LEFT JOIN g b ON b.t = content_gpt) "
+    f"SELECT id, {ORIGINALITY} AS originality FROM p"
+)
+def originality_lemmatized(spark, sf_dir):
+    """Originality over lemmas, by joins on distinct forms."""
+    own = fx.mcq(spark, sf_dir).select("id", "question")
+    return ev.originality(own, fx.sheets(spark, sf_dir), MetricConfig(stopwords=STOP), _lexicon(spark, sf_dir)).select("id", "originality")
+
+
+# positions in files, whole groups held out, answers that are not quite JSON
+def _sorted_csv(spark, sf_dir) -> str:
+    """Sheets in the order of their ids, dealt over several files."""
+    at = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    rows = fx.sheets(spark, sf_dir).repartitionByRange(8, "id").sortWithinPartitions("id")
+    io.write_csv(rows.select(F.col("id").cast("string"), "folder", "content_gpt"), at)
+    return at
+
+
+@query("SELECT doc_id::varchar AS id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id, text AS content_gpt FROM documents")
+def file_row_numbers(spark, sf_dir):
+    return file_rows.numbered_csv(spark, _sorted_csv(spark, sf_dir), io.SHEETS).select("id", "row_id", "content_gpt")
+
+
+@query("SELECT doc_id::varchar AS id, row_id, CASE WHEN row_id = 7 THEN 'seventh' WHEN row_id % 10 = 3 THEN NULL ELSE source END AS folder FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 row_id FROM documents) WHERE row_id < 150")
+def put_by_position(spark, sf_dir):
+    """Cells replaced by position, a few of them named and others from a table; the first 150 rows."""
+    rows = file_rows.numbered_csv(spark, _sorted_csv(spark, sf_dir), io.SHEETS)
+    some = fx.sheets(spark, sf_dir).select(F.col("id").alias("row_id"), F.lit(None).cast("string").alias("folder")).where("row_id % 10 = 3")
+    out = file_rows.put_all(file_rows.put(rows, "folder", {7: F.lit("seventh")}), "folder", some)
+    return file_rows.head(out, 150).select("id", "row_id", "folder")
+
+
+@query(
+    "WITH g AS (SELECT source, count(*) n, md5(concat('42:', source)) h FROM documents WHERE source IS NOT NULL GROUP BY source), c AS (SELECT source, sum(n) OVER (ORDER BY h, source) total FROM g UNION ALL SELECT NULL, 0), "
+    f"b AS (SELECT total FROM c ORDER BY abs(total - {TEST_FRACTION}::double * (SELECT sum(n) FROM g)), total LIMIT 1) "
+    "SELECT doc_id AS id, documents.source AS folder, coalesce(c.total <= (SELECT total FROM b), false) AS held_out FROM documents LEFT JOIN c ON c.source = documents.source"
+)
+def folder_split(spark, sf_dir):
+    """Whole folders held out, about 30 % of the rows."""
+    return group_split(fx.sheets(spark, sf_dir).select("id", "folder"), "folder", TEST_FRACTION)
+
+
+@query(
+    f"{M}, {fx.MCQ_JSON_SQL} SELECT id, " + ", ".join(f"CASE WHEN id % 17 IN (4, 5, 7) THEN NULL ELSE {f} END AS {f}" for f in jsonmcq.FIELDS) + " FROM mcq"
+)
+def tolerant_mcq_json(spark, sf_dir):
+    """MCQs from answers in fences, in prose, or cut off; null for what holds none."""
+    whole = F.to_json(F.struct(*jsonmcq.FIELDS))
+    bad = F.col("id") % 17
+    raw = (
+        F.when(bad == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(bad == 2, F.concat(F.lit('Sure, "here" it is:\n'), whole, F.lit("\nHope {this} helps"))).when(bad == 3, F.expr("substr(whole, 1, length(whole) - 2)"))
+        .when(bad == 4, F.lit('Well: {"question": 1}')).when(bad == 5, F.lit("No idea")).when(bad == 6, F.concat(F.expr("substr(whole, 1, length(whole) - 1)"), F.lit(", \n"))).when(bad == 7, F.lit(None)).otherwise(whole)
+    )
+    mcqs = fx.mcq(spark, sf_dir).withColumn("whole", whole)
+    return mcqs.select("id", jsonmcq.tolerant_mcq(raw).alias("mcq")).select("id", "mcq.*")

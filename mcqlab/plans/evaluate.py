@@ -21,6 +21,7 @@ from mcqlab.functions import prompts, text, vector
 from mcqlab.operators import judge, relational
 from mcqlab.operators.encode import BATCH_TOKENS, MAX_TOKENS, Encoder, extend_vectors
 from mcqlab.operators.hot import stored
+from mcqlab.operators.lemmas import Lexicon, lemmatized
 from mcqlab.operators.store import KeyedStore, text_key
 
 ERRORS = "errors"
@@ -31,24 +32,39 @@ def _grams(name: str, config: MetricConfig) -> Column:
     return text.trigrams(text.clean_tokens(F.col(name), list(config.stopwords), lemmas))
 
 
-def originality(mcqs: DataFrame, sheets: DataFrame, config: MetricConfig) -> DataFrame:
-    """mcqs with the originality, null without a sheet; the trigrams of a sheet are made once for all its questions."""
-    c = config.columns
-    grams = sheets.groupBy(F.col(c.id).alias("_k")).agg(F.min(c.context).alias("_t")).select("_k", _grams("_t", config).alias("_sheet"))
-    joined = mcqs.join(grams, mcqs[c.id].eqNullSafe(grams["_k"]), "left")
-    return joined.withColumn(config.out("originality"), F.when(F.col("_sheet").isNotNull(), text.originality(_grams(c.question, config), F.col("_sheet")))).drop("_k", "_sheet")
-
+def originality(mcqs: DataFrame, sheets: DataFrame, config: MetricConfig, lexicon: Lexicon | None = None) -> DataFrame:
+    """mcqs with the originality, null without a sheet; the trigrams of a sheet are made once for all its questions.
 
-def evaluate(mcqs: DataFrame, config: MetricConfig = MetricConfig(), sheets: DataFrame | None = None) -> DataFrame:
+    lexicon: tokens give way to their lemmas, those of each distinct question once too.
+    """
+    c, out = config.columns, config.out("originality")
+    own = sheets.groupBy(F.col(c.id).alias("_k")).agg(F.min(c.context).alias("_t"))
+    if lexicon is None:
+        grams = own.select("_k", _grams("_t", config).alias("_sheet"))
+        joined = mcqs.join(grams, mcqs[c.id].eqNullSafe(grams["_k"]), "left")
+        value = text.originality(_grams(c.question, config), F.col("_sheet"))
+        return joined.withColumn(out, F.when(F.col("_sheet").isNotNull(), value)).drop("_k", "_sheet")
+    own = own.where("_t IS NOT NULL")
+    texts = mcqs.select(F.col(c.question).alias("_t")).unionByName(own.select("_t")).where("_t IS NOT NULL").groupBy(text_key(F.col("_t")).alias("_key")).agg(F.first("_t").alias("_t"))
+    tokens = lemmatized(texts.select("_key", text.clean_tokens(F.col("_t"), list(config.stopwords)).alias("_w")), "_key", "_w", lexicon)
+    grams = stored(tokens.select("_key", text.trigrams(F.col("_w")).alias("_g")))
+    of_sheets = own.select("_k", text_key(F.col("_t")).alias("_key")).join(grams, "_key").select("_k", F.col("_g").alias("_sheet"))
+    keyed = mcqs.withColumn("_key", text_key(F.col(c.question))).join(of_sheets, F.col(c.id).eqNullSafe(F.col("_k")), "left")
+    joined = keyed.join(grams, "_key", "left")
+    return joined.withColumn(out, F.when(F.col("_sheet").isNotNull(), text.originality(F.col("_g"), F.col("_sheet")))).drop("_key", "_k", "_sheet", "_g")
+
+
+def evaluate(mcqs: DataFrame, config: MetricConfig = MetricConfig(), sheets: DataFrame | None = None, lexicon: Lexicon | None = None) -> DataFrame:
     """Rule and vector metrics that the configuration switches on, in the documented order.
 
     Relevance needs columns question_vec and sheet_vec; ambiguity option_a_vec to
     option_d_vec. With sheets (id, content), the trigrams of a sheet are made once for
     all its questions, by a join; without, in one projection from the content column.
+    A lexicon, which needs the sheets, makes originality compare lemmas.
     """
     c, added = config.columns, {}
     if config.originality and sheets is not None:
-        mcqs = originality(mcqs, sheets, config)
+        mcqs = originality(mcqs, sheets, config, lexicon)
     elif config.originality:
         added[config.out("originality")] = F.when(F.col(c.context).isNotNull(), text.originality(_grams(c.question, config), _grams(c.context, config)))
     if config.readability:
@@ -123,6 +139,7 @@ class Services:
     max_tokens: int = MAX_TOKENS
     batch_tokens: int = BATCH_TOKENS
     custom: tuple[CustomMetric, ...] = ()
+    lexicon: Lexicon | None = None
 
 
 def _due(out: str, again: bool) -> Column:
@@ -177,7 +194,7 @@ def complete(mcqs: DataFrame, sheets: DataFrame, config: MetricConfig, services:
     c, again = config.columns, ERRORS in mcqs.columns
     rows = mcqs
     if not again:
-        rows = evaluate(mcqs, replace(config, relevance=False, ambiguity=False), sheets).withColumn(ERRORS, F.create_map().cast("map<string,string>"))
+        rows = evaluate(mcqs, replace(config, relevance=False, ambiguity=False), sheets, services.lexicon).withColumn(ERRORS, F.create_map().cast("map<string,string>"))
     if config.relevance or config.ambiguity:
         rows = _by_vectors(rows, sheets, config, services, again)
     asked = judge_prompts(config)
