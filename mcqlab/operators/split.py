@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,24 @@ def group_held_out(rows: DataFrame, group: str, share: float, seed: int = SEED)
 def group_split(rows: DataFrame, group: str, share: float, seed: int = SEED) -> DataFrame:
     """The rows with a boolean ``held_out`` that is the same for all of a group."""
     return rows.withColumn("held_out", F.coalesce(group_held_out(rows, group, share, seed), F.lit(False)))
+
+
+#: Rows that a sample of the usual data frames can have; its permutation is made on the driver, 8 bytes a row.
+MOST_POSITIONS = 100_000_000
+
+
+def frame_sample(rows: DataFrame, size: Callable[[int], int], seed: int = SEED, row_id: str = "row_id") -> DataFrame:
+    """The rows with a boolean ``held_out``: those that a data frame of the usual kind samples without replacement from this seed.
+
+    row_id: positions from 0 without gaps, as ``sources.rows.numbered`` gives. The
+    sample is the start of a Mersenne-Twister permutation of the positions, which is one
+    long chain of draws; only positions are made on the driver, never rows. For new work
+    ``split`` is the better one: it has no such limit.
+    """
+    n = rows.count()
+    if n > MOST_POSITIONS:
+        raise ValueError(f"over {MOST_POSITIONS} rows; use split")
+    picked = np.random.RandomState(seed).permutation(n)[: max(0, min(n, size(n)))]
+    table = rows.sparkSession.createDataFrame(pa.table({"_at": pa.array(np.sort(picked), pa.int64())}))
+    table = F.broadcast(table) if len(picked) <= 100_000 else table
+    return rows.join(table, F.col(row_id) == F.col("_at"), "left").withColumn("held_out", F.col("_at").isNotNull()).drop("_at")

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from mcqlab.config import EVAL_FRACTION, QUALITY_THRESHOLD, SEED, McqColumns, MetricConfig
 from mcqlab.functions import jsonmcq, prompts, text
 from mcqlab.operators import judge, prefs, relational
+from mcqlab.operators.budget import Tokenizer, budgeted
 from mcqlab.operators.split import split
 from mcqlab.plans.evaluate import ERRORS, Services, complete
 from mcqlab.sources import io
 
 TEMPERATURES = (0.1, 0.5, 0.7)
+#: The longest prompt of a generator, in tokens.
+CONTEXT_TOKENS = 8192
 #: What a generator is asked to answer: a JSON object of six strings.
 MCQ_SCHEMA = {"type": "object", "properties": {f: {"type": "string"} for f in jsonmcq.FIELDS}, "required": list(jsonmcq.FIELDS)}
 
@@ -63,17 +66,24 @@ def run_from_env(spark: SparkSession, config: MetricConfig = MetricConfig(), mak
     evaluation_run(spark, paths["MCQLAB_SHEETS"], paths["MCQLAB_MCQS"], paths["MCQLAB_OUTPUT"], config, make_client, services)
 
 
-def generated(sheets: DataFrame, make_generator: Callable[[], Callable[[str, float, dict], str | None]], temperatures: Iterable[float] = TEMPERATURES) -> DataFrame:
+def generated(
+    sheets: DataFrame, make_generator: Callable[[], Callable[[str, float, dict], str | None]], temperatures: Iterable[float] = TEMPERATURES,
+    make_tokenizer: Callable[[], Tokenizer] | None = None, budget: int = CONTEXT_TOKENS, tolerant: bool = False,
+) -> DataFrame:
     """sheets (id, content_gpt) -> one MCQ for each sheet and temperature, as ``flattened_answers``.
 
     make_generator runs once a task; a generator takes a prompt, a temperature and the
-    JSON schema of the answer. A failing call gives an empty MCQ.
+    JSON schema of the answer. A failing call gives an empty MCQ. make_tokenizer: sheets
+    are cut at a sentence so that no prompt has more than ``budget`` tokens. tolerant:
+    answers may stand in fences or prose, or be cut off.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = make_generator()
 
-        def one(prompt: str, temperature: float) -> str | None:
+        def one(prompt: str | None, temperature: float) -> str | None:
+            if prompt is None:  # even an empty sheet would be over the budget
+                return None
             try:
                 return generate(prompt, temperature, MCQ_SCHEMA)
             except Exception:  # the service's own failures cost one cell
@@ -82,13 +92,19 @@ def generated(sheets: DataFrame, make_generator: Callable[[], Callable[[str, flo
         for b in batches:
             yield b[["id", "temperature"]].assign(raw=[one(p, t) for p, t in zip(b["_prompt"], b["temperature"], strict=True)])
 
-    long = sheets.select("id", prompts.generation_prompt(F.col("content_gpt")).alias("_prompt"), F.explode(F.array(*map(F.lit, temperatures))).alias("temperature"))
-    return flattened_answers(long.mapInPandas(run, f"id {sheets.schema['id'].dataType.simpleString()}, temperature double, raw string"))
+    if make_tokenizer is None:
+        own = sheets.select("id", prompts.generation_prompt(F.col("content_gpt")).alias("_prompt"))
+    else:
+        content = F.coalesce("content_gpt", F.lit("nan"))
+        own = budgeted(sheets.select("id", content.alias("_c")), F.lit(prompts.GENERATION_PREFIX), F.col("_c"), F.lit(prompts.GENERATION_SUFFIX), make_tokenizer, budget, "_prompt")
+    long = own.select("id", "_prompt", F.explode(F.array(*map(F.lit, temperatures))).alias("temperature"))
+    return flattened_answers(long.mapInPandas(run, f"id {sheets.schema['id'].dataType.simpleString()}, temperature double, raw string"), tolerant)
 
 
-def flattened_answers(answers: DataFrame) -> DataFrame:
+def flattened_answers(answers: DataFrame, tolerant: bool = False) -> DataFrame:
     """(id, temperature, raw) -> (id, temperature, six strings): validated JSON, an empty MCQ for what is invalid."""
-    valid = answers.select("id", "temperature", jsonmcq.validated_mcq(F.col("raw")).alias("mcq"))
+    parse = jsonmcq.tolerant_mcq if tolerant else jsonmcq.validated_mcq
+    valid = answers.select("id", "temperature", parse(F.col("raw")).alias("mcq"))
     return relational.patched(valid, "mcq", jsonmcq.empty_mcq()).select("id", "temperature", "mcq.*")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mcqlab.config import MetricConfig
 from mcqlab.functions import jsonmcq
 from mcqlab.operators.lemmas import NOUN_ENDINGS, Lexicon, lemmatized
-from mcqlab.operators.split import group_split
+from mcqlab.operators.split import frame_sample, group_split
 from mcqlab.plans import evaluate as ev
 from mcqlab.plans import flows
 from mcqlab.sources import io, rows
@@ -116,3 +116,26 @@ def test_long_answers_take_linear_steps(spark):
 def test_format_instructions():
     told = jsonmcq.format_instructions(flows.MCQ_SCHEMA)
     assert told.count("required") == 6 and all(f'"{f}"' in told for f in jsonmcq.FIELDS)
+
+
+#: Golden positions of samples of 5 with seed 42.
+GOLDEN = {5: [0, 1, 2, 3, 4], 10: [0, 1, 5, 7, 8]}
+
+
+@pytest.mark.parametrize(("n", "size"), [(5, 5), (10, 5), (1000, 100), (3210, 200), (1, 1), (0, 3), (7, 99)])
+def test_samples_of_usual_data_frames(spark, n, size):
+    import pandas as pd
+
+    got = frame_sample(spark.range(n).withColumnRenamed("id", "row_id").repartition(3), lambda k: size)
+    held = sorted(r["row_id"] for r in got.where("held_out").collect())
+    assert held == sorted(pd.DataFrame({"x": range(n)}).sample(min(n, size), random_state=42).index) and got.count() == n
+    if GOLDEN.get(n):
+        assert held == GOLDEN[n]
+
+
+def test_too_many_positions(spark, monkeypatch):
+    from mcqlab.operators import split
+
+    monkeypatch.setattr(split, "MOST_POSITIONS", 10)
+    with pytest.raises(ValueError):
+        frame_sample(spark.range(11).withColumnRenamed("id", "row_id"), lambda k: 1)
