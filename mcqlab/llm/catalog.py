@@ -52,7 +52,7 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.packed(docs.withColumn("share", packing.answer_share(F.col("text"))), loss_rate="share")
+    return packing.packed(docs.withColumn("prompt", packing.prompt_length(F.col("text"))), prompt="prompt")
 
 
 def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,13 +87,12 @@ def word_bpe(path: str, known: int = KNOWN) -> WordBpe:
 def dot_product_packing(demands: np.ndarray, limits: np.ndarray, may_cut: bool = True) -> list[list[tuple[int, int, int]]]:
     """Items with demands (tokens, loss-bearing tokens) -> sequences of (item, start, length).
 
-    limits: tokens, segments, loss-bearing tokens. Loss-bearing tokens are taken as
-    spread evenly over an item when it is cut, rounded up. An item must fit alone
-    unless it may be cut. All but the last sequence are full, or no item fits.
+    limits: tokens, segments, loss-bearing tokens. Loss-bearing tokens are the last ones
+    of an item, after its prompt, so a piece bears those that it holds. An item must fit
+    alone unless it may be cut. All but the last sequence are full, or no item fits.
     """
     left = np.stack([demands[:, 0], np.ones(len(demands)), demands[:, 1]], 1)  # tokens, one segment, loss-bearing tokens
     start = np.zeros(len(left), np.int64)
-    rate = np.where(left[:, 0] > 0, left[:, 2] / np.maximum(left[:, 0], 1), 0)
     weight = 1.0 / limits
     alive = np.flatnonzero(left[:, 0] > 0)
     out: list[list[tuple[int, int, int]]] = []
@@ -110,16 +109,16 @@ def dot_product_packing(demands: np.ndarray, limits: np.ndarray, may_cut: bool =
             elif may_cut:
                 k = int(d[:, 0].argmax())
                 i = int(alive[k])
-                take = int(min(left[i, 0], room[0], room[2] / rate[i] if rate[i] else room[0]))
+                take = int(min(left[i, 0], room[0], left[i, 0] - left[i, 2] + room[2]))
                 if take <= 0:
                     break
             else:
                 break
             own.append((i, int(start[i]), take))
             start[i] += take
-            cost = np.ceil(rate[i] * take - 1e-9)
+            cost = max(0, take - (left[i, 0] - left[i, 2]))
             room -= (take, 1, cost)
-            left[i] -= (take, 0, min(cost, left[i, 2]))
+            left[i] -= (take, 0, cost)
             if left[i, 0] <= 0:
                 alive = np.delete(alive, k)
         if not own:
@@ -144,27 +143,26 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def answer_share(text: Column) -> Column:
-    """The share of an instruction example that bears loss: what follows its first line, its prompt; all of a text of one line."""
-    line = F.instr(text, "\n")
-    return F.when(line > 0, 1 - line / F.length(text)).otherwise(1.0)
+def prompt_length(text: Column) -> Column:
+    """The characters of an instruction example that bear no loss: its first line, with the line's end; none of a text of one line."""
+    return F.coalesce(F.instr(text, "\n"), F.lit(0))
 
 
-def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loss_rate: str | None = None, sequence: int = SEQUENCE, segments: int = SEGMENTS, loss: int = SEQUENCE, tokenizer: str = TOKENIZER, with_ids: bool = False, known: int = KNOWN) -> DataFrame:
+def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prompt: str | None = None, sequence: int = SEQUENCE, segments: int = SEGMENTS, loss: int = SEQUENCE, tokenizer: str = TOKENIZER, with_ids: bool = False, known: int = KNOWN) -> DataFrame:
     """docs -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
-    loss_rate: a column with the share (0 to 1) of a row's tokens that bear loss; all
-    do without it. with_ids: a column ids with the piece's tokens as well.
+    prompt: a column with the number of leading characters, up to white space, whose
+    tokens bear no loss; all tokens do without it. with_ids: a column ids with the piece's tokens as well.
     known: words that a worker remembers; fewer take less memory and more time.
     """
-    columns = [doc_id, text] + ([loss_rate] if loss_rate else [])
+    columns = [doc_id, text] + ([prompt] if prompt else [])
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     limits = np.array([sequence, segments, loss])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, base, count = word_bpe(tokenizer, known), TaskContext.get().partitionId() << 33, 0
         end = np.array([END_ID], "<u4").tobytes()
-        pool: list[tuple[int | None, int, bytes, int, float]] = []  # doc_id, start, ids, tokens of the document, loss rate
+        pool: list[tuple[int | None, int, bytes, int, int]] = []  # doc_id, start, ids, tokens of the document and of its prompt
 
         def rows(sequences, items) -> pa.RecordBatch:
             nonlocal count
@@ -172,9 +170,9 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loss_rat
             for own in sequences:
                 at = 0
                 for i, start, n in own:
-                    key, first, ids, total, rate = items[i]
+                    key, first, ids, total, free = items[i]
                     piece = ids[4 * start : 4 * (start + n)]
-                    out.append((key, first + start, n, zlib.crc32(piece), total, base + count, at, int(np.ceil(rate * n - 1e-9)), *([np.frombuffer(piece, "<i4")] if with_ids else [])))
+                    out.append((key, first + start, n, zlib.crc32(piece), total, base + count, at, max(0, first + start + n - max(first + start, free)), *([np.frombuffer(piece, "<i4")] if with_ids else [])))
                     at += n
                 count += 1
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"] + ["ids"] * with_ids
@@ -182,24 +180,24 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", loss_rat
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
 
         def demands(items):
-            return np.array([(len(x[2]) // 4, np.ceil(x[4] * (len(x[2]) // 4) - 1e-9)) for x in items], np.int64).reshape(-1, 2)
+            return np.array([(n := len(x[2]) // 4, min(n, x[1] + n - x[4])) for x in items], np.int64).reshape(-1, 2)
 
         def unpadded(sequences):
             return [own for s in sequences for own in ([s] if sum(n for _, _, n in s) == sequence else powers_of_two(s))]
 
         for batch in batches:
-            rates = batch.column(2).to_pylist() if loss_rate else [1.0] * batch.num_rows
+            prompts = batch.column(2).to_pylist() if prompt else [0] * batch.num_rows
             for k in range(0, batch.num_rows, 512):
                 whole, items = [], []
                 part = batch.slice(k, 512)
-                for key, value, rate in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), rates[k : k + 512], strict=True):
+                for key, value, chars in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), prompts[k : k + 512], strict=True):
                     ids = bpe.encode(value or "") + end
-                    n, rate = len(ids) // 4, min(1.0, max(0.0, 1.0 if rate is None else rate))
-                    full = n // sequence if rate * sequence <= loss else 0
-                    items.append((key, 0, ids, n, rate))
+                    n, free = len(ids) // 4, len(bpe.encode(value[:chars])) // 4 if value and chars and chars > 0 else 0
+                    full = n // sequence if loss >= sequence else 0
+                    items.append((key, 0, ids, n, free))
                     whole += [[(len(items) - 1, sequence * j, sequence)] for j in range(full)]
                     if full * sequence < n:
-                        pool.append((key, full * sequence, ids[4 * full * sequence :], n, rate))
+                        pool.append((key, full * sequence, ids[4 * full * sequence :], n, free))
                 if whole:
                     yield rows(whole, items)
                 if len(pool) >= 2048:

@@ -238,3 +238,25 @@ def test_clashing_names_of_any_case(spark):
 
     got = url_filter.filtered(spark.createDataFrame([(1, "http://A.com/x", "q", 1)], "page_id long, url string, Host string, VERDICT int"))
     assert got.columns == ["page_id", "url", "host", "path", "rule", "score", "verdict"] and got.first()["host"] == "a.com"
+
+
+def test_loss_tokens_are_those_after_the_prompt(spark):
+    from mcqlab.llm import packing
+
+    rows = [(1, "ten words stand in this first line of all here\n" + "and the rest bears loss " * 1500), (2, "one line only"), (3, "\nall of it"), (4, None), (5, "prompt alone\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("p", packing.prompt_length(F.col("text")))
+    bpe = packing.WordBpe()
+    count = lambda t: len(bpe.encode(t)) // 4
+    for loss in (4096, 1000):
+        pieces = packing.packed(docs, prompt="p", loss=loss).collect()
+        for i, text in rows:
+            own = sorted((r["start"], r["length"], r["loss_tokens"]) for r in pieces if r["doc_id"] == i)
+            free = count(text[: text.find("\n") + 1]) if text and "\n" in text else 0
+            assert sum(n for _, n, _ in own) == count(text or "") + 1 and sum(x for _, _, x in own) == count(text or "") + 1 - free
+            assert all(x == max(0, s + n - max(s, free)) for s, n, x in own)
+        used = {}
+        for r in pieces:
+            used.setdefault(r["sequence_id"], []).append((r["length"], r["loss_tokens"]))
+        totals = [(sum(n for n, _ in own), sum(x for _, x in own)) for own in used.values()]
+        assert all(x <= loss and (n == 4096 or n & (n - 1) == 0) for n, x in totals)
+        assert (max(n for n, _ in totals) == 4096) == (loss == 4096)

@@ -147,15 +147,17 @@ def test_word_ids_equal_the_tokenizers():
 
 def test_vector_packing_keeps_its_limits():
     rng = np.random.default_rng(0)
-    tokens = rng.integers(1, 1000, 400)
-    demands, limits = np.stack([tokens, rng.integers(0, tokens + 1)], 1), np.array([1000, 6, 500])
+    tokens = np.concatenate([rng.integers(1, 1000, 300), rng.integers(1, 20, 900)])
+    demands, limits = np.stack([tokens, rng.integers(0, tokens + 1)], 1), np.array([1000, 6, 700])
+    stopped = set()
     for cut in (True, False):
-        d = demands if cut else np.minimum(demands, [1000, 500])
+        d = demands if cut else np.minimum(demands, [1000, 700])
         done = packing.dot_product_packing(d, limits, may_cut=cut)
         parts = {}
         for own in done:
-            assert sum(n for _, _, n in own) <= 1000 and len(own) <= 6
-            assert cut or sum(d[i, 1] for i, _, _ in own) <= 500
+            used = [sum(n for _, _, n in own), len(own), sum(max(0, s + n - max(s, d[i, 0] - d[i, 1])) for i, s, n in own)]
+            assert (used <= limits).all()
+            stopped |= {k for k in range(3) if used[k] == limits[k]}
             for i, start, n in own:
                 parts.setdefault(i, []).append((start, n))
         for i, own in parts.items():
@@ -164,5 +166,6 @@ def test_vector_packing_keeps_its_limits():
                 assert start == at
                 at += n
             assert at == d[i, 0]
+    assert stopped == {0, 1, 2}  # each limit stops some sequence
     cut = packing.powers_of_two([(0, 0, 5), (1, 0, 6)])
     assert [sum(n for _, _, n in own) for own in cut] == [8, 2, 1]
