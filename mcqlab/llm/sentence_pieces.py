@@ -69,10 +69,12 @@ class Pieces(dict):
             else:
                 self.score[piece] = model.get_score(i), (i,)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
-        ranks = {p: SHIFT - s for p, (s, _) in self.score.items()}
-        total = math.log(sum(1 / r for r in ranks.values()))
+        if all(s <= 0 and s == int(s) for s, _ in self.score.values()):  # merge ranks; else the model's own log-probabilities stay
+            ranks = {p: SHIFT - s for p, (s, _) in self.score.items()}
+            total = math.log(sum(1 / r for r in ranks.values()))
+            self.score = {p: (-math.log(ranks[p]) - total, i) for p, (_, i) in self.score.items()}
         # multiples of GRAIN add up exactly, so paths of equal score tie, whatever the order of their pieces
-        self.score = {p: (round((-math.log(ranks[p]) - total) / GRAIN) * GRAIN, i) for p, (_, i) in self.score.items()}
+        self.score = {p: (round(s / GRAIN) * GRAIN, i) for p, (s, i) in self.score.items()}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.score):
             raise ValueError("pieces of this model cross chunks")
         self.longest = max(map(len, self.score))

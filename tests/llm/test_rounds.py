@@ -260,3 +260,42 @@ def test_loss_tokens_are_those_after_the_prompt(spark):
         totals = [(sum(n for n, _ in own), sum(x for _, x in own)) for own in used.values()]
         assert all(x <= loss and (n == 4096 or n & (n - 1) == 0) for n, x in totals)
         assert (max(n for n, _ in totals) == 4096) == (loss == 4096)
+
+
+def test_log_probabilities_of_a_model_stay(monkeypatch):
+    import sentencepiece
+
+    from mcqlab.llm import sentence_pieces
+
+    rng = random.Random(8)
+    names = sorted({"▁" * rng.randrange(2) + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(30)} | {"▁", "a", "b", "c"})
+
+    class Model:
+        def __init__(self, model_file):
+            self.scores = {p: -1.5 - 0.37 * k for k, p in enumerate(names)}
+
+        def get_piece_size(self):
+            return len(names) + 256
+
+        def id_to_piece(self, i):
+            return names[i] if i < len(names) else f"<0x{i - len(names):02X}>"
+
+        def get_score(self, i):
+            return self.scores[names[i]]
+
+        def is_byte(self, i):
+            return i >= len(names)
+
+        def is_control(self, i):
+            return False
+
+        is_unknown = is_unused = is_control
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    pieces = sentence_pieces.Pieces("none")
+    scores = Model(None).scores
+    assert all(pieces.score[p][0] == pytest.approx(s, abs=2e-6) for p, s in scores.items())
+    real = sentence_pieces.Pieces.__init__  # merge ranks still become log-probabilities
+    monkeypatch.setattr(Model, "get_score", lambda self, i: -float(i))
+    real(ranked := sentence_pieces.Pieces.__new__(sentence_pieces.Pieces), "none")
+    assert sum(math.exp(s) for s, _ in ranked.score.values()) == pytest.approx(1, abs=1e-3)
