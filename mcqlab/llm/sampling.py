@@ -40,7 +40,7 @@ def sampled(rows: DataFrame, label: str, key: str, per_class: int, most_rows: in
     enough = {r["label"] for r in thinned.collect() if r["n"] >= per_class}
     whole = {r["label"] for r in counts if r["label"] not in enough}
     thin = rows.withColumn("_h", h).join(tops(whole), F.col(label) == F.col("_label")).where("_h <= _top")
-    order = Window.partitionBy(label).orderBy("_h", *[F.xxhash64(text)] * bool(text))
+    order = Window.partitionBy(label).orderBy("_h", *([F.xxhash64(text)] if text else []))
     ranked = thin.withColumn("_r", F.row_number().over(order))
     return ranked.where(F.col("_r") <= per_class).select(*rows.columns)
 
