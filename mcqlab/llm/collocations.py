@@ -40,7 +40,7 @@ SHARDS, LONGEST, LEAST, TOP = 4, 5, 100, 2000
 CELLS, MARKS = 1 << 24, 3
 NEVER = 255
 PARTS = 16
-SLICE = 4_000_000  # bytes of text counted at once
+SLICE = 2_000_000  # bytes of text counted at once
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(10, 14)]] = True
 BLANK[[9, 32]] = True
@@ -101,8 +101,8 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
         return
     coded = strings.dictionary_encode()
     words = coded.dictionary
-    lang = langs[text]
-    single, inverse, first = kinds_of(lang * len(words) + coded.indices.to_numpy(zero_copy_only=False))
+    single, inverse, first = kinds_of(langs[text] * len(words) + coded.indices.to_numpy(zero_copy_only=False))
+    del strings, coded, text
     lang_of, word_of = single // len(words), single % len(words)
     hashes = np.empty(len(single), np.uint64)
     for a in np.unique(lang_of):
@@ -145,7 +145,7 @@ def opened(packed: bytes) -> np.ndarray:
 
 
 def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest: int) -> DataFrame:
-    """(lang, t) -> counts of the phrases under way."""
+    """(lang, t) -> counts of the phrases under way, by slice of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,7 +155,7 @@ def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest:
             for i, j in slices(offsets, SLICE):
                 yield from counted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], langs[i:j], names, opened(sieve.value), scan, shards, longest)
 
-    return shard.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "k", "since").agg(F.sum("n").alias("n"))
+    return shard.mapInArrow(run, COUNTED)
 
 
 def marked(reached: DataFrame, sieve: np.ndarray, scan: int) -> int:
