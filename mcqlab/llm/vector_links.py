@@ -3,20 +3,21 @@
 Unit vectors with cosine c differ by a squared distance of 2 - 2c. Vectors are rotated
 and split into low-dimensional blocks; of the allowed squared distance each block gets
 its share by dimensions, so a linked pair keeps to the share of one block at least.
-Each block is range-joined on its own: a grid over its first coordinates sends a
-vector to its home cell and to the cells within range. A pair is taken in the first
-block whose share it keeps, in the home cell of the larger id, so the union over
-blocks needs no list of pairs: tasks verify it with the cosine of the original vectors
-in double precision, and return link counts and a spanning forest.
+Each block is range-joined on its own, along its first coordinate and then in all of
+its coordinates. A pair is taken in the first block whose share it keeps, so the union
+over blocks needs no list of pairs: tasks verify it with the cosine of the original
+vectors in double precision, and return link counts and a spanning forest.
 
-Equal vectors are one class throughout. Cells over MOST rows are dealt out as
-(part, part) products, so no task gets a whole large cell.
+A label is one group, in which all blocks are joined, so a vector travels once. Equal
+vectors are one class throughout. Labels of more than MOST classes are dealt out as
+(part, part) products, so no task gets more than two parts; a vector then travels once
+for each part of its label.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows without a label, link with nothing; vectors of different lengths
 never link; a row without an id gets no component; rows are told apart by label and
 vector, so each row of a repeated id has the links of its own vector; other columns are
-left out.
+left out. Classes are named by two hashes of 64 bits of label and vector.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mcqlab.llm.common import components, dealt_join, discard, stored
+from mcqlab.llm.common import components, dealt_join, discard, frequent, stored
 
-LEAST, BLOCKS, GRID, MOST = 0.98, 4, 3, 4096
+LEAST, BLOCKS, MOST = 0.98, 4, 131_072
+TILE = 1024, 8192  # vectors compared at once
 SLACK = 1e-5  # for single-precision rotated coordinates
 
 
@@ -49,110 +51,107 @@ def bounds(dimensions: int, blocks: int) -> np.ndarray:
     return np.linspace(0, dimensions, min(blocks, dimensions) + 1).astype(int)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], least: float, blocks: int, grid: int, single: bool) -> Iterator[pa.RecordBatch]:
-    """(label, rep, mult, v) -> a row for each block and cell in range; single: v holds single-precision numbers."""
-    for batch in batches:
-        labels, reps, mults = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        lists = batch.column(3)
-        sizes = np.diff(lists.offsets.to_numpy())
-        flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-        for d in np.unique(sizes):
-            own = np.flatnonzero(sizes == d)
-            x = flat[at[own][:, None] + np.arange(d)].astype(np.float64)
-            z = ((x / np.abs(x).max(1, keepdims=True)) @ rotation(d))
-            z = (z / np.linalg.norm(z, axis=1, keepdims=True)).astype("<f4")
-            cut = bounds(d, blocks)
-            raw = [v.tobytes() for v in x.astype("<f4" if single else "<f8")]
-            turned = [v.tobytes() for v in z]
-            for b in range(len(cut) - 1):
-                share = (2 - 2 * least) * (cut[b + 1] - cut[b]) / d + SLACK
-                r = np.sqrt(share)
-                g = min(grid, cut[b + 1] - cut[b])
-                c = z[:, cut[b] : cut[b] + g].astype(np.float64)
-                low, high, home = (np.floor(v / (2 * r)).astype(np.int64) for v in (c - r, c + r, c))
-                for step in np.ndindex(*(2,) * g):
-                    cell = low + np.array(step)
-                    inside = np.flatnonzero((cell <= high).all(1))
-                    if not len(inside):
-                        continue
-                    rows = own[inside]
-                    key = [f"{d}:{b}:" + ":".join(map(str, k)) for k in cell[inside].tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(labels[rows]), pa.array(key), pa.array(reps[rows]), pa.array(mults[rows]), pa.array((cell[inside] == home[inside]).all(1)),
-                            pa.array([raw[k] for k in inside], pa.binary()), pa.array([turned[k] for k in inside], pa.binary()),
-                        ],
-                        ["label", "cell", "rep", "mult", "home", "v", "z"],
-                    )
+def turned(x: np.ndarray) -> np.ndarray:
+    """Rotated vectors of length 1, in single precision."""
+    turn, z = rotation(x.shape[1]), np.empty(x.shape, np.float32)
+    for k in range(0, len(x), 16_384):
+        part = x[k : k + 16_384].astype(np.float64)
+        part = (part / np.abs(part).max(1, keepdims=True)) @ turn
+        z[k : k + 16_384] = part / np.linalg.norm(part, axis=1, keepdims=True)
+    return z
+
+
+def near_pairs(block: np.ndarray, home: np.ndarray, visitors: np.ndarray, allowed: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a block within a squared distance, and a few beyond it; same: home and visitors are one list, of which each pair is taken once."""
+    home, visitors = (x[np.argsort(block[x, 0], kind="stable")] for x in (home, visitors))
+    first = block[visitors, 0]
+    reach = np.float32(np.sqrt(allowed) + SLACK)
+    half = -0.5 * np.einsum("ij,ij->i", block, block)[:, None]
+    ones = np.ones_like(half)
+    # the product of such rows is minus half their squared distance
+    left, right = np.hstack([block, half, ones])[home], np.hstack([block, ones, half])[visitors]
+    for k in range(0, len(home), TILE[0]):
+        own = left[k : k + TILE[0]]
+        low = k if same else int(np.searchsorted(first, own[0, 0] - reach))
+        high = int(np.searchsorted(first, own[-1, 0] + reach, side="right"))
+        for v in range(low, high, TILE[1]):
+            others = right[v : min(v + TILE[1], high)]
+            i, j = np.divmod(np.flatnonzero(own @ others.T >= np.float32(-0.5 * (allowed + SLACK))), len(others))
+            if same:
+                later = j + v > i + k
+                i, j = i[later], j[later]
+            if len(i):
+                yield home[i + k], visitors[j + v]
 
 
 def _linked(key: tuple, rows: pa.Table, least: float, blocks: int) -> pa.Table:
-    """Links of one cell (or one product of parts): (rep, n, to), n the links of rep, to its root in the cell."""
-    d, b = (int(k) for k in key[1].as_py().split(":")[:2])
+    """Links of one label (or one product of its parts): (rep, n, to), n the links of rep, to its root in the group."""
+    d, same = key[1].as_py(), key[2].as_py() == key[3].as_py()
     cut = bounds(d, blocks)
     allowed = (2 - 2 * least) * np.diff(cut) / d + SLACK
-    rep, mult = rows["rep"].to_numpy(), rows["mult"].to_numpy()
-    v = rows["v"].to_pylist()
-    x = np.frombuffer(b"".join(v), "<f4" if len(v[0]) == 4 * d else "<f8").reshape(-1, d).astype(np.float64)
-    z = np.frombuffer(b"".join(rows["z"].to_pylist()), "<f4").reshape(-1, d).astype(np.float64)
-    norm = np.sqrt((x * x).sum(1))
-    h, v = np.flatnonzero(rows["as_home"].to_numpy(zero_copy_only=False)), np.flatnonzero(rows["as_visitor"].to_numpy(zero_copy_only=False))
-    n, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-    zb = z[:, cut[b] : cut[b + 1]]
-    square = (zb * zb).sum(1)
-    for k in range(0, len(h), 256):
-        part = h[k : k + 256]
-        near = square[part][:, None] + square[v][None] - 2 * zb[part] @ zb[v].T <= allowed[b] + 1e-9
-        near &= rep[v][None] < rep[part][:, None]
-        i, j = np.nonzero(near)
-        for s in range(0, len(i), 500_000):
-            p, q = part[i[s : s + 500_000]], v[j[s : s + 500_000]]
-            shares = np.stack([((z[p, lo:hi] - z[q, lo:hi]) ** 2).sum(1) for lo, hi in zip(cut[:-1], cut[1:], strict=True)], 1) <= allowed
-            first = shares[:, b] & ~shares[:, :b].any(1)
-            p, q = p[first], q[first]
-            sure = (x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= least
-            p, q = p[sure], q[sure]
-            n += np.bincount(p, weights=mult[q], minlength=len(n)).astype(np.int64) + np.bincount(q, weights=mult[p], minlength=len(n)).astype(np.int64)
-            while len(p):
-                a, c = root[p], root[q]
-                apart = a != c
-                if not apart.any():
-                    break
-                low, high = np.minimum(a, c)[apart], np.maximum(a, c)[apart]
-                np.minimum.at(root, high, low)
-                while (root[root] != root).any():
-                    root = root[root]
-    some = np.flatnonzero((n > 0) | (root != np.arange(len(root))))
-    return pa.table({"rep": rep[some], "n": n[some], "to": rep[root[some]]})
-
-
-def linked(rows: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", least: float = LEAST, blocks: int = BLOCKS, grid: int = GRID, most: int = MOST) -> DataFrame:
+    rep, mult = rows["rep"].combine_chunks(), rows["mult"].to_numpy()
+    x = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+    z = turned(x)
+    every = np.arange(len(x))
+    mine = rows["mine"].to_numpy() == key[2].as_py()
+    home, visitors = (every, every) if same else (every[mine], every[~mine])
+    n, root = np.zeros(len(x), np.int64), every.copy()
+    for b in range(len(cut) - 1):
+        for i, j in near_pairs(z[:, cut[b] : cut[b + 1]], home, visitors, allowed[b], same):
+            for s in range(0, len(i), 100_000):
+                p, q = i[s : s + 100_000], j[s : s + 100_000]
+                apart = z[p].astype(np.float64) - z[q]
+                shares = np.stack([(apart[:, lo:hi] ** 2).sum(1) for lo, hi in zip(cut[:-1], cut[1:], strict=True)], 1) <= allowed
+                first = shares[:, b] & ~shares[:, :b].any(1)
+                p, q = p[first], q[first]
+                if not len(p):
+                    continue
+                xp, xq = x[p].astype(np.float64), x[q].astype(np.float64)
+                sure = (xp * xq).sum(1) / (np.sqrt((xp * xp).sum(1)) * np.sqrt((xq * xq).sum(1))) >= least
+                p, q = p[sure], q[sure]
+                n += np.bincount(p, weights=mult[q], minlength=len(n)).astype(np.int64) + np.bincount(q, weights=mult[p], minlength=len(n)).astype(np.int64)
+                while len(p):
+                    a, c = root[p], root[q]
+                    differ = a != c
+                    if not differ.any():
+                        break
+                    low, high = np.minimum(a, c)[differ], np.maximum(a, c)[differ]
+                    np.minimum.at(root, high, low)
+                    while (root[root] != root).any():
+                        root = root[root]
+    some = np.flatnonzero(n > 0)
+    return pa.table({"rep": rep.take(pa.array(some)), "n": n[some], "to": rep.take(pa.array(root[some]))})
+
+
+def linked(rows: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", least: float = LEAST, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:
     """rows -> vec_id, n_links, component_id, kept."""
-    own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    single = rows.schema[vector].dataType.elementType == T.FloatType()
+    own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"))
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")), F.lit(False))
-    own = own.withColumns({"label": F.when(ok, F.col("label")), "v": F.when(ok, F.col("v"))})
-    classes = stored(own.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("mult")).withColumn("rep", F.monotonically_increasing_id()))  # numbers fixed by being written
-    kind, single = dict(classes.dtypes)["label"], rows.schema[vector].dataType.elementType == T.FloatType()
-    cells = stored(classes.select("label", "rep", "mult", "v").mapInArrow(lambda it: _cells(it, least, blocks, grid, single), f"label {kind}, cell string, rep long, mult long, home boolean, v binary, z binary"))
-    parts = stored(cells.groupBy("label", "cell").agg(F.count("*").alias("rows")).withColumn("m", F.ceil(F.col("rows") / most).cast("int")))
-    mine = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
-    all_parts = F.sequence(F.lit(0), F.col("m") - 1)
-    place = lambda i, j, home, visitor: F.struct(i.alias("i"), j.alias("j"), home.alias("as_home"), visitor.alias("as_visitor"))
-    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
-    split = F.concat(
-        F.transform(all_parts, lambda i: place(i, mine, no, yes)),
-        F.when(F.col("home"), F.transform(all_parts, lambda j: place(mine, j, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,as_home:boolean,as_visitor:boolean>>")),
-    )
-    placed = dealt_join(cells, parts, ["label", "cell"], "rows").withColumn("p", F.explode(F.when(F.col("m") == 1, F.array(place(zero, zero, F.col("home"), yes))).otherwise(split)))
-    placed = placed.select("label", "cell", "p.i", "p.j", "rep", "mult", "p.as_home", "p.as_visitor", "v", "z")
-    found = stored(placed.groupBy("label", "cell", "i", "j").applyInArrow(lambda k, t: _linked(k, t, least, blocks), "rep long, n long, `to` long"))
-    discard(cells, parts)
+    named = [F.lpad(F.hex(F.xxhash64(F.lit(i), "label", "v")), 16, "0") for i in range(2)]
+    rep = F.unhex(F.concat(*named))
+    ids = stored(own.select("vec_id", "label", F.size("v").alias("d"), F.when(ok, rep).alias("rep")))
+    sizes = ids.where("rep IS NOT NULL").groupBy("label", "d").agg(F.approx_count_distinct("rep").alias("n"))
+    # at most one of ``most`` rows is such a label, so these are broadcast
+    large = stored(sizes.where(F.col("n") > most).select("label", "d", F.ceil(F.col("n") / most).cast("int").alias("m")))
+    classes = own.where(ok).groupBy("label", "v").agg(F.count("*").alias("mult")).select("label", F.size("v").alias("d"), rep.alias("rep"), "mult", "v")
+    dealt = classes.join(F.broadcast(large), ["label", "d"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+    products = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
+    placed = dealt.withColumn("p", F.explode(products)).select("label", "d", "p.i", "p.j", "mine", "rep", "mult", "v")
+    found = stored(placed.groupBy("label", "d", "i", "j").applyInArrow(lambda k, t: _linked(k, t, least, blocks), "rep binary, n long, `to` binary"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    named = classes.select("rep", "least_id", "mult").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    named = stored(named.select("rep", "least_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
-    smallest = stored(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")))
-    facts = dealt_join(named, smallest, ["component"], "size").select("rep", "n_links", "component_id")
-    facts = classes.join(facts, "rep").select("label", "v", "n_links", "component_id")
-    out = own.join(facts, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    reps = ids.where("rep IS NOT NULL").groupBy("rep").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("mult"))
+    # a class of one row without a link is left as it is
+    met = reps.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").where("mult > 1 OR n IS NOT NULL")
+    met = stored(met.select("rep", "least_id", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    smallest = stored(met.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")))
+    facts = stored(dealt_join(met, smallest, ["component"], "size").select("rep", "mult", "n_links", "component_id"))
+    discard(large, found, joined, met, smallest)
+    often = frequent(facts, ["rep"], "mult", ids.count())
+    there, other = ids.where("rep IS NOT NULL"), facts.drop("mult")
+    out = there.where(often).join(F.broadcast(other.where(often)), "rep", "left").unionByName(there.where(~often).join(other.where(~often), "rep", "left"))
+    out = out.unionByName(ids.where("rep IS NULL"), allowMissingColumns=True)
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

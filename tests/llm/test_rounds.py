@@ -299,3 +299,41 @@ def test_log_probabilities_of_a_model_stay(monkeypatch):
     monkeypatch.setattr(Model, "get_score", lambda self, i: -float(i))
     real(ranked := sentence_pieces.Pieces.__new__(sentence_pieces.Pieces), "none")
     assert sum(math.exp(s) for s, _ in ranked.score.values()) == pytest.approx(1, abs=1e-3)
+
+
+def test_vectors_travel_once(spark, monkeypatch):
+    """No copies of a vector for each cell of a grid: what is stored is less than the vectors themselves."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from mcqlab.llm import vector_links
+
+    sizes, stored = [], vector_links.stored
+
+    def watched(df, *by):
+        out = stored(df, *by)
+        sizes.append(sum(f.stat().st_size for f in Path(urlparse(out._stored_at).path).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(vector_links, "stored", watched)
+    r = np.random.default_rng(4)
+    rows = [(i, i % 2, r.normal(size=64).tolist()) for i in range(2000)]
+    assert vector_links.linked(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).where("n_links = 0 AND kept").count() == 2000
+    assert sum(sizes) < 2000 * 64 * 4
+
+
+def test_near_pairs_of_tiles(monkeypatch):
+    from mcqlab.llm import vector_links
+
+    monkeypatch.setattr(vector_links, "TILE", (7, 11))
+    z = vector_links.turned(np.random.default_rng(3).normal(size=(150, 8)))
+    block, allowed = z[:, :3], 0.05
+    square = ((block[:, None].astype(float) - block[None]) ** 2).sum(2)
+    every = np.arange(150)
+    for home, visitors in ((every, every), (every[::3], every[1::3])):
+        same = home is visitors
+        got = [tuple(p) for i, j in vector_links.near_pairs(block, home, visitors, allowed, same) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        want = {(i, j) for i in home.tolist() for j in visitors.tolist() if square[i, j] <= allowed}
+        if same:
+            got, want = [(min(p), max(p)) for p in got], {(i, j) for i, j in want if i < j}
+        assert len(got) == len(set(got)) and want <= set(got) and all(square[p] <= allowed + 3e-5 for p in got)
