@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from mcqlab.operators.hot import dealt_join, discard, located, stored
 
 PER_PART = 100_000
+#: An extension has no more parts than this: each is a job of its own, and a folder that every task writes to.
+MOST_PARTS = 16
 
 
 def text_key(*texts: Column) -> Column:
@@ -51,7 +53,8 @@ class KeyedStore:
 
         wanted: (key, ...) with any number of rows a key, all alike; null keys are left
         out. make: those rows, one a key, -> (key, value, error); a value whose error is
-        not null is not kept, so it is asked for again next time.
+        not null is not kept, so it is asked for again next time. per_part: keys a part;
+        more where there would be over MOST_PARTS parts.
         """
         wanted = wanted.where(F.col("key").isNotNull())
         # keys first: if there is nothing to do, the texts are not shuffled
@@ -63,10 +66,11 @@ class KeyedStore:
             return Extension(0, none)
         rest = [c for c in wanted.columns if c != "key"]
         once = wanted.groupBy("key").agg(*(F.first(c).alias(c) for c in rest))
-        todo = stored(once.join(lacking, "key", "left_semi").withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(-(-n // per_part))).cast("int")), "_part")
+        parts = min(-(-n // per_part), MOST_PARTS)
+        todo = stored(once.join(lacking, "key", "left_semi").withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")), "_part")
         discard(lacking)
         made = []
-        for part in range(-(-n // per_part)):
+        for part in range(parts):
             new = stored(make(todo.where(F.col("_part") == part).drop("_part")).select("key", F.col("value").cast(self.value).alias("value"), "error"))
             new.where("error IS NULL").select("key", "value").write.mode("append").parquet(self.path)
             made.append(new)

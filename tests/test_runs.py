@@ -77,6 +77,18 @@ def test_rows_that_share_everything(spark, tmp_path):
     assert store.attach(rows.where("false"), {"up": text_key(F.col("t"))}).count() == 0
 
 
+def test_parts_stay_few(spark, tmp_path):
+    made, store = [], KeyedStore(spark, str(tmp_path / "s"), "string")
+    rows = spark.range(300).select(text_key(F.col("id").cast("string")).alias("key"), F.col("id").cast("string").alias("t"))
+
+    def make(new):
+        made.append(new)
+        return new.select("key", F.col("t").alias("value"), F.lit(None).cast("string").alias("error"))
+
+    assert store.extend(rows, make, per_part=5).asked == 300 and len(made) <= 16
+    assert store.read().count() == store.read().distinct().count() == 300 and store.extend(rows, make).asked == 0
+
+
 def test_keys_tell_parts_apart(spark):
     keys = spark.range(1).select(text_key(F.lit("ab"), F.lit("c")), text_key(F.lit("a"), F.lit("bc")), text_key(F.lit("x"), F.lit(None).cast("string")), text_key(F.lit("abc"))).first()
     assert keys[2] is None and len({bytes(keys[i]) for i in (0, 1, 3)}) == 3
