@@ -595,10 +595,15 @@ def originality_lemmatized(spark, sf_dir):
 
 
 # positions in files, whole groups held out, answers that are not quite JSON
+LEAST_FILES, FILE_BYTES = 8, 32_000_000
+
+
 def _sorted_csv(spark, sf_dir) -> str:
-    """Sheets in the order of their ids, dealt over several files."""
+    """Sheets in the order of their ids, dealt over as many files as keep each to about FILE_BYTES, since a file with line breaks in its values is read by one task."""
     at = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
-    rows = fx.sheets(spark, sf_dir).repartitionByRange(8, "id").sortWithinPartitions("id")
+    own = fx.sheets(spark, sf_dir)
+    size = own.agg(F.sum(F.octet_length("content_gpt"))).first()[0] or 0
+    rows = own.repartitionByRange(max(LEAST_FILES, math.ceil(size / FILE_BYTES)), "id").sortWithinPartitions("id")
     io.write_csv(rows.select(F.col("id").cast("string"), "folder", "content_gpt"), at)
     return at
 

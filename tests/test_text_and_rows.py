@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,15 @@ def test_too_many_positions(spark, monkeypatch):
     monkeypatch.setattr(split, "MOST_POSITIONS", 10)
     with pytest.raises(ValueError):
         frame_sample(spark.range(11).withColumnRenamed("id", "row_id"), lambda k: 1)
+
+
+def test_files_grow_in_number_not_in_size(spark, sf_dir, monkeypatch):
+    from urllib.parse import urlparse
+
+    from mcqlab.plans import catalog
+
+    monkeypatch.setattr(catalog, "FILE_BYTES", 10_000, raising=False)
+    at = Path(urlparse(catalog._sorted_csv(spark, sf_dir)).path)
+    assert max(f.stat().st_size for f in at.glob("*.csv")) < 60_000
+    got = catalog.file_row_numbers(spark, sf_dir)
+    assert [r["id"] for r in got.orderBy("row_id").collect()] == [str(r["doc_id"]) for r in io.table(spark, sf_dir, "documents").orderBy("doc_id").collect()]
