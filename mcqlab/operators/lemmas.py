@@ -47,20 +47,35 @@ def lemma_table(forms: DataFrame, lexicon: Lexicon) -> DataFrame:
     return forms.join(best, F.col("form") == F.col("_b"), "left").select(*forms.columns, F.coalesce("_l", "form").alias("lemma"))
 
 
-def lemmatized(rows: DataFrame, key: str, tokens: str, lexicon: Lexicon, broadcast_forms: int = BROADCAST_FORMS) -> DataFrame:
-    """rows (key, tokens), keys without repeats -> (key, tokens) with lemmas in the place of the forms, null for null.
+def changes(rows: DataFrame, key: str, tokens: str, lexicon: Lexicon, broadcast_forms: int = BROADCAST_FORMS) -> DataFrame:
+    """rows (key, tokens) -> a stored table (key, _changed): a map from form to lemma of those of the key's forms that differ from their lemma; no row for a key without such a form.
+
+    A key may have several rows; its map is that of all of them.
 
     The lemmas of distinct forms are found first. If few of them differ from their form,
-    these are broadcast; else both sides are joined, frequent forms apart.
+    these are broadcast, so that of all forms only the changed ones are shuffled; else
+    both sides are joined, frequent forms apart.
     """
-    long = stored(rows.select(key, F.posexplode(tokens).alias("_pos", "form")))
-    table = stored(lemma_table(long.groupBy("form").agg(F.count("*").alias("_uses")), lexicon))
-    changed = table.where("lemma <> form")
-    if changed.count() <= broadcast_forms:
-        met = long.join(F.broadcast(changed.select("form", "lemma")), "form", "left").withColumn("lemma", F.coalesce("lemma", "form"))
+    own = rows.select(key, F.explode(F.array_distinct(tokens)).alias("form"))
+    table = stored(lemma_table(own.groupBy("form").agg(F.count("*").alias("_uses")), lexicon).where("lemma <> form"))
+    if table.count() <= broadcast_forms:
+        met = own.join(F.broadcast(table.drop("_uses")), "form")
     else:
-        met = dealt_join(long, table, ["form"], "_uses")
-    whole = stored(met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "lemma"))), lambda x: x["lemma"]).alias("_t")))
-    discard(long, table)
-    none = F.when(F.col(tokens).isNotNull(), F.array().cast("array<string>"))
-    return rows.select(key, tokens).join(whole, key, "left").select(key, F.coalesce("_t", none).alias(tokens))
+        met = dealt_join(own, table, ["form"], "_uses")
+    out = stored(met.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("form", "lemma"))).alias("_changed")))
+    discard(table)
+    return out
+
+
+def replaced(tokens: Column, changed: Column) -> Column:
+    """tokens with the lemmas of a map in the place of their forms; null for null."""
+    return F.when(changed.isNull(), tokens).otherwise(F.transform(tokens, lambda w: F.coalesce(F.try_element_at(changed, w), w)))
+
+
+def lemmatized(rows: DataFrame, key: str, tokens: str, lexicon: Lexicon, broadcast_forms: int = BROADCAST_FORMS) -> DataFrame:
+    """rows (key, tokens), keys without repeats -> (key, tokens) with lemmas in the place of the forms, null for null.
+
+    Tokens stay in their rows; only forms that change are taken out.
+    """
+    changed = changes(rows, key, tokens, lexicon, broadcast_forms)
+    return rows.select(key, tokens).join(changed, key, "left").select(key, replaced(F.col(tokens), F.col("_changed")).alias(tokens))

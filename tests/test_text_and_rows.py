@@ -152,3 +152,25 @@ def test_files_grow_in_number_not_in_size(spark, sf_dir, monkeypatch):
     assert max(f.stat().st_size for f in at.glob("*.csv")) < 60_000
     got = catalog.file_row_numbers(spark, sf_dir)
     assert [r["id"] for r in got.orderBy("row_id").collect()] == [str(r["doc_id"]) for r in io.table(spark, sf_dir, "documents").orderBy("doc_id").collect()]
+
+
+def test_lemmas_leave_tokens_in_their_rows(spark, monkeypatch):
+    """What is stored on the way are the forms that change, not the tokens."""
+    from urllib.parse import urlparse
+
+    from mcqlab.operators import lemmas
+
+    sizes, stored = [], lemmas.stored
+
+    def watched(df, *by):
+        out = stored(df, *by)
+        sizes.append(sum(f.stat().st_size for f in Path(urlparse(out._stored_at).path).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(lemmas, "stored", watched)
+    rng = random.Random(8)
+    texts = [[f"{rng.randrange(10**9)}x" for _ in range(5000)] + ["dogs"] for _ in range(4)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, w array<string>")
+    lexicon = Lexicon(spark.createDataFrame([("dog",)], "word string"), spark.createDataFrame([], "form string, lemma string"))
+    got = {r["k"]: r["w"] for r in lemmatized(frame, "k", "w", lexicon).collect()}
+    assert got == {i: [*t[:-1], "dog"] for i, t in enumerate(texts)} and sum(sizes) < 20_000
