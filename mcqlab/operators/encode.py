@@ -71,9 +71,9 @@ def encoded(texts: DataFrame, make_encoder: Callable[[], Encoder], max_tokens: i
     return texts.select("key", "text").mapInArrow(run, f"key binary, value {VECTOR}, error string")
 
 
-def extend_vectors(store: KeyedStore, texts: list[tuple[DataFrame, Column]], make_encoder: Callable[[], Encoder], max_tokens: int = MAX_TOKENS, batch_tokens: int = BATCH_TOKENS) -> Extension:
-    """Encodes the texts of all (table, column) that the store lacks; equal texts once."""
+def extend_vectors(store: KeyedStore, texts: list[tuple[DataFrame, Column]], make_encoder: Callable[[], Encoder], max_tokens: int = MAX_TOKENS, batch_tokens: int = BATCH_TOKENS, among: DataFrame | None = None) -> Extension:
+    """Encodes the texts of all (table, column) that the store lacks; equal texts once. among: only texts whose key this table has."""
     from functools import reduce
 
     wanted = reduce(DataFrame.unionByName, [rows.select(text_key(c).alias("key"), c.alias("text")) for rows, c in texts])
-    return store.extend(wanted, lambda new: encoded(new, make_encoder, max_tokens, batch_tokens))
+    return store.extend(wanted, lambda new: encoded(new, make_encoder, max_tokens, batch_tokens), among=among)

@@ -48,17 +48,18 @@ class KeyedStore:
         where, files = located(self.spark, self.path)
         return self.spark.read.schema(schema).parquet(self.path) if files.exists(where) else self.spark.createDataFrame([], schema)
 
-    def extend(self, wanted: DataFrame, make: Callable[[DataFrame], DataFrame], per_part: int = PER_PART) -> Extension:
+    def extend(self, wanted: DataFrame, make: Callable[[DataFrame], DataFrame], per_part: int = PER_PART, among: DataFrame | None = None) -> Extension:
         """Adds the values of the keys that are missing.
 
         wanted: (key, ...) with any number of rows a key, all alike; null keys are left
         out. make: those rows, one a key, -> (key, value, error); a value whose error is
         not null is not kept, so it is asked for again next time. per_part: keys a part;
-        more where there would be over MOST_PARTS parts.
+        more where there would be over MOST_PARTS parts. among: a table whose keys are
+        those to be looked at, if wanted has others too.
         """
         wanted = wanted.where(F.col("key").isNotNull())
         # keys first: if there is nothing to do, the texts are not shuffled
-        lacking = stored(wanted.select("key").distinct().join(self.read().select("key"), "key", "left_anti"))
+        lacking = stored((wanted if among is None else among.where("key IS NOT NULL")).select("key").distinct().join(self.read().select("key"), "key", "left_anti"))
         n = lacking.count()
         none = self.spark.createDataFrame([], "key binary, error string")
         if not n:
@@ -81,21 +82,16 @@ class KeyedStore:
     def attach(self, rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
         """rows with the value of each key under its name, null where there is none, in a stored table.
 
-        The keys of a row are looked up in one join, whatever their number; rows that
-        share all of them, and keys that many rows share, are dealt out.
+        The keys of a row are looked up in one join, whatever their number; keys that
+        many rows share are dealt out.
         """
-        names = [f"_k{i}" for i in range(len(keys))]
-        keyed = stored(rows.select("*", *(k.alias(n) for n, k in zip(names, keys.values(), strict=True))))
-        sets = stored(keyed.groupBy(*names).agg(F.count("*").alias("_rows")).withColumn("_id", F.monotonically_increasing_id()))
-        slots = F.explode(F.array(*(F.struct(F.lit(i).alias("_slot"), F.col(n).alias("key")) for i, n in enumerate(names))))
-        looked = stored(sets.select("_id", slots.alias("s")).select("_id", "s.*").where("key IS NOT NULL"))
+        keyed = stored(rows.select("*", *(k.alias(f"_k{i}") for i, k in enumerate(keys.values())), F.monotonically_increasing_id().alias("_id")))
+        slots = F.explode(F.array(*(F.struct(F.lit(i).alias("_slot"), F.col(f"_k{i}").alias("key")) for i in range(len(keys)))))
+        looked = keyed.select("_id", slots.alias("s")).select("_id", "s.*").where("key IS NOT NULL")
         values = stored(looked.groupBy("key").agg(F.count("*").alias("_uses")).join(self.read(), "key").groupBy("key", "_uses").agg(F.first("value").alias("value")))
         met = dealt_join(looked, values, ["key"], "_uses")
-        wide = met.groupBy("_id").agg(*(F.first(F.when(F.col("_slot") == i, F.col("value")), ignorenulls=True).alias(f"_v{i}") for i in range(len(names))))
-        whole = stored(sets.join(wide, "_id", "left").drop("_id"))
-        # a null key is a key of its own here
-        filled = [F.coalesce(n, F.lit(b"")).alias(n) for n in names]
-        out = dealt_join(keyed.select(*rows.columns, *filled), whole.select("_rows", *filled, *(f"_v{i}" for i in range(len(names)))), names, "_rows")
+        wide = met.groupBy("_id").agg(*(F.first(F.when(F.col("_slot") == i, F.col("value")), ignorenulls=True).alias(f"_v{i}") for i in range(len(keys))))
+        out = keyed.select(*rows.columns, "_id").join(wide, "_id", "left")
         out = stored(out.select(*rows.columns, *(F.col(f"_v{i}").alias(k) for i, k in enumerate(keys))))
-        discard(keyed, sets, looked, values, whole)
+        discard(keyed, values)
         return out

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -155,24 +156,35 @@ def _filled(rows: DataFrame, out: str, value: Column, error: Column, again: bool
     return both.drop(out, ERRORS).withColumnsRenamed({"_new": out, "_errors": ERRORS})
 
 
+def sheet_keys(sheets: DataFrame, mcqs: DataFrame, key: str, content: str) -> DataFrame:
+    """(_k, _sheet): the id of each sheet that has an MCQ, and the key of its text, the smallest of several; texts are shuffled only where an id has several."""
+    keyed = sheets.where(F.col(content).isNotNull()).select(F.col(key).alias("_k"), text_key(F.col(content)).alias("_sheet"))
+    one = stored(keyed.groupBy("_k").agg(F.min("_sheet").alias("_sheet"), F.max("_sheet").alias("_other")))
+    own, several = one.where("_sheet = _other").select("_k", "_sheet"), one.where("_sheet <> _other").select(F.col("_k").alias("_i"))
+    if not several.isEmpty():
+        smallest = sheets.join(several, F.col(key).eqNullSafe(F.col("_i")), "left_semi").groupBy(F.col(key).alias("_k")).agg(F.min(content).alias("_t"))
+        own = own.unionByName(smallest.select("_k", text_key(F.col("_t")).alias("_sheet")))
+    return stored(own.join(mcqs.select(F.col(key).alias("_i")), F.col("_k").eqNullSafe(F.col("_i")), "left_semi"))
+
+
 def _by_vectors(rows: DataFrame, sheets: DataFrame, config: MetricConfig, services: Services, again: bool) -> DataFrame:
     c = config.columns
     if services.make_encoder is None or services.vectors is None:
         raise ValueError("relevance and ambiguity need an encoder and a store of vectors")
-    texts, keys = [], {}
+    texts, keys, wanted = [], {}, []
     if config.relevance:
         due = _due(config.out("relevance"), again)
-        own = sheets.groupBy(F.col(c.id).alias("_k")).agg(F.min(c.context).alias("_t"))
-        if again:
-            own = own.join(rows.where(due).select(F.col(c.id).alias("_i")), F.col("_k").eqNullSafe(F.col("_i")), "left_semi")
-        texts += [(rows.where(due), F.col(c.question)), (own, F.col("_t"))]
-        rows = rows.join(own.select("_k", text_key(F.col("_t")).alias("_sheet")), F.col(c.id).eqNullSafe(F.col("_k")), "left").drop("_k")
+        own = sheet_keys(sheets, rows.where(due), c.id, c.context)
+        wanted.append(own.select(F.col("_sheet").alias("key")))
+        texts += [(rows.where(due), F.col(c.question)), (sheets, F.col(c.context))]
+        rows = rows.join(own, F.col(c.id).eqNullSafe(F.col("_k")), "left").drop("_k")
         keys |= {"_q": F.when(due, text_key(F.col(c.question))), "_s": F.when(due, F.col("_sheet"))}
     if config.ambiguity:
         due = _due(config.out("ambiguity"), again)
         texts += [(rows.where(due), F.col(o)) for o in c.options]
         keys |= {f"_{mark}": F.when(due, text_key(F.col(o))) for mark, o in zip("abcd", c.options, strict=True)}
-    extend_vectors(services.vectors, texts, services.make_encoder, services.max_tokens, services.batch_tokens)
+    wanted += [of.select(text_key(t).alias("key")) for of, t in texts if of is not sheets]
+    extend_vectors(services.vectors, texts, services.make_encoder, services.max_tokens, services.batch_tokens, reduce(DataFrame.unionByName, wanted))
     rows = services.vectors.attach(rows, keys)
     if config.relevance:
         value = vector.cosine(F.col("_q"), F.col("_s"))

@@ -50,7 +50,9 @@ def evaluation_run(
     own = io.read_csv(spark, mcqs, result_schema(config, services) if earlier else io.MCQS)
     if earlier:
         own = own.withColumn(ERRORS, F.coalesce(F.from_json(ERRORS, "map<string,string>"), F.create_map().cast("map<string,string>")))
-    content = relational.semi_join_sheets(io.read_csv(spark, sheets, io.SHEETS), own)
+    content = io.read_csv(spark, sheets, io.SHEETS)
+    if config.originality or config.answerability:  # relevance leaves the others out by their keys
+        content = relational.semi_join_sheets(content, own)
     rows = complete(own, content, config, services)
     if not may_fail(config, services):
         rows = rows.drop(ERRORS)

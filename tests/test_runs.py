@@ -205,3 +205,14 @@ def test_both_ways_of_originality_agree_without_a_sheet(spark):
     one = ev.evaluate(joined, config).select("id", "question", "originality")
     two = ev.evaluate(mcqs, config, sheets).select("id", "question", "originality")
     assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_sheets_are_met_by_keys(spark, tmp_path):
+    """Sheets without an MCQ are not encoded, of several texts of an id the smallest one is, and texts are not written but where they are to be encoded."""
+    calls = spark.sparkContext.accumulator(0)
+    mcqs = spark.createDataFrame([("1", "one two", *"abcd", "a"), (None, "one", *"abcd", "a"), ("4", "one", *"abcd", "a")], io.MCQS)
+    sheets = spark.createDataFrame([("1", "f", "zz zz"), ("1", "f", "one two"), ("1", "f", None), (None, "f", "one"), ("9", "f", "unused text"), ("4", "f", None)], io.SHEETS)
+    config = MetricConfig(originality=False, readability=False, negation=False, is_question=False, relevance=True)
+    services = ev.Services(make_encoder=lambda: Counting(calls), vectors=KeyedStore(spark, str(tmp_path / "v"), VECTOR))
+    got = {r["id"]: (r["relevance"], r[ev.ERRORS]) for r in ev.complete(mcqs, sheets, config, services).collect()}
+    assert got["1"][0] == pytest.approx(1) and got[None][0] == pytest.approx(1) and got["4"] == (None, {"relevance": "no sheet"}) and calls.value == 2
