@@ -6,6 +6,10 @@ subphrases (without its first, and without its last word) have reached the thres
 whatever its length, and for one full cycle, so its count is exact. Scans go on until no
 phrase can still be under way.
 
+In cycle c all frequent phrases of c words are known. What later cycles count has over
+c + 1 words, so from cycle 2 on a scan also writes the runs of such phrases, and the next
+scan of the shard reads these alone.
+
 Which phrases have reached the threshold, and before which scan, tasks learn from a
 sieve: an array of CELLS bytes, the only thing that is broadcast. Each phrase marks its
 cells with the scan when it reaches; the latest of its marks is when it counts as there.
@@ -41,6 +45,8 @@ CELLS, MARKS = 1 << 24, 3
 NEVER = 255
 PARTS = 16
 SLICE = 2_000_000  # bytes of text counted at once
+WIDE = 64
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(10, 14)]] = True
 BLANK[[9, 32]] = True
@@ -76,9 +82,35 @@ def extended(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(hashes * MIX + words)
 
 
-def word_hashes(lang: str, words: list[str]) -> list[int]:
-    seed = xxhash.xxh64_intdigest(lang)
-    return [xxhash.xxh64_intdigest(w, seed) for w in words]
+def word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """Hashes of words, from eight bytes of each at a time; what a word has beyond WIDE bytes is hashed by itself."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    at, size = at[:-1], np.diff(at)
+    padded = np.concatenate([np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    hashes = mixed(size.astype(np.uint64))
+    for k in range(0, WIDE, 8):
+        here = np.flatnonzero(size > k)
+        if not len(here):
+            break
+        hashes[here] = extended(hashes[here], eights[at[here] + k] & FIRST_BYTES[np.minimum(size[here] - k, 8)])
+    for i in np.flatnonzero(size > WIDE):
+        hashes[i : i + 1] = extended(hashes[i : i + 1], np.array([xxhash.xxh64_intdigest(padded[at[i] + WIDE : at[i] + size[i]])], np.uint64))
+    return hashes
+
+
+def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    """Hashes of phrases, as ``counted`` makes them from their words."""
+    words = pc.split_pattern(phrases.cast(pa.large_string()), " ")
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = extended(np.repeat(word_hashes(langs.cast(pa.large_string())), size), word_hashes(words.flatten()))
+    first = np.cumsum(size) - size
+    hashes = own[first]
+    for i in range(1, size.max(initial=0)):
+        here = np.flatnonzero(size > i)
+        hashes[here] = extended(hashes[here], own[first[here] + i])
+    return hashes
 
 
 def since(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
@@ -94,8 +126,11 @@ def kinds_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kinds, numbers, first
 
 
-def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: list[str], sieve: np.ndarray, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases under way in some texts; langs: the number of each text's language name."""
+def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: list[str], sieve: np.ndarray, scan: int, shards: int, longest: int, trim: bool = False) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases under way in some texts; langs: the number of each text's language name.
+
+    With trim also, as rows of k = 0, the runs of words that later cycles need.
+    """
     strings, text, joined = tokens(data, offsets)
     if not len(strings):
         return
@@ -104,10 +139,8 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
     single, inverse, first = kinds_of(langs[text] * len(words) + coded.indices.to_numpy(zero_copy_only=False))
     del strings, coded, text
     lang_of, word_of = single // len(words), single % len(words)
-    hashes = np.empty(len(single), np.uint64)
-    for a in np.unique(lang_of):
-        here = np.flatnonzero(lang_of == a)
-        hashes[here] = word_hashes(names[a], words.take(pa.array(word_of[here])).to_pylist())
+    hashes = extended(word_hashes(pa.array(names, pa.large_string()))[lang_of], word_hashes(words)[word_of])
+    cycle = scan // shards
 
     def rows(k: int, chosen: np.ndarray, first: np.ndarray, act: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         at = first[chosen]
@@ -116,6 +149,19 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
         named = pa.array(names, pa.string()).take(pa.array(lang_of[inverse[at]]))
         return pa.RecordBatch.from_arrays([named, phrase.cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(act[chosen].astype(np.int32)), pa.array(n[chosen])], ["lang", "phrase", "k", "since", "n"])
 
+    def runs_of(places: np.ndarray, beside: np.ndarray) -> pa.RecordBatch:
+        """Runs of three and more phrases of ``cycle`` words, each from the word after that of the one before."""
+        ends = np.flatnonzero(np.append(~beside, True)) if len(places) else np.zeros(0, np.int64)
+        begins = np.append(0, ends[:-1] + 1)[: len(ends)]
+        whole = ends - begins >= 2
+        first, size = places[begins[whole]], (ends - begins)[whole] + cycle
+        at = np.append(0, np.cumsum(size))
+        own = words.take(pa.array(word_of[inverse[np.arange(at[-1]) + np.repeat(first - at[:-1], size)]]))
+        text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at), own), pa.scalar(" ", pa.large_string()))
+        named = pa.array(names, pa.string()).take(pa.array(lang_of[inverse[first]]))
+        none = np.zeros(len(first), np.int32)
+        return pa.RecordBatch.from_arrays([named, text.cast(pa.string()), pa.array(none), pa.array(none), pa.array(none.astype(np.int64))], ["lang", "phrase", "k", "since", "n"])
+
     if scan < shards:
         yield rows(1, np.arange(len(single)), first, np.zeros(len(single), np.int64), np.bincount(inverse, minlength=len(single)))
     places, ids, gram_hashes, there = np.arange(len(inverse)), inverse, hashes, since(hashes, sieve)
@@ -123,7 +169,10 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
         # phrases of k - 1 words that have reached the threshold, at two neighbouring places
         alive = there[ids] <= scan
         places, ids = places[alive], ids[alive]
-        pair = np.flatnonzero((places[1:] == places[:-1] + 1) & joined[places[:-1]])
+        beside = (places[1:] == places[:-1] + 1) & joined[places[:-1]]
+        if trim and k == cycle + 1:
+            yield runs_of(places, beside)
+        pair = np.flatnonzero(beside)
         if not len(pair):
             return
         left, right, places = ids[pair], ids[pair + 1], places[pair]
@@ -134,7 +183,7 @@ def counted(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: lis
         gram_hashes = extended(gram_hashes[left[first]], hashes[last[first]])
         first = places[first]
         under_way = np.flatnonzero(scan < act + shards)
-        if len(under_way):
+        if k > cycle and len(under_way):  # shorter ones that are frequent have had their full cycle
             yield rows(k, under_way, first, act, n)
         there = np.maximum(since(gram_hashes, sieve), act)  # the sieve may take a phrase for another before it was ever counted
 
@@ -144,8 +193,8 @@ def opened(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
-def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest: int) -> DataFrame:
-    """(lang, t) -> counts of the phrases under way, by slice of text."""
+def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest: int, trim: bool) -> DataFrame:
+    """(lang, t) -> counts of the phrases under way, by slice of text; with trim, also what later cycles need of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +202,7 @@ def scanned(shard: DataFrame, sieve: Broadcast, scan: int, shards: int, longest:
             coded = b.column(0).dictionary_encode()
             langs, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
             for i, j in slices(offsets, SLICE):
-                yield from counted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], langs[i:j], names, opened(sieve.value), scan, shards, longest)
+                yield from counted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], langs[i:j], names, opened(sieve.value), scan, shards, longest, trim)
 
     return shard.mapInArrow(run, COUNTED)
 
@@ -164,14 +213,7 @@ def marked(reached: DataFrame, sieve: np.ndarray, scan: int) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = []
-            for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.array(word_hashes(lang, phrase.split(" ")), np.uint64)
-                h = own[:1]
-                for w in own[1:]:
-                    h = extended(h, np.array([w]))
-                hashes.append(h[0])
-            at = cells_of(np.array(hashes, np.uint64), cells).ravel() if hashes else np.zeros(0, np.int64)
+            at = cells_of(phrase_hashes(b.column(0), b.column(1)), cells).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["at", "bits"])
 
     found = reached.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -194,23 +236,31 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     # the shard of a row is fixed by being written; copies of one text are dealt to all shards
     dealt = stored(own.withColumn("shard", F.pmod(F.xxhash64("t", F.monotonically_increasing_id()), F.lit(shards)).cast("int")), "shard")
     sieve = np.full(cells, NEVER, np.uint8)
-    running, finished, steps, last, scan = None, [], [], 0, 0
+    texts = [dealt.where(F.col("shard") == i).select("lang", "t") for i in range(shards)]
+    running, finished, steps, trimmed, last, scan = None, [], [], [], 0, 0
     while scan < last + shards:
         shared = spark.sparkContext.broadcast(zlib.compress(sieve, 1))
-        new = scanned(dealt.where(F.col("shard") == scan % shards).select("lang", "t"), shared, scan, shards, longest).withColumn("before", F.lit(0).cast("long"))
+        # before cycle 2 there are too many counts to be written along with the runs
+        trim = 2 <= scan // shards <= longest - 2
+        new = scanned(texts[scan % shards], shared, scan, shards, longest, trim)
+        if trim:
+            both = stored(new)
+            trimmed.append(both)
+            new, texts[scan % shards] = both.where("k > 0"), both.where("k = 0").select("lang", F.col("phrase").alias("t"))
         if running is not None:
             new = new.unionByName(running)
-        step = stored(new.groupBy("lang", "phrase", "k", "since").agg(F.sum("n").alias("n"), F.sum("before").alias("before")))
+        # tasks have counted theirs already, and what is carried on has one row a phrase: dealt out as it is, not summed on both sides
+        step = stored(new.repartition("lang", "phrase").groupBy("lang", "phrase", "k", "since").agg(F.sum("n").alias("n")))
         steps.append(step)
         shared.destroy()  # the step is written
         over = F.col("since") + shards - 1 <= scan
         finished.append(step.where(over & ((F.col("k") == 1) | (F.col("n") >= least))).select("lang", "phrase", "k", "n"))
-        running = step.where(~over).withColumn("before", F.col("n"))
+        running = step.where(~over)
         scan += 1
-        if marked(step.where((F.col("n") >= least) & (F.col("before") < least) & (F.col("k") < longest)), sieve, scan):
+        if marked(step.where((F.col("n") >= least) & (F.col("k") < longest)), sieve, scan):  # marks of before stay as they are
             last = scan
     counts = stored(reduce(DataFrame.unionByName, finished))
-    discard(dealt, *steps)
+    discard(dealt, *steps, *trimmed)
     return counts
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -68,6 +69,40 @@ def test_collocations(docs, least, top, shards, cells):
     assert sorted(map(tuple, got.collect())) == brute_phrases(rows, least, top)
 
 
+@pytest.mark.parametrize(("shards", "cells", "longest"), [(3, 1 << 16, 5), (2, 64, 6), (1, 1 << 16, 6)])
+def test_later_scans_read_runs_of_frequent_phrases(spark, monkeypatch, shards, cells, longest):
+    rng = random.Random(7)
+    passage = ["one", "t" * 64, "Three", "f" * 65, "é" * 90, "six", "seven"]  # words around the width that is hashed at once
+    rows = []
+    for i in range(300):
+        rare = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        a, b = rng.randrange(60), rng.randrange(4)
+        rows.append((" ".join([*rare[:a], *passage[b : b + rng.randrange(2, 8)], *rare[a:]]) + ("." if i % 3 else ", one"), rng.choice(["en", "", None])))
+    read, real = {}, collocations.scanned
+
+    def seen(shard, sieve, scan, *rest):
+        read[scan] = shard.agg(F.sum(F.length("t"))).first()[0] or 0
+        return real(shard, sieve, scan, *rest)
+
+    monkeypatch.setattr(collocations, "scanned", seen)
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(3), least=5, longest=longest, shards=shards, cells=cells)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 5, 2000, longest)
+    if cells > 64:  # a small sieve takes every phrase for a frequent one
+        assert 2 * sum(n for scan, n in read.items() if scan // shards == 3) < sum(n for scan, n in read.items() if scan // shards == 0)
+
+
+def test_phrases_hash_like_their_words():
+    words = pa.array(["", "a", "12345678", "123456789", "x" * 64, "x" * 65, "x" * 66, "a"], pa.large_string())
+    own = collocations.word_hashes(words)
+    assert len(set(own.tolist())) == 7 and own[1] == own[7]
+    assert collocations.word_hashes(words.slice(2, 3)).tolist() == own[2:5].tolist()
+    lang = collocations.word_hashes(pa.array(["en", ""], pa.large_string()))
+    first = collocations.extended(lang, own[[1, 5]])
+    assert collocations.phrase_hashes(pa.array(["en", ""]), pa.array(["a", "x" * 65])).tolist() == first.tolist()
+    longer = collocations.extended(first[1:], collocations.extended(lang[1:], own[2:3]))
+    assert collocations.phrase_hashes(pa.array(["en", ""]), pa.array(["a", "x" * 65 + " 12345678"])).tolist() == [first[0], longer[0]]
+
+
 def test_no_collocations(docs):
     assert collocations.collocations(docs.where("false")).count() == 0
 
