@@ -12,15 +12,15 @@ from mcqlab.session import shared_dir
 HEAVY = 1000
 
 
-def stored(df: DataFrame, *by: str) -> DataFrame:
+def stored(df: DataFrame, *by: str, compression: str | None = None) -> DataFrame:
     """Written to the shared folder and read again: lineage ends here, and a lost executor costs nothing.
 
-    by: columns that get folders of their own, the last ones of df. The files stay
-    until ``discard``, or until the folder of the session is removed.
+    by: columns that get folders of their own, the last ones of df. compression: null
+    for the session's. The files stay until ``discard``, or until the folder of the session is removed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.partitionBy(*by).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

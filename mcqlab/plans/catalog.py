@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 C = McqColumns()
+TEXTS = ("folder", "content_gpt")  # of sheets
 HELD_FOLDERS = ("src1", "src4", "src7", "src11", "src16")
 STOP = STOPWORDS
 LENGTH_BOUNDS = (8, 20)
@@ -193,8 +194,8 @@ def extract_rubric(spark, sf_dir):
 @query("SELECT doc_id::varchar AS id, source AS folder, text AS content_gpt FROM documents")
 def csv_roundtrip(spark, sf_dir):
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
-    io.write_csv(fx.sheets(spark, sf_dir).select(F.col("id").cast("string"), "folder", "content_gpt"), path)
-    return io.read_csv(spark, path, io.SHEETS)
+    io.write_csv(io.escaped(fx.sheets(spark, sf_dir).select(F.col("id").cast("string"), "folder", "content_gpt"), *TEXTS), path)
+    return io.unescaped(io.read_csv(spark, path, io.SHEETS), *TEXTS)
 
 
 @query(f"WITH {fx.SCORED_SQL} SELECT doc_id AS id, source AS folder FROM documents WHERE doc_id IN (SELECT id FROM scored WHERE dataset = 'm0' AND distractor_quality > 2)")
@@ -599,24 +600,26 @@ LEAST_FILES, FILE_BYTES = 8, 32_000_000
 
 
 def _sorted_csv(spark, sf_dir) -> str:
-    """Sheets in the order of their ids, dealt over as many files as keep each to about FILE_BYTES, since a file with line breaks in its values is read by one task."""
+    """Sheets, texts escaped, in the order of their ids (null last), dealt over as many files as keep each to about FILE_BYTES, since a file with line breaks in its values is read by one task."""
     at = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
     own = fx.sheets(spark, sf_dir)
     size = own.agg(F.sum(F.octet_length("content_gpt"))).first()[0] or 0
-    rows = own.repartitionByRange(max(LEAST_FILES, math.ceil(size / FILE_BYTES)), "id").sortWithinPartitions("id")
-    io.write_csv(rows.select(F.col("id").cast("string"), "folder", "content_gpt"), at)
+    by = F.col("id").asc_nulls_last()
+    rows = own.repartitionByRange(max(LEAST_FILES, math.ceil(size / FILE_BYTES)), by).sortWithinPartitions(by)
+    io.write_csv(io.escaped(rows.select(F.col("id").cast("string"), "folder", "content_gpt"), *TEXTS), at)
     return at
 
 
 @query("SELECT doc_id::varchar AS id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id, text AS content_gpt FROM documents")
 def file_row_numbers(spark, sf_dir):
-    return file_rows.numbered_csv(spark, _sorted_csv(spark, sf_dir), io.SHEETS).select("id", "row_id", "content_gpt")
+    rows = file_rows.numbered_csv(spark, _sorted_csv(spark, sf_dir), io.SHEETS)
+    return io.unescaped(rows, "content_gpt").select("id", "row_id", "content_gpt")
 
 
 @query("SELECT doc_id::varchar AS id, row_id, CASE WHEN row_id = 7 THEN 'seventh' WHEN row_id % 10 = 3 THEN NULL ELSE source END AS folder FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 row_id FROM documents) WHERE row_id < 150")
 def put_by_position(spark, sf_dir):
     """Cells replaced by position, a few of them named and others from a table; the first 150 rows."""
-    rows = file_rows.numbered_csv(spark, _sorted_csv(spark, sf_dir), io.SHEETS)
+    rows = io.unescaped(file_rows.numbered_csv(spark, _sorted_csv(spark, sf_dir), io.SHEETS), "folder")
     some = fx.sheets(spark, sf_dir).select(F.col("id").alias("row_id"), F.lit(None).cast("string").alias("folder")).where("row_id % 10 = 3")
     out = file_rows.put_all(file_rows.put(rows, "folder", {7: F.lit("seventh")}), "folder", some)
     return file_rows.head(out, 150).select("id", "row_id", "folder")

@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ KTO = T.StructType([T.StructField("id", T.StringType()), T.StructField("completi
 
 #: Quotes are doubled, values keep their spaces and line breaks; an empty value is read as null.
 CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Begins an escaped value.
+MARK = "~"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,27 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").options(**CSV, lineSep="\n").csv(path)
 
 
+def escaped(rows: DataFrame, *columns: str) -> DataFrame:
+    """For ``write_csv``: values that CSV would change, which are empty ones and those with a NUL, are written behind a mark, as are those that begin with it."""
+    mark, nul = F.lit(MARK), F.lit("\0")
+
+    def one(v: Column) -> Column:
+        odd = (v == "") | v.startswith(mark) | v.contains(nul)
+        return F.when(odd, F.concat(mark, F.replace(F.replace(v, mark, F.lit(MARK + "1")), nul, F.lit(MARK + "0")))).otherwise(v)
+
+    return rows.withColumns({c: one(F.col(c)) for c in columns})
+
+
+def unescaped(rows: DataFrame, *columns: str) -> DataFrame:
+    """The values that ``escaped`` was given, of the rows read again."""
+    mark, nul = F.lit(MARK), F.lit("\0")
+
+    def one(v: Column) -> Column:
+        return F.when(v.startswith(mark), F.replace(F.replace(F.substr(v, F.lit(2)), F.lit(MARK + "0"), nul), F.lit(MARK + "1"), mark)).otherwise(v)
+
+    return rows.withColumns({c: one(F.col(c)) for c in columns})
+
+
 def write_single_csv(rows: DataFrame, path: str) -> None:
     """One part file; for small results only, since one task writes it."""
     write_csv(rows.coalesce(1), path)

@@ -1,8 +1,10 @@
 """Positions of rows in files: numbers that don't depend on how Spark splits or schedules a scan.
 
-The order is that of file paths, then that of rows in a file. A first pass counts the
-rows of each split; their running sum gives each split its first number, and a row's
-number is that plus its place in the split. No row is sorted or moved.
+The order is that of file paths, then that of rows in a file. The files are scanned
+once, and the rows are stored with their places in the splits of that scan: a second
+scan may split and bundle the files otherwise, as that depends on the cores then there.
+The rows of each split are counted; their running sum gives each split its first number,
+and a row's number is that plus its place in the split. No row is sorted or moved.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ BROADCAST_SPLITS = 100_000
 def numbered(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """A file scan, before any filter, with each row's position from 0."""
     split = ["_file", "_block"]
-    own = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    own = stored(scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")), compression="zstd")
     counts = stored(own.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_at").alias("_first")))
     before = F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1))  # one row a split
     starts = counts.select(*split, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_start"))

@@ -84,6 +84,36 @@ def test_positions_of_records_with_line_breaks(spark, tmp_path):
     assert rows.numbered_csv(spark, str(tmp_path / "none"), io.SHEETS).count() == 0
 
 
+@pytest.mark.parametrize(("key", "later"), [("spark.sql.leafNodeDefaultParallelism", "1"), ("spark.sql.files.maxPartitionBytes", "100b")])
+def test_positions_stay_when_a_later_scan_would_be_split_otherwise(spark, tmp_path, key, later):
+    for name, n in (("b", 700), ("a", 3), ("c", 400)):
+        (tmp_path / f"{name}.csv").write_text("\n".join(["v", *(f"{name}{i}" for i in range(n)), ""]))
+    scan = spark.read.schema("v string").option("header", True).csv(str(tmp_path))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        numbers = rows.numbered(scan)
+        spark.conf.set(key, later)
+        assert [r["v"] for r in numbers.orderBy("row_id").collect()] == [f"{name}{i}" for name, n in (("a", 3), ("b", 700), ("c", 400)) for i in range(n)]
+        assert sorted(r["row_id"] for r in numbers.collect()) == list(range(1103))
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("name", ["file_row_numbers", "put_by_position", "csv_roundtrip"])
+def test_values_that_csv_would_change(spark, tmp_path, name):
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    from mcqlab.plans import catalog
+    from tests.oracle import check
+
+    odd = ["", None, "~", "~0", "~~1", "a~0", "\0", "a\0\"", "\0\"\n", "~\0~1", '"', '""', "\n", "\r", " ", ",", "a\r\n"]
+    table = {"doc_id": [*range(len(odd)), None], "text": [*odd, "last"], "source": [*odd[::-1], ""]}
+    parquet.write_table(pa.table(table), tmp_path / "documents.parquet")
+    assert check(spark, str(tmp_path), catalog.QUERIES[name], catalog.SQL[name]) == len(odd) + 1
+
+
 @pytest.mark.parametrize("share", [0.0, 0.1, 0.3, 0.77, 1.0])
 def test_whole_groups(spark, share):
     rng = random.Random(11)
